@@ -17,12 +17,11 @@ the sequential one exactly.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from fractions import Fraction
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
@@ -38,7 +37,9 @@ MICROS = 1_000_000
 DAY = 86_400
 NEVER = -(1 << 62)
 
-_PIECES = "lo array<long>, slope array<long>, value array<long>"
+# Names of the columns of a piecewise function.
+_PIECES = ("lo", "slope", "value")
+_OUT_ROWS = 10_000
 
 
 @dataclass(frozen=True)
@@ -160,14 +161,39 @@ def _apply(lo, slope, value, x: int) -> int:
     return int(slope[i]) * x + int(value[i])
 
 
+def _runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[bool, pa.RecordBatch]]:
+    """Slices of sorted batches with equal ``names``, and whether each starts a new group."""
+    previous = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(n) for n in names]
+        changed = np.zeros(batch.num_rows, dtype=bool)
+        for c in columns:
+            changed[1:] |= np.asarray(pc.not_equal(c[1:], c[:-1]))
+        starts = np.flatnonzero(changed).tolist()
+        for start, end in zip([0, *starts], [*starts, batch.num_rows]):
+            key = tuple(c[start].as_py() for c in columns) if start == 0 else None
+            yield start > 0 or key != previous, batch.slice(start, end - start)
+        previous = tuple(c[batch.num_rows - 1].as_py() for c in columns)
+
+
+def _sorted_by(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """Rows of a key together in one partition, in order."""
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order)
+
+
 def _fold_by_slot(events: DataFrame, keys: list[str], ts: str, order: str, slot_seconds: int, linked_within: int,
                   fresh: int, pieces: Callable, carry: Callable[[int, int], int], fold: Callable,
                   output: T.StructType) -> DataFrame:
     """Steps 1 to 5 of the module text.
 
     ``linked_within``: a slot starting at least this many microseconds after the
-    one before starts from ``fresh``. ``carry(exit, gap)`` gives the next entry state.
+    one before starts from ``fresh``. ``carry(exit, gap)`` gives the next entry
+    state; ``fold(times, entry)`` gives new columns and the exit state. Every
+    Python step reads sorted Arrow batches and keeps the state of one group.
     """
+    columns, out_names = events.columns, output.names
     slot_micros = slot_seconds * MICROS
     rows = events.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
     rows = rows.withColumn("_slot", F.floor(F.col("_us") / F.lit(slot_micros)).cast("long"))
@@ -180,47 +206,72 @@ def _fold_by_slot(events: DataFrame, keys: list[str], ts: str, order: str, slot_
     spans = spans.withColumn("_needed", F.coalesce(F.lead("_linked").over(by_slot), F.lit(False)))
     chained = spans.where(F.col("_linked") | F.col("_needed"))
 
-    key_fields = [events.schema[k] for k in keys]
-    piece_schema = T.StructType(key_fields + [T.StructField("_slot", T.LongType())]
-                                + T._parse_datatype_string(_PIECES).fields)
+    key_fields = [events.schema[k] for k in keys] + [T.StructField("_slot", T.LongType())]
+    piece_schema = T.StructType(key_fields + [T.StructField(n, T.ArrayType(T.LongType())) for n in _PIECES])
+    entry_schema = T.StructType(key_fields + [T.StructField("_entry", T.LongType())])
 
-    def reduce_slot(key: tuple, table: pa.Table) -> pa.Table:
-        times = np.sort(np.asarray(table.column("_us"), dtype=np.int64))
-        parts = pieces(times)
-        columns = [pa.array([k.as_py()], k.type) for k in key]
-        columns += [pa.array([p.tolist()], pa.list_(pa.int64())) for p in parts]
-        return pa.table(columns, names=[*chunk, "lo", "slope", "value"])
+    def reduce_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
 
-    needed = spans.where("_needed").select(*chunk)
-    functions = (rows.select(*chunk, "_us").join(needed, chunk, "left_semi")
-                 .groupBy(*chunk).applyInArrow(reduce_slot, piece_schema))
+        def reduced() -> pa.RecordBatch:
+            times = np.concatenate([np.asarray(b.column("_us"), dtype=np.int64) for b in held])
+            values = [held[0].column(c)[:1] for c in chunk]
+            values += [pa.array([p.tolist()], pa.list_(pa.int64())) for p in pieces(times)]
+            return pa.RecordBatch.from_arrays(values, names=[*chunk, *_PIECES])
 
-    entry_schema = T.StructType(key_fields + [T.StructField("_slot", T.LongType()), T.StructField("_entry", T.LongType())])
+        for starts, run in _runs(batches, chunk):
+            if starts and held:
+                yield reduced()
+                held.clear()
+            held.append(run)
+        if held:
+            yield reduced()
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_slot")
-        entries, state = [], fresh
-        for linked, gap_us, lo, slope, value in zip(pdf["_linked"], pdf["_gap"], pdf["lo"], pdf["slope"], pdf["value"]):
-            start = carry(state, int(gap_us)) if linked else fresh
-            entries.append(start)
-            state = _apply(np.asarray(lo), slope, value, start) if lo is not None else fresh
-        return pdf[chunk].assign(_entry=np.array(entries, dtype=np.int64))
-
-    entries = (chained.select(*chunk, "_linked", "_gap").join(functions, chunk, "left")
-               .groupBy(*keys).applyInPandas(chain, entry_schema))
-
-    def fold_slot(table: pa.Table) -> pa.Table:
-        us = np.asarray(table.column("_us"), dtype=np.int64)
-        table = table.take(pc.sort_indices(table, sort_keys=[("_us", "ascending"), (order, "ascending")]))
-        start = table.column("_entry")[0].as_py()
-        new = fold(np.sort(us), fresh if start is None else start)
-        kept = table.select(events.columns)
-        for name, values in new.items():
-            kept = kept.append_column(name, pa.array(values))
-        return kept
-
-    return rows.join(entries, chunk, "left").groupBy(*chunk).applyInArrow(
-        fold_slot, T.StructType(events.schema.fields + output.fields))
+    needed = spans.where("_needed").select(*chunk)
+    functions = (_sorted_by(rows.select(*chunk, "_us").join(needed, chunk, "left_semi"), chunk, "_us")
+                 .mapInArrow(reduce_slots, piece_schema))
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = fresh
+        for starts, run in _runs(batches, keys):
+            state = fresh if starts else state
+            entries = []
+            for linked, gap_us, *function in zip(*[run.column(n).to_pylist() for n in ("_linked", "_gap", *_PIECES)]):
+                start = carry(state, gap_us) if linked else fresh
+                entries.append(start)
+                state = fresh if function[0] is None else _apply(*function, start)
+            yield pa.RecordBatch.from_arrays([*[run.column(c) for c in chunk], pa.array(entries, pa.int64())],
+                                             names=[*chunk, "_entry"])
+
+    entries = (_sorted_by(chained.select(*chunk, "_linked", "_gap").join(functions, chunk, "left"), keys, "_slot")
+               .mapInArrow(chain, entry_schema))
+
+    def folded_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, last = fresh, 0
+        parts: list[pa.RecordBatch] = []
+        size = 0
+        for starts, run in _runs(batches, chunk):
+            times = np.asarray(run.column("_us"), dtype=np.int64)
+            if starts:
+                entry = run.column("_entry")[0].as_py()
+                state = fresh if entry is None else entry
+            else:
+                state = carry(state, int(times[0]) - last)
+            new, state = fold(times, state)
+            last = int(times[-1])
+            parts.append(pa.RecordBatch.from_arrays(
+                [*[run.column(c) for c in columns], *[pa.array(v) for v in new]], names=[*columns, *out_names]))
+            size += run.num_rows
+            if size >= _OUT_ROWS:
+                yield from pa.Table.from_batches(parts).combine_chunks().to_batches()
+                parts, size = [], 0
+        if parts:
+            yield from pa.Table.from_batches(parts).combine_chunks().to_batches()
+
+    # The rows are placed before the join, so that one shuffle serves both.
+    placed = rows.repartition(*chunk).join(entries, chunk, "left")
+    return placed.sortWithinPartitions(*chunk, "_us", order).mapInArrow(
+        folded_rows, T.StructType(events.schema.fields + output.fields))
 
 
 def rate_limit(events: DataFrame, key: str, ts: str = "timestamp", order: str = "event_id",
@@ -236,8 +287,8 @@ def rate_limit(events: DataFrame, key: str, ts: str = "timestamp", order: str =
     per_token = bucket.capacity / float(Fraction(str(max_tokens)))
 
     def fold(times, start):
-        admitted, left, _ = bucket.run(times, start)
-        return {"admitted": admitted, "tokens_left": left / per_token}
+        admitted, left, tokens = bucket.run(times, start)
+        return (admitted, left / per_token), tokens
 
     output = T.StructType([T.StructField("admitted", T.BooleanType()), T.StructField("tokens_left", T.DoubleType())])
     rows = events.where(F.col(key).isNotNull() & F.col(ts).isNotNull())
@@ -257,7 +308,7 @@ def ttl_repeats(events: DataFrame, keys: str | list[str], ts: str = "timestamp",
 
     def fold(times, start):
         hit, entry = life.run(times, start)
-        return {"hit": hit, "opened_us": entry}
+        return (hit, entry), int(entry[-1])
 
     output = T.StructType([T.StructField("hit", T.BooleanType()), T.StructField("opened_us", T.LongType())])
     rows = events.where(F.col(ts).isNotNull())

@@ -37,7 +37,9 @@ class _Fold(StatefulProcessor):
         raise NotImplementedError
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(["_us", self.order])
+        pdf = pd.concat(list(rows))
+        pdf.columns = [*self.columns, "_us"]
+        pdf = pdf.sort_values(["_us", self.order])
         state = self.state.get() if self.state.exists() else None
         new, after = self.fold(pdf["_us"].to_numpy(dtype=np.int64), state)
         self.state.update(after)

@@ -72,7 +72,7 @@ def main(argv) -> int:
         try:
             ok, message, seconds = compare(spark, con, directory, name)
         except Exception as e:  # report every query
-            ok, message, seconds = False, f"{type(e).__name__}: {str(e)[:1500]}", 0.0
+            ok, message, seconds = False, f"{type(e).__name__}: {str(e)[-2500:]}", 0.0
         bad += not ok
         print(f"{'ok  ' if ok else 'FAIL'} {name:40s} {seconds:6.2f}s {message}", flush=True)
     print(f"{len(names) - bad} of {len(names)} equal")
