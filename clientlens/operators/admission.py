@@ -17,6 +17,7 @@ the sequential one exactly.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from fractions import Fraction
@@ -55,8 +56,8 @@ class Bucket:
         rate, size, price = (Fraction(str(v)) for v in (refill_rate, max_tokens, cost))
         unit = MICROS * rate.denominator * size.denominator * price.denominator
         bucket = cls(int(size * unit), int(price * unit), int(rate * unit / MICROS))
-        if bucket.per_micro <= 0 or bucket.capacity >= 1 << 61:
-            raise ValueError("refill rate must be positive and the bucket of reasonable size")
+        if bucket.per_micro <= 0 or bucket.cost <= 0 or max(bucket.capacity, bucket.cost) >= 1 << 61:
+            raise ValueError("refill rate and cost must be positive and the bucket of reasonable size")
         return bucket
 
     @property
@@ -82,38 +83,45 @@ class Bucket:
             left[i] = tokens
         return admitted, left, tokens
 
-    def pieces(self, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def pieces(self, times: np.ndarray) -> tuple[list[int], list[int], list[int]]:
         """Exit tokens as a function of entry tokens over the ordered times."""
-        lo, slope, value = (np.array([v], dtype=np.int64) for v in (0, 1, 0))
+        capacity, cost = self.capacity, self.cost
+        from_full = capacity - cost if capacity >= cost else capacity
+        parts = [(0, 1, 0)]
         last = int(times[0])
         for i, now in enumerate(times.tolist()):
-            if len(lo) == 1 and slope[0] == 0:
+            if len(parts) == 1 and not parts[0][1]:
                 # Every entry state has met: the rest is one ordinary run.
-                start = self.refill(int(value[0]), now - last)
-                return lo, slope, np.array([self.run(times[i:], start)[2]], dtype=np.int64)
-            value = value + min(now - last, self.full_after) * self.per_micro
+                start = self.refill(parts[0][2], now - last)
+                return [0], [0], [int(self.run(times[i:], start)[2])]
+            gain = min(now - last, self.full_after) * self.per_micro
             last = now
-            value = np.where(slope == 0, np.minimum(value, self.capacity), value)
-            lo, slope, value = self._cut(lo, slope, value, self.capacity)
-            over = (slope == 1) & (lo + value >= self.capacity)
-            slope, value = np.where(over, 0, slope), np.where(over, self.capacity, value)
-            lo, slope, value = self._cut(lo, slope, value, self.cost)
-            reached = np.where(slope == 1, lo + value, value) >= self.cost
-            value = value - reached * self.cost
-            keep = np.r_[True, (slope[1:] != slope[:-1]) | (value[1:] != value[:-1])]
-            lo, slope, value = lo[keep], slope[keep], value[keep]
-        return lo, slope, value
-
-    def _cut(self, lo, slope, value, level):
-        """Split rising pieces where they reach ``level``."""
-        ends = np.r_[lo[1:], self.capacity + 1]
-        at = level - value
-        inside = (slope == 1) & (at > lo) & (at < ends)
-        if not inside.any():
-            return lo, slope, value
-        lo = np.concatenate([lo, at[inside]])
-        order = np.argsort(lo, kind="stable")
-        return lo[order], np.concatenate([slope, slope[inside]])[order], np.concatenate([value, value[inside]])[order]
+            ends = [p[0] for p in parts[1:]]
+            ends.append(capacity + 1)
+            after: list[tuple[int, int, int]] = []
+
+            def put(lo: int, slope: int, value: int) -> None:
+                if not after or after[-1][1] != slope or after[-1][2] != value:
+                    after.append((lo, slope, value))
+
+            for (lo, slope, value), end in zip(parts, ends):
+                value += gain
+                if slope:
+                    full, admits = capacity - value, cost - value
+                    rising_end = min(end, max(full, lo))
+                    if lo < rising_end:
+                        if lo < admits:
+                            put(lo, 1, value)
+                        if admits < rising_end:
+                            put(max(lo, admits), 1, value - cost)
+                    if rising_end < end:
+                        put(rising_end, 0, from_full)
+                else:
+                    value = min(value, capacity)
+                    put(lo, 0, value - cost if value >= cost else value)
+            parts = after
+        lo, slope, value = zip(*parts)
+        return list(lo), list(slope), list(value)
 
 
 @dataclass(frozen=True)
@@ -124,41 +132,41 @@ class Lifetime:
 
     def run(self, times: np.ndarray, opened: int) -> tuple[np.ndarray, np.ndarray]:
         """Hit flags and the opening time of the entry behind each ordered row."""
-        entry = np.full(len(times), opened, dtype=np.int64)
-        hit = np.ones(len(times), dtype=bool)
-        row = int(np.searchsorted(times, opened + self.ttl, side="right")) if opened != NEVER else 0
-        while row < len(times):
-            entry[row:] = times[row]
-            hit[row] = False
-            row = int(np.searchsorted(times, times[row] + self.ttl, side="right"))
-        return hit, entry
-
-    def pieces(self, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ordered = times.tolist()
+        row = bisect_right(ordered, opened + self.ttl) if opened != NEVER else 0
+        starts, entries = [0], [opened]
+        while row < len(ordered):
+            starts.append(row)
+            entries.append(ordered[row])
+            row = bisect_right(ordered, ordered[row] + self.ttl, row)
+        hit = np.ones(len(ordered), dtype=bool)
+        hit[starts[1:]] = False
+        return hit, np.repeat(np.array(entries, dtype=np.int64), np.diff([*starts, len(ordered)]))
+
+    def pieces(self, times: np.ndarray) -> tuple[list[int], list[int], list[int]]:
         """Last opening time as a function of the opening time on entry."""
-        times = np.unique(times)
-        n = len(times)
-        following = np.searchsorted(times, times + self.ttl, side="right")
-        final = np.where(following < n, following, np.arange(n))
-        while True:
-            further = final[final]
-            if (further == final).all():
-                break
-            final = further
+        ordered = sorted(set(times.tolist()))
+        n, end = len(ordered), len(ordered)
+        final = [0] * n
+        for i in range(n - 1, -1, -1):
+            while ordered[end - 1] > ordered[i] + self.ttl:
+                end -= 1
+            final[i] = i if end == n else final[end]
         # Entries opened before the slot expire within one lifetime of its first row.
-        reach = min(n, int(np.searchsorted(times, times[0] + self.ttl, side="right")) + 1)
-        lo = np.r_[NEVER, times[:reach - 1] - self.ttl]
-        out = times[final[:reach]]
-        keep = np.r_[True, out[1:] != out[:-1]]
-        lo, slope, value = lo[keep], np.zeros(keep.sum(), dtype=np.int64), out[keep]
-        if reach == n:
-            # Opened so late that the entry outlives the slot.
-            lo, slope, value = np.r_[lo, times[-1] - self.ttl], np.r_[slope, 1], np.r_[value, 0]
-        return lo, slope, value
+        lo, value = [NEVER], [ordered[final[0]]]
+        for before, after in zip(ordered, final[1:]):
+            if before > ordered[0] + self.ttl:
+                return lo, [0] * len(lo), value
+            if ordered[after] != value[-1]:
+                lo.append(before - self.ttl)
+                value.append(ordered[after])
+        # Opened so late that the entry outlives the slot.
+        return [*lo, ordered[-1] - self.ttl], [*[0] * len(lo), 1], [*value, 0]
 
 
 def _apply(lo, slope, value, x: int) -> int:
-    i = max(int(np.searchsorted(lo, x, side="right")) - 1, 0)
-    return int(slope[i]) * x + int(value[i])
+    i = max(bisect_right(lo, x) - 1, 0)
+    return slope[i] * x + value[i]
 
 
 def _runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[bool, pa.RecordBatch]]:
@@ -216,7 +224,7 @@ def _fold_by_slot(events: DataFrame, keys: list[str], ts: str, order: str, slot_
         def reduced() -> pa.RecordBatch:
             times = np.concatenate([np.asarray(b.column("_us"), dtype=np.int64) for b in held])
             values = [held[0].column(c)[:1] for c in chunk]
-            values += [pa.array([p.tolist()], pa.list_(pa.int64())) for p in pieces(times)]
+            values += [pa.array([[int(v) for v in p]], pa.list_(pa.int64())) for p in pieces(times)]
             return pa.RecordBatch.from_arrays(values, names=[*chunk, *_PIECES])
 
         for starts, run in _runs(batches, chunk):

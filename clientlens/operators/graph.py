@@ -12,31 +12,38 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clientlens.common import small_side
 from clientlens.session import cut_lineage
 
 DEFAULT_HOPS = 2
-# Hops kept in one plan before the frontier is written out.
-LAZY_HOPS = 2
 
 
-def _step(frontier: DataFrame, edges: DataFrame) -> DataFrame:
-    """Distinct nodes one edge away from the frontier (column ``id``)."""
-    return (edges.join(frontier.select(F.col("id").alias("src")), "src", "left_semi")
-            .select(F.col("dst").alias("id")).distinct())
+def _level(nodes: DataFrame) -> tuple[DataFrame, int]:
+    """A level of the search, written out, and its number of nodes."""
+    written = cut_lineage(nodes)
+    return written, written.count()
 
 
-def reached_nodes(edges: DataFrame, seeds: DataFrame, max_hops: int = DEFAULT_HOPS) -> DataFrame:
-    """(id, hop): every node within ``max_hops`` of a seed, at its least distance."""
-    frontier = seeds.select("id").distinct()
-    seen = frontier.withColumn("hop", F.lit(0))
+def _step(frontier: DataFrame, size: int, edges: DataFrame) -> DataFrame:
+    """Distinct nodes one edge away from the frontier (column ``id``).
+
+    A frontier counted as small is broadcast, so the edges are not shuffled.
+    """
+    known = small_side(frontier.select(F.col("id").alias("src")), size)
+    return edges.join(known, "src", "left_semi").select(F.col("dst").alias("id")).distinct()
+
+
+def reached_nodes(edges: DataFrame, seeds: DataFrame, max_hops: int = DEFAULT_HOPS) -> tuple[DataFrame, int]:
+    """(id, hop) of every node within ``max_hops`` of a seed at its least distance, and their number."""
+    frontier, size = _level(seeds.select("id").distinct())
+    seen, total = frontier.withColumn("hop", F.lit(0)), size
     for hop in range(1, max_hops + 1):
-        frontier = _step(frontier, edges)
-        if max_hops > LAZY_HOPS:
-            frontier = cut_lineage(frontier.join(seen.select("id"), "id", "left_anti"))
-            if frontier.isEmpty():
-                break
-        seen = seen.unionByName(frontier.withColumn("hop", F.lit(hop)))
-    return seen.groupBy("id").agg(F.min("hop").alias("hop"))
+        known = small_side(seen.select("id"), total)
+        frontier, size = _level(_step(frontier, size, edges).join(known, "id", "left_anti"))
+        if not size:
+            break
+        seen, total = seen.unionByName(frontier.withColumn("hop", F.lit(hop))), total + size
+    return seen, total
 
 
 def entity_neighbourhood(nodes: DataFrame, edges: DataFrame, seeds: DataFrame,
@@ -46,10 +53,12 @@ def entity_neighbourhood(nodes: DataFrame, edges: DataFrame, seeds: DataFrame,
     Relationships stay in rows (null where an entity has none): a hub's list
     could not be held in one.
     """
-    near = reached_nodes(edges, seeds, max_hops)
+    near, total = reached_nodes(edges, seeds, max_hops)
+    near = small_side(near, total)
     described = nodes.join(near, "id")
     links = edges.select(F.col("src").alias("id"), F.col("rel").alias("relationship"), F.col("dst").alias("target"))
-    return described.join(links.distinct(), "id", "left").select(
+    links = links.join(near.select("id"), "id", "left_semi").distinct()
+    return described.join(links, "id", "left").select(
         "id", "type", "properties", "hop", "relationship", "target")
 
 
@@ -70,26 +79,34 @@ def find_paths(edges: DataFrame, source: str, target: str, relationship_types: S
     if relationship_types:
         edges = edges.where(F.col("rel").isin(list(relationship_types)))
     start = spark.range(1).select(F.lit(source).alias("id"))
-    levels = [start]
-    seen = start
+    levels = [(start, 1)]
+    seen, total = start, 1
     found = source == target
     for _ in range(max_hops):
         if found:
             break
-        frontier = cut_lineage(_step(levels[-1], edges).join(seen, "id", "left_anti"))
-        if frontier.isEmpty():
+        frontier, size = _level(_step(*levels[-1], edges).join(small_side(seen, total), "id", "left_anti"))
+        if not size:
             break
-        levels.append(frontier)
-        seen = seen.unionByName(frontier)
+        levels.append((frontier, size))
+        seen, total = seen.unionByName(frontier), total + size
         found = not frontier.where(F.col("id") == target).isEmpty()
     paths = spark.range(1).select(
         F.lit(target).alias("head"), F.array(F.lit(target)).alias("nodes"), F.array().cast("array<string>").alias("relationships"))
     if not found:
         paths = paths.where(F.lit(False))
     else:
-        for level in reversed(levels[:-1]):
-            hops = (edges.join(paths.select(F.col("head").alias("dst")).distinct(), "dst", "left_semi")
-                    .join(level.select(F.col("id").alias("src")), "src", "left_semi").distinct())
+        # Backwards, each level is cut down to the nodes that lead to the target.
+        heads, width = start.select(F.lit(target).alias("id")), 1
+        kept = []
+        for level, size in reversed(levels[:-1]):
+            hops = cut_lineage(
+                edges.join(small_side(heads.select(F.col("id").alias("dst")), width), "dst", "left_semi")
+                .join(small_side(level.select(F.col("id").alias("src")), size), "src", "left_semi").distinct())
+            kept.append(hops)
+            heads = hops.select(F.col("src").alias("id")).distinct()
+            width = hops.count()
+        for hops in kept:
             paths = (hops.join(paths, hops["dst"] == paths["head"]).select(
                 F.col("src").alias("head"),
                 F.concat(F.array("src"), "nodes").alias("nodes"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clientlens.common import round_half_up
-from clientlens.sources.tables import load_table
+from clientlens.sources.tables import load_table, spread
 
 AS_OF = "2001-08-01"
 CURRENCIES = ("USD", "EUR", "GBP", "SGD", "AUD", "JPY")
@@ -291,7 +291,7 @@ def audit_log(spark: SparkSession, directory: str) -> DataFrame:
 
 def finance_text(spark: SparkSession, directory: str) -> DataFrame:
     """One short business note per order, with money, dates and personal data."""
-    o = load_table(spark, directory, "orders")
+    o = spread(load_table(spark, directory, "orders"))
     order, customer = F.col("o_orderkey"), F.col("o_custkey")
 
     def digits(number: Column, width: int) -> Column:

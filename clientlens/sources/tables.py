@@ -6,14 +6,45 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 
+# Schemas read from file footers, by path and modification time.
+_schemas: dict[tuple[str, int], StructType] = {}
+
+
+def _changed_at(spark: SparkSession, path: str) -> int:
+    """Modification time of a path; 0 where the file system keeps none."""
+    location = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return location.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(location).getModificationTime()
+
+
 def load_table(spark: SparkSession, directory: str, name: str, view: str | None = None) -> DataFrame:
-    """Read ``<directory>/<name>.parquet``, optionally naming it as a view."""
-    df = spark.read.parquet(f"{directory.rstrip('/')}/{name}.parquet")
+    """Read ``<directory>/<name>.parquet``, optionally naming it as a view.
+
+    A table that has not changed since it was last read is not inspected again.
+    """
+    path = f"{directory.rstrip('/')}/{name}.parquet"
+    version = (path, _changed_at(spark, path))
+    if version in _schemas:
+        df = spark.read.schema(_schemas[version]).parquet(path)
+    else:
+        df = spark.read.parquet(path)
+        if version[1]:
+            _schemas[version] = df.schema
     if view:
         df.createOrReplaceTempView(view)
     return df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal out rows that arrive in fewer splits than there are cores.
+
+    For work that is heavy per row over a few files. A table of many files
+    already has its splits and is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df if splits >= cores else df.repartition(cores)
+
+
 def catalog_table(spark: SparkSession, name: str, schema: str | None = None,
                   catalog: str | None = None) -> DataFrame:
     """Read a table by its one-, two- or three-part catalog name."""

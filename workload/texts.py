@@ -10,7 +10,7 @@ from clientlens.functions.vectors import cosine
 from clientlens.operators import admission, audit, conversations, documents, graph, search
 from clientlens.session import scratch_path
 from clientlens.sources import domain as d
-from clientlens.sources.tables import load_table, stream_table
+from clientlens.sources.tables import load_table, spread, stream_table
 from clientlens.streaming import admission as stream_admission
 from clientlens.streaming.alerts import stream_alerts
 from clientlens.streaming.audit import stream_audit
@@ -21,7 +21,7 @@ AS_OF = d.AS_OF
 
 
 def _documents(spark, directory):
-    return load_table(spark, directory, "documents")
+    return spread(load_table(spark, directory, "documents"))
 
 
 # --- text rules ------------------------------------------------------------------
