@@ -40,7 +40,6 @@ NEVER = -(1 << 62)
 
 # Names of the columns of a piecewise function.
 _PIECES = ("lo", "slope", "value")
-_OUT_ROWS = 10_000
 
 
 @dataclass(frozen=True)
@@ -169,8 +168,11 @@ def _apply(lo, slope, value, x: int) -> int:
     return slope[i] * x + value[i]
 
 
-def _runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[bool, pa.RecordBatch]]:
-    """Slices of sorted batches with equal ``names``, and whether each starts a new group."""
+def _groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[pa.RecordBatch, list[int], bool]]:
+    """Sorted batches with the bounds of their groups of equal ``names``.
+
+    The flag tells whether the first group carries on the last one of the batch before.
+    """
     previous = None
     for batch in batches:
         if not batch.num_rows:
@@ -179,11 +181,9 @@ def _runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple
         changed = np.zeros(batch.num_rows, dtype=bool)
         for c in columns:
             changed[1:] |= np.asarray(pc.not_equal(c[1:], c[:-1]))
-        starts = np.flatnonzero(changed).tolist()
-        for start, end in zip([0, *starts], [*starts, batch.num_rows]):
-            key = tuple(c[start].as_py() for c in columns) if start == 0 else None
-            yield start > 0 or key != previous, batch.slice(start, end - start)
-        previous = tuple(c[batch.num_rows - 1].as_py() for c in columns)
+        first = tuple(c[0].as_py() for c in columns)
+        yield batch, [0, *np.flatnonzero(changed).tolist(), batch.num_rows], first == previous
+        previous = tuple(c[-1].as_py() for c in columns)
 
 
 def _sorted_by(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
@@ -219,21 +219,34 @@ def _fold_by_slot(events: DataFrame, keys: list[str], ts: str, order: str, slot_
     entry_schema = T.StructType(key_fields + [T.StructField("_entry", T.LongType())])
 
     def reduce_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def reduced() -> pa.RecordBatch:
-            times = np.concatenate([np.asarray(b.column("_us"), dtype=np.int64) for b in held])
-            values = [held[0].column(c)[:1] for c in chunk]
-            values += [pa.array([[int(v) for v in p]], pa.list_(pa.int64())) for p in pieces(times)]
-            return pa.RecordBatch.from_arrays(values, names=[*chunk, *_PIECES])
-
-        for starts, run in _runs(batches, chunk):
-            if starts and held:
-                yield reduced()
-                held.clear()
-            held.append(run)
-        if held:
-            yield reduced()
+        key: tuple | None = None
+        held: list[np.ndarray] = []
+        done: list[tuple] = []
+        types: list[pa.DataType] = []
+
+        def close() -> None:
+            if key is not None:
+                done.append((*key, *[[int(v) for v in p] for p in pieces(np.concatenate(held))]))
+
+        def closed() -> pa.RecordBatch:
+            values = list(zip(*done)) if done else [()] * (len(chunk) + len(_PIECES))
+            arrays = [pa.array(v, t) for v, t in zip(values, [*types, *[pa.list_(pa.int64())] * len(_PIECES)])]
+            done.clear()
+            return pa.RecordBatch.from_arrays(arrays, names=[*chunk, *_PIECES])
+
+        for batch, bounds, carries in _groups(batches, chunk):
+            types = [batch.schema.field(c).type for c in chunk]
+            times = np.asarray(batch.column("_us"), dtype=np.int64)
+            keys_here = list(zip(*[batch.column(c).take(pa.array(bounds[:-1])).to_pylist() for c in chunk]))
+            for n, (start, end) in enumerate(zip(bounds, bounds[1:])):
+                if n or not carries:
+                    close()
+                    key, held = keys_here[n], []
+                held.append(times[start:end])
+            yield closed()
+        if key is not None:
+            close()
+            yield closed()
 
     needed = spans.where("_needed").select(*chunk)
     functions = (_sorted_by(rows.select(*chunk, "_us").join(needed, chunk, "left_semi"), chunk, "_us")
@@ -241,14 +254,17 @@ def _fold_by_slot(events: DataFrame, keys: list[str], ts: str, order: str, slot_
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = fresh
-        for starts, run in _runs(batches, keys):
-            state = fresh if starts else state
+        for batch, bounds, carries in _groups(batches, keys):
+            fresh_rows = set(bounds[1:-1] if carries else bounds[:-1])
             entries = []
-            for linked, gap_us, *function in zip(*[run.column(n).to_pylist() for n in ("_linked", "_gap", *_PIECES)]):
+            rows_here = zip(*[batch.column(n).to_pylist() for n in ("_linked", "_gap", *_PIECES)])
+            for n, (linked, gap_us, *function) in enumerate(rows_here):
+                if n in fresh_rows:
+                    state = fresh
                 start = carry(state, gap_us) if linked else fresh
                 entries.append(start)
                 state = fresh if function[0] is None else _apply(*function, start)
-            yield pa.RecordBatch.from_arrays([*[run.column(c) for c in chunk], pa.array(entries, pa.int64())],
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in chunk], pa.array(entries, pa.int64())],
                                              names=[*chunk, "_entry"])
 
     entries = (_sorted_by(chained.select(*chunk, "_linked", "_gap").join(functions, chunk, "left"), keys, "_slot")
@@ -256,25 +272,20 @@ def _fold_by_slot(events: DataFrame, keys: list[str], ts: str, order: str, slot_
 
     def folded_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, last = fresh, 0
-        parts: list[pa.RecordBatch] = []
-        size = 0
-        for starts, run in _runs(batches, chunk):
-            times = np.asarray(run.column("_us"), dtype=np.int64)
-            if starts:
-                entry = run.column("_entry")[0].as_py()
-                state = fresh if entry is None else entry
-            else:
-                state = carry(state, int(times[0]) - last)
-            new, state = fold(times, state)
-            last = int(times[-1])
-            parts.append(pa.RecordBatch.from_arrays(
-                [*[run.column(c) for c in columns], *[pa.array(v) for v in new]], names=[*columns, *out_names]))
-            size += run.num_rows
-            if size >= _OUT_ROWS:
-                yield from pa.Table.from_batches(parts).combine_chunks().to_batches()
-                parts, size = [], 0
-        if parts:
-            yield from pa.Table.from_batches(parts).combine_chunks().to_batches()
+        for batch, bounds, carries in _groups(batches, chunk):
+            times = np.asarray(batch.column("_us"), dtype=np.int64)
+            entries = batch.column("_entry").take(pa.array(bounds[:-1])).to_pylist()
+            folded = []
+            for n, (start, end) in enumerate(zip(bounds, bounds[1:])):
+                if n or not carries:
+                    state = fresh if entries[n] is None else entries[n]
+                else:
+                    state = carry(state, int(times[start]) - last)
+                new, state = fold(times[start:end], state)
+                folded.append(new)
+                last = int(times[end - 1])
+            added = [pa.array(np.concatenate(part)) for part in zip(*folded)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], *added], names=[*columns, *out_names])
 
     # The rows are placed before the join, so that one shuffle serves both.
     placed = rows.repartition(*chunk).join(entries, chunk, "left")

@@ -187,7 +187,7 @@ def text_scores(docs: DataFrame, query: str, key: str = "doc_id", text: str = "t
             word.alias("word"), F.when(same, state["run"] + 1).otherwise(F.lit(1).cast("long")).alias("run"),
             F.when(same | (state["run"] == 0), state["total"]).otherwise(state["total"] + weight(state["run"])).alias("total"))
 
-    squares = F.aggregate(F.array_sort("_words"), start, step, lambda s: s["total"] + weight(F.greatest(s["run"], F.lit(1))))
+    squares = F.aggregate(F.sort_array("_words"), start, step, lambda s: s["total"] + weight(F.greatest(s["run"], F.lit(1))))
     hits = tokens.where(F.arrays_overlap("_words", F.array(*[F.lit(t) for t in terms])))
     counts = F.array(*[F.size(F.filter("_words", _equals(t))) for t in terms])
     product = F.aggregate(
