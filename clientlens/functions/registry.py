@@ -13,9 +13,10 @@ from pyspark.sql.types import (ArrayType, BooleanType, DataType, DoubleType, Lon
 
 from clientlens.sources.dimensions import FX_RATES
 
-# Default location, and SQL types of Python types; any other is text.
-DEFAULT_CATALOG = "workspace"
-DEFAULT_SCHEMA = "rm_agent"
+DEFAULT_CATALOG = "spark_catalog"
+DEFAULT_SCHEMA = "default"
+
+# SQL types of Python types; any other is text.
 PYTHON_TYPES: dict[type, DataType] = {
     str: StringType(),
     int: LongType(),

@@ -58,7 +58,10 @@ def entity_neighbourhood(nodes: DataFrame, edges: DataFrame, seeds: DataFrame,
     described = nodes.join(near, "id")
     links = edges.select(F.col("src").alias("id"), F.col("rel").alias("relationship"), F.col("dst").alias("target"))
     links = links.join(near.select("id"), "id", "left_semi").distinct()
-    return described.join(links, "id", "left").select(
+    # Entities with and without links are joined apart, so that a hub's links may be split.
+    linked = links.join(small_side(described, total), "id")
+    alone = described.join(links.select("id").distinct(), "id", "left_anti")
+    return linked.unionByName(alone, allowMissingColumns=True).select(
         "id", "type", "properties", "hop", "relationship", "target")
 
 

@@ -15,7 +15,7 @@ def lookup(df: DataFrame, column: str, value, return_columns: Sequence[str]) ->
     whose strategy AQE picks from the measured sizes.
     """
     if isinstance(value, DataFrame):
-        wanted = value.select(F.col(value.columns[0]).alias("_wanted"))
+        wanted = value.select(F.col(value.columns[0]).alias("_wanted")).distinct()
         df = df.join(wanted, df[column] == wanted["_wanted"], "left_semi")
     elif isinstance(value, (list, tuple, set)):
         df = df.where(F.col(column).isin(list(value)))

@@ -67,7 +67,8 @@ def _in_category(risks: DataFrame, category: str | None) -> DataFrame:
 
 def control_gaps(risks: DataFrame, risk_control: DataFrame, category: str | None = None) -> DataFrame:
     """Risks that no control covers."""
-    gaps = _in_category(risks, category).join(risk_control, "risk_id", "left_anti")
+    covered = risk_control.select("risk_id").distinct()
+    gaps = _in_category(risks, category).join(covered, "risk_id", "left_anti")
     return gaps.select(
         "risk_id", F.lit(category or "all").alias("risk_category"), "category",
         F.col("level").alias("risk_exposure"),

@@ -21,7 +21,7 @@ MATCH_THRESHOLD = 0.95
 # Vectors of the smaller side sent to every task; beyond this both sides are
 # cut into blocks that meet pairwise.
 BROADCAST_VECTORS = 4096
-BLOCK_VECTORS = 65_536
+BLOCK_VECTORS = 16_384
 SCORE_DIGITS = 6
 
 
