@@ -94,11 +94,9 @@ def find_paths(edges: DataFrame, source: str, target: str, relationship_types: S
         levels.append((frontier, size))
         seen, total = seen.unionByName(frontier), total + size
         found = not frontier.where(F.col("id") == target).isEmpty()
-    paths = spark.range(1).select(
+    paths = spark.range(1 if found else 0).select(
         F.lit(target).alias("head"), F.array(F.lit(target)).alias("nodes"), F.array().cast("array<string>").alias("relationships"))
-    if not found:
-        paths = paths.where(F.lit(False))
-    else:
+    if found and source != target:
         # Backwards, each level is cut down to the nodes that lead to the target.
         heads, width = start.select(F.lit(target).alias("id")), 1
         kept = []
@@ -109,7 +107,9 @@ def find_paths(edges: DataFrame, source: str, target: str, relationship_types: S
             kept.append(hops)
             heads = hops.select(F.col("src").alias("id")).distinct()
             width = hops.count()
-        for hops in kept:
+        paths = kept[0].select(F.col("src").alias("head"), F.array("src", "dst").alias("nodes"),
+                               F.array("rel").alias("relationships"))
+        for hops in kept[1:]:
             paths = (hops.join(paths, hops["dst"] == paths["head"]).select(
                 F.col("src").alias("head"),
                 F.concat(F.array("src"), "nodes").alias("nodes"),

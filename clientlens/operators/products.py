@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clientlens.common import round_half_up, small_side, top_n_per
-from clientlens.sources.dimensions import fx_rates
+from clientlens.sources.dimensions import FX_RATES
 
 # Ratings run from 1 to 5; searches return 5 rows unless told otherwise.
 RISK_RATINGS = (1, 2, 3, 4, 5)
@@ -140,20 +140,22 @@ def convert_currency(df: DataFrame, amount: str, from_currency: str | Column, to
                      rates: DataFrame | None = None) -> DataFrame:
     """Amounts in another currency; a code without a rate counts as 1.0.
 
-    Codes are matched in upper case and echoed as given. The built-in rate table
-    has six rows and is broadcast; a caller's table is joined as AQE sees fit.
+    Codes are matched in upper case and echoed as given. The built-in rates are
+    a map inside the expression; a caller's table is joined as AQE sees fit.
     """
-    if rates is None:
-        rates = F.broadcast(fx_rates(df.sparkSession))
     source = F.col(from_currency) if isinstance(from_currency, str) else from_currency
     target = F.lit("USD") if to_currency is None else (F.col(to_currency) if isinstance(to_currency, str) else to_currency)
-    coded = (df.withColumn("original_currency", source).withColumn("target_currency", target)
-             .withColumn("_from", F.upper("original_currency")).withColumn("_to", F.upper("target_currency")))
-    from_rates = rates.select(F.col("currency").alias("_from"), F.col("rate").alias("_from_rate"))
-    to_rates = rates.select(F.col("currency").alias("_to"), F.col("rate").alias("_to_rate"))
-    joined = coded.join(from_rates, "_from", "left").join(to_rates, "_to", "left")
+    coded = df.withColumn("original_currency", source).withColumn("target_currency", target)
+    if rates is None:
+        fixed = F.create_map(*[F.lit(v) for pair in FX_RATES.items() for v in pair])
+        coded = (coded.withColumn("_from_rate", fixed[F.upper("original_currency")])
+                 .withColumn("_to_rate", fixed[F.upper("target_currency")]))
+    else:
+        for end, column in (("_from", "original_currency"), ("_to", "target_currency")):
+            side = rates.select(F.col("currency").alias(end), F.col("rate").alias(f"{end}_rate"))
+            coded = coded.join(side, F.upper(column) == F.col(end), "left").drop(end)
     from_rate = F.coalesce("_from_rate", F.lit(1.0))
     to_rate = F.coalesce("_to_rate", F.lit(1.0))
-    return (joined.withColumn("converted_amount", round_half_up(F.col(amount) / from_rate * to_rate, 2))
+    return (coded.withColumn("converted_amount", round_half_up(F.col(amount) / from_rate * to_rate, 2))
             .withColumn("rate_used", round_half_up(to_rate / from_rate, 6))
-            .drop("_from", "_to", "_from_rate", "_to_rate"))
+            .drop("_from_rate", "_to_rate"))

@@ -96,6 +96,9 @@ def test_convert_currency(spark):
     assert by_code["GBP"].rate_used == 1.265823
     assert by_code["XXX"].converted_amount == 100.0 and by_code["XXX"].rate_used == 1.0
     assert by_code[None].converted_amount == 100.0
+    own = dimensions.fx_rates(spark).unionByName(spark.createDataFrame([("XXX", 4.0)], "currency string, rate double"))
+    joined = {r.original_currency: r for r in products.convert_currency(df, "amount", "code", rates=own).collect()}
+    assert joined["XXX"].converted_amount == 25.0 and joined["gbp"].converted_amount == 126.58 and len(joined) == 4
     jpy = one(products.convert_currency(df.limit(1), "amount", F.lit("USD"), F.lit("JPY")))
     assert jpy.converted_amount == 14950.0
 

@@ -54,16 +54,15 @@ def _(spark, directory):
 
 
 @query("S2_mask_columns", """
-    SELECT '***MASKED***' AS c_custkey, replace(c_name, '#', ' ') AS c_name, c_nationkey AS nation, '***MASKED***' AS secret_code,
-           c_acctbal, 'te***************om' AS email
-    FROM customer""")
+    SELECT '***MASKED***' AS c_custkey, c_name, c_nationkey AS nation, '***MASKED***' AS secret_code, c_acctbal,
+           left(mail, 2) || repeat('*', length(mail) - 4) || right(mail, 2) AS email
+    FROM (SELECT *, 'client' || c_custkey || '@bank.com' AS mail FROM customer)""")
 def _(spark, directory):
+    mail = F.concat(F.lit("client"), F.col("c_custkey").cast("string"), F.lit("@bank.com"))
     c = load_table(spark, directory, "customer").select(
-        "c_custkey", F.regexp_replace("c_name", "#", " ").alias("c_name"), F.col("c_nationkey").alias("nation"), "c_acctbal",
-        F.struct(F.col("c_mktsegment").alias("secret_code"), F.lit("team@example.com.com").alias("email")).alias("inner"))
-    masked = text.mask_columns(c)
-    return masked.select("c_custkey", "c_name", "nation", "inner.secret_code", "c_acctbal",
-                         F.regexp_replace("inner.email", r"^te\*+om$", "te***************om").alias("email"))
+        "c_custkey", "c_name", F.col("c_nationkey").alias("nation"), "c_acctbal",
+        F.struct(F.col("c_mktsegment").alias("secret_code"), mail.alias("email")).alias("inner"))
+    return text.mask_columns(c).select("c_custkey", "c_name", "nation", "inner.secret_code", "c_acctbal", "inner.email")
 
 
 _ENTITY_SQL = r"""
