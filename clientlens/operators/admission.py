@@ -187,13 +187,18 @@ def _groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tup
 
 
 def _sorted_by(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
-    """Rows of a key together in one partition, in order."""
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    """Rows of a key together in one partition, in order.
+
+    The shuffle is on a hash of the keys, not on the keys: one on the keys can
+    be taken as done by a join below, which AQE may later turn into a broadcast
+    join that leaves the rows where they were.
+    """
+    return df.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order)
 
 
 def _fold_by_slot(events: DataFrame, keys: list[str], ts: str, order: str, slot_seconds: int, linked_within: int,
                   fresh: int, pieces: Callable, carry: Callable[[int, int], int], fold: Callable,
-                  output: T.StructType) -> DataFrame:
+                  output: T.StructType, dtypes: tuple) -> DataFrame:
     """Steps 1 to 5 of the module text.
 
     ``linked_within``: a slot starting at least this many microseconds after the
@@ -202,6 +207,7 @@ def _fold_by_slot(events: DataFrame, keys: list[str], ts: str, order: str, slot_
     Python step reads sorted Arrow batches and keeps the state of one group.
     """
     columns, out_names = events.columns, output.names
+    empty = tuple(np.empty(0, dtype=t) for t in dtypes)
     slot_micros = slot_seconds * MICROS
     rows = events.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
     rows = rows.withColumn("_slot", F.floor(F.col("_us") / F.lit(slot_micros)).cast("long"))
@@ -271,25 +277,37 @@ def _fold_by_slot(events: DataFrame, keys: list[str], ts: str, order: str, slot_
                .mapInArrow(chain, entry_schema))
 
     def folded_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state, last = fresh, 0
+        state, last, opening = fresh, 0, False
         for batch, bounds, carries in _groups(batches, chunk):
             times = np.asarray(batch.column("_us"), dtype=np.int64)
-            entries = batch.column("_entry").take(pa.array(bounds[:-1])).to_pylist()
-            folded = []
+            first = batch.column("_entry").take(pa.array(bounds[:-1])).to_pylist()
+            kept = np.ones(batch.num_rows, dtype=bool)
+            folded = [empty]
             for n, (start, end) in enumerate(zip(bounds, bounds[1:])):
-                if n or not carries:
-                    state = fresh if entries[n] is None else entries[n]
-                else:
+                if first[n] is not None:
+                    # The slot's entry state goes ahead of its rows.
+                    kept[start] = False
+                    state, opening = first[n], True
+                    start += 1
+                    if start == end:
+                        continue
+                elif n or not carries:
+                    state = fresh
+                elif not opening:
                     state = carry(state, int(times[start]) - last)
+                opening = False
                 new, state = fold(times[start:end], state)
                 folded.append(new)
                 last = int(times[end - 1])
+            rows_here = batch.filter(pa.array(kept)) if not kept.all() else batch
             added = [pa.array(np.concatenate(part)) for part in zip(*folded)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], *added], names=[*columns, *out_names])
+            yield pa.RecordBatch.from_arrays([*[rows_here.column(c) for c in columns], *added], names=[*columns, *out_names])
 
-    # The rows are placed before the join, so that one shuffle serves both.
-    placed = rows.repartition(*chunk).join(entries, chunk, "left")
-    return placed.sortWithinPartitions(*chunk, "_us", order).mapInArrow(
+    # Entry states travel as rows of their own ahead of the slot's first row, so
+    # that the events are shuffled once and joined with nothing.
+    tagged = (rows.withColumn("_entry", F.lit(None).cast("long"))
+              .unionByName(entries.withColumn("_us", F.lit(NEVER).cast("long")), allowMissingColumns=True))
+    return _sorted_by(tagged, chunk, "_us", order).mapInArrow(
         folded_rows, T.StructType(events.schema.fields + output.fields))
 
 
@@ -312,7 +330,7 @@ def rate_limit(events: DataFrame, key: str, ts: str = "timestamp", order: str =
     output = T.StructType([T.StructField("admitted", T.BooleanType()), T.StructField("tokens_left", T.DoubleType())])
     rows = events.where(F.col(key).isNotNull() & F.col(ts).isNotNull())
     return _fold_by_slot(rows, [key], ts, order, slot_seconds, bucket.full_after, bucket.capacity,
-                         bucket.pieces, bucket.refill, fold, output)
+                         bucket.pieces, bucket.refill, fold, output, (bool, float))
 
 
 def ttl_repeats(events: DataFrame, keys: str | list[str], ts: str = "timestamp", order: str = "event_id",
@@ -334,7 +352,7 @@ def ttl_repeats(events: DataFrame, keys: str | list[str], ts: str = "timestamp",
     for k in keys:
         rows = rows.where(F.col(k).isNotNull())
     return _fold_by_slot(rows, keys, ts, order, slot_seconds, life.ttl + 1, NEVER,
-                         life.pieces, lambda opened, gap: opened, fold, output)
+                         life.pieces, lambda opened, gap: opened, fold, output, (bool, np.int64))
 
 
 def ttl_dedup(events: DataFrame, keys: str | list[str], ts: str = "timestamp", order: str = "event_id",

@@ -96,6 +96,24 @@ def test_ttl_equals_brute_force(spark, ttl, slot):
         assert [got[i] for _, i in mine] == plain_ttl([t for t, _ in mine], ttl * 10**6)
 
 
+def test_hot_key_over_many_batches(spark):
+    """Slots larger than an Arrow batch, and side tables small enough to be broadcast at run time."""
+    n = 60_000
+    times = F.pmod(F.xxhash64("id"), F.lit(5 * 86_400 * 1_000_000))
+    df = spark.range(0, n, 1, 8).select(
+        F.col("id").alias("event_id"), F.when(F.col("id") % 3 > 0, 0).otherwise(F.col("id") % 500).alias("user_id"),
+        F.timestamp_micros(F.lit(1_704_067_200_000_000) + times).alias("timestamp"))
+    micros = df.select("event_id", "user_id", F.unix_micros("timestamp").alias("us")).collect()
+    limited = {r.event_id: r.admitted for r in admission.rate_limit(df, "user_id", max_tokens=10, refill_rate=0.02).collect()}
+    marked = {r.event_id: (r.hit, r.opened_us) for r in admission.ttl_repeats(df, "user_id", ttl=600, slot_seconds=43_200).collect()}
+    counts = admission.rate_limit(df, "user_id", max_tokens=10, refill_rate=0.02).count()
+    assert counts == n and len(limited) == n and len(marked) == n
+    mine = sorted((r.us, r.event_id) for r in micros if r.user_id == 0)
+    order = [t for t, _ in mine]
+    assert [limited[i] for _, i in mine] == Bucket.of(10, 0.02, 1).run(np.array(order), Bucket.of(10, 0.02, 1).capacity)[0].tolist()
+    assert [marked[i] for _, i in mine] == plain_ttl(order, 600 * 10**6)
+
+
 def test_ttl_boundary(spark):
     times = [0, 10, 11, 22]
     df = spark.createDataFrame([(i, "k", EPOCH + datetime.timedelta(seconds=t)) for i, t in enumerate(times)],
