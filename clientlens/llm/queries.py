@@ -7,8 +7,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from clientlens.llm import packing, pieces
+from clientlens.llm import packing, pieces, rules
 from clientlens.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +35,36 @@ def _piece_digest(ids: list[int], decoded: str) -> tuple[int, str, str]:
             hashlib.sha256(decoded.encode()).hexdigest())
 
 
+# The rules of the ledger are written out once more, so that the SQL does not depend on the operator.
+_RULES_SQL = r"""
+WITH texts AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+parts AS (SELECT row, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM texts),
+windows AS (SELECT row, unnest(range(1, len(words) - 6)) AS i, words FROM parts WHERE len(words) >= 8),
+spelled AS (SELECT row, i, list_aggregate(words[i:i + 7], 'string_agg', ' ') AS w FROM windows),
+repeated AS (SELECT row, i FROM (SELECT row, i, count(*) OVER (PARTITION BY row, w) AS n FROM spelled) WHERE n > 1),
+covered AS (SELECT row, count(DISTINCT p) AS n FROM (SELECT row, unnest(range(i, i + 8)) AS p FROM repeated) GROUP BY row),
+measured AS (
+    SELECT doc_id, len(words) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+        length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) AS n_lines,
+        len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words,
+        length(regexp_replace(text, '[^!]', '', 'g')) AS n_exclaims
+    FROM parts LEFT JOIN covered USING (row))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR 10 * n_symbols > 3 * n_words
+         OR 100 * n_dup_lines > 50 * n_lines OR 10 * n_exclaims > 5 * n_words) AS kept
+FROM (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM measured)
+"""
+
+
+@query("op4_rules", _RULES_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.ledger(documents(spark, sf_dir)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        (~rules.passes(rules.POLICIES["v1"])).alias("base_failed"),
+        (rules.passes(rules.POLICIES["v1"]) & rules.passes(rules.POLICIES["v2"])).alias("kept"))
+
+
 @query("op9_pieces")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_decode(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"),
