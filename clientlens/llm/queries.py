@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clientlens.llm import packing, pieces, rules
-from clientlens.llm.common import documents
+from clientlens.llm import language, packing, pieces, quality, rules
+from clientlens.llm.common import crc_remainder, documents, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,6 +65,24 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
         (rules.passes(rules.POLICIES["v1"]) & rules.passes(rules.POLICIES["v2"])).alias("kept"))
 
 
+@query("op7_language")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = F.coalesce(crc_remainder("doc_id", 3) == 1, F.lit(False))
+    network = language.fit(docs.where(~held_out))
+    return language.identify(docs.select("doc_id", "text"), network).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
+@query("op8_quality")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = written(quality.statistics(documents(spark, sf_dir)), "quality-statistics")
+    held_out = F.coalesce(crc_remainder("doc_id", 4) == 2, F.lit(False))
+    model = quality.fit(stats.where(~held_out), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = stats.select("doc_id", held_out.alias("held_out"), quality.score_statistics(model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
+
+
 @query("op9_pieces")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_decode(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"),
