@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clientlens.llm import language, packing, pieces, quality, rules
+from clientlens.llm import language, packing, pieces, quality, rules, similarity
 from clientlens.llm.common import crc_remainder, documents, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_decode(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"),
                                 _piece_digest, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+@query("op10_similarity")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.similar_documents(documents(spark, sf_dir))
