@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clientlens.llm import language, packing, pieces, quality, rules, similarity
+from clientlens.llm import language, packing, pieces, private, quality, rules, similarity
 from clientlens.llm.common import crc_remainder, documents, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,6 +65,20 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
         (rules.passes(rules.POLICIES["v1"]) & rules.passes(rules.POLICIES["v2"])).alias("kept"))
 
 
+def _private_digest(spans: list[private.Span]) -> tuple:
+    spelled = [f"{kind}:{start}:{end}" for kind, start, end in spans]
+    base = [text for text, span in zip(spelled, spans, strict=True) if span[0] in private.KINDS]
+    return (*(sum(span[0] == kind for span in spans) for kind in private.KINDS),
+            hashlib.sha256(",".join(base).encode()).hexdigest(), ",".join(spelled))
+
+
+@query("op6_private")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return private.find(docs, private.fit(docs), _private_digest,
+                        "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+
+
 @query("op7_language")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
