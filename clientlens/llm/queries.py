@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clientlens.llm import language, packing, pieces, private, quality, rules, similarity
+from clientlens.llm import language, packing, pieces, private, quality, rules, scoring, similarity
 from clientlens.llm.common import crc_remainder, documents, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,16 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_scoring")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = F.coalesce(crc_remainder("doc_id", 5) == 1, F.lit(False))
+    model, vocabulary = scoring.fit(docs.where(~held_out).select("text"))
+    return scoring.score(docs, model, vocabulary).select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"),
+        "base_score", "score")
+
+
 @query("op2_packing")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), ids="crc32")
