@@ -59,6 +59,10 @@ class WordTokens:
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.other = re.compile("[^\n\x20-\x7e¡-ɏ‐-‧]")
         self.ids: dict[str, bytes] = {}
+        # The file spells bytes as characters; letters of one word need no word pattern.
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in shown]
+        self.spelling = {b: chr(256 + k) for k, b in enumerate(hidden)}
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of every text."""
@@ -75,8 +79,16 @@ class WordTokens:
         if len(self.ids) > CACHED_WORDS:
             self.ids.clear()
         missing = list(set().union(*(p for p in plain if p)).difference(self.ids))
-        for at in range(0, len(missing), 4096):
-            part = missing[at:at + 4096]
+        merges = self.library.model.tokenize
+        mixed = []
+        for word in missing:
+            if word.isalpha() or word[0] == " " and word[1:].isalpha():
+                spelled = word.encode().decode("latin-1").translate(self.spelling)
+                self.ids[word] = array("I", [t.id for t in merges(spelled)]).tobytes()
+            else:
+                mixed.append(word)
+        for at in range(0, len(mixed), 4096):
+            part = mixed[at:at + 4096]
             found = self.library.encode_batch_fast(part, add_special_tokens=False)
             self.ids.update((word, array("I", e.ids).tobytes()) for word, e in zip(part, found, strict=True))
         get = self.ids.__getitem__
