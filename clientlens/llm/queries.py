@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clientlens.llm import language, packing, pieces, private, quality, rules, scoring, similarity
+from clientlens.llm import language, neighbours, packing, pieces, private, quality, rules, scoring, similarity
 from clientlens.llm.common import crc_remainder, documents, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,6 +75,12 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
         (rules.passes(rules.POLICIES["v1"]) & rules.passes(rules.POLICIES["v2"])).alias("kept"))
 
 
+@query("op5_neighbours")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return neighbours.nearest(vectors, vectors.where("vec_id % 20 = 0"), 20)
+
+
 def _private_digest(spans: list[private.Span]) -> tuple:
     spelled = [f"{kind}:{start}:{end}" for kind, start, end in spans]
     base = [text for text, span in zip(spelled, spans, strict=True) if span[0] in private.KINDS]
