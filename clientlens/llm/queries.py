@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clientlens.llm import language, neighbours, packing, pieces, private, quality, rules, scoring, similarity
+from clientlens.llm import extraction, language, neighbours, packing, pieces, private, quality, rules, scoring, similarity
 from clientlens.llm.common import crc_remainder, documents, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +45,11 @@ def _piece_digest(ids: list[int], decoded: str) -> tuple[int, str, str]:
             hashlib.sha256(decoded.encode()).hexdigest())
 
 
+@query("op3_extraction")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 # The rules of the ledger are written out once more, so that the SQL does not depend on the operator.
 _RULES_SQL = r"""
 WITH texts AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
