@@ -25,6 +25,8 @@ from array import array
 from collections import deque
 from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -184,7 +186,7 @@ def pack(docs: DataFrame, tokenizer: str, context: int = CONTEXT, tiers: tuple[i
     if tiers[0] != context:
         raise ValueError("the longest tier is the context size")
     checksum = ids == "crc32"
-    last, ids_type = ("ids_crc32", "long") if checksum else ("ids", "array<long>")
+    last, ids_type = ("ids_crc32", "long") if checksum else ("ids", "array<int>")
     ending = array("I", [end_id]).tobytes()
 
     def run(batches) -> Iterable:
@@ -205,7 +207,7 @@ def pack(docs: DataFrame, tokenizer: str, context: int = CONTEXT, tiers: tuple[i
                 del rooms[group]
             offset = 0
             for document, start, length, data, tokens in window:
-                value = zlib.crc32(data) if checksum else array("I", data).tolist()
+                value = zlib.crc32(data) if checksum else data
                 for column, cell in zip(rows, (document, start, length, tokens, base + counts["sequence"], offset,
                                                tier, base + group, value), strict=True):
                     column.append(cell)
@@ -215,6 +217,9 @@ def pack(docs: DataFrame, tokenizer: str, context: int = CONTEXT, tiers: tuple[i
         def taken() -> list[list]:
             nonlocal rows
             done, rows = rows, [[] for _ in range(9)]
+            if not checksum:
+                done[-1] = pa.ListArray.from_arrays(
+                    np.cumsum([0, *done[2]], dtype=np.int32), np.frombuffer(b"".join(done[-1]), np.int32))
             return done
 
         for batch in batches:
