@@ -13,8 +13,11 @@ BROADCAST_ROWS = 100_000
 
 
 def round_half_up(value: Column, digits: int) -> Column:
-    """Decimal rounding, so that ties do not depend on the binary value."""
-    return F.round(value.cast("decimal(38,6)"), digits).cast("double")
+    """Decimal rounding, so that ties do not depend on the last binary digits.
+
+    Values beyond the decimal's range are rounded as doubles.
+    """
+    return F.coalesce(F.round(value.try_cast("decimal(38,10)"), digits).cast("double"), F.round(value.cast("double"), digits))
 
 
 def let(value: Column, body) -> Column:
@@ -26,8 +29,10 @@ def top_n_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: in
               rank: str = "rank") -> DataFrame:
     """First ``n`` rows per key.
 
-    Spark plans a group limit before the shuffle, so a hot key sends at most
-    ``n`` rows from each task.
+    For ``n`` up to spark.sql.optimizer.windowGroupLimitThreshold (1,000) Spark
+    plans a group limit before the shuffle, so a hot key sends at most ``n``
+    rows from each task. Beyond it all rows of a key are sorted in one task,
+    with the same result.
     """
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= n)
@@ -36,23 +41,3 @@ def top_n_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: in
 def small_side(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast hint for a side whose row bound is known before it runs."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
-def collect_in_parts(df: DataFrame, keys: Sequence[str], item: Column, name: str,
-                     max_items: int = 1000, part: str = "part") -> DataFrame:
-    """Sorted list of ``item`` per key, split into parts of about ``max_items``.
-
-    A key with few items gives one row (part 0). A hot key gives as many rows as
-    its size needs, each built by a different task: the parts are hashed apart
-    and the explicit repartition keeps the skewed join and the grouping in
-    separate stages, so AQE may split the former.
-    """
-    keys = list(keys)
-    items = df.select(*keys, item.alias("_item"))
-    parts = items.groupBy(*keys).agg(
-        F.greatest(F.lit(1), F.ceil(F.count("_item") / F.lit(max_items))).cast("long").alias("_parts"))
-    placed = items.join(parts, keys).withColumn(
-        part, F.when(F.col("_parts") == 1, F.lit(0).cast("long"))
-        .otherwise(F.pmod(F.xxhash64("_item"), F.col("_parts"))))
-    return (placed.repartition(*keys, part).groupBy(*keys, part)
-            .agg(F.sort_array(F.collect_list("_item")).alias(name)))

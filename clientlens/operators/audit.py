@@ -54,9 +54,15 @@ def read_audit(spark, path: str) -> DataFrame:
 
 
 def to_audit_json(df: DataFrame, name: str = "audit_json") -> DataFrame:
-    """The record as JSON with nulls kept; ``details`` is embedded as JSON, {} when absent."""
+    """The record as JSON with nulls kept.
+
+    ``details`` is embedded as JSON where it parses, as a string where it does
+    not, and is {} when absent.
+    """
     entries = audit_entries(df)
-    details = F.try_parse_json(F.coalesce("details", F.lit("{}")))
+    listed = F.to_json(F.array("details"))
+    quoted = F.substring(listed, F.lit(2), F.length(listed) - 2)
+    details = F.coalesce(F.try_parse_json(F.coalesce("details", F.lit("{}"))), F.try_parse_json(quoted))
     fields = {f: F.col(f) for f in AUDIT_FIELDS} | {"timestamp": iso_timestamp(F.col("timestamp")), "details": details}
     record = F.struct(*[c.alias(f) for f, c in fields.items()])
     return entries.select("*", F.to_json(record, {"ignoreNullFields": "false"}).alias(name))
@@ -120,10 +126,10 @@ def validate_json_args(df: DataFrame, json_col: str, json_schema: Mapping) -> Da
         parsed = parsed.withColumn("args", F.lit(None).cast("struct<>"))
 
     def absent(n: str) -> Column:
-        return F.get_json_object(text, f"$.{n}").isNull()
+        return F.get_json_object(text, f"$['{n}']").isNull()
 
     missing = F.array(*[F.when(absent(n), n) for n in required]).cast("array<string>")
-    mistyped = F.array(*[F.when(~absent(n) & F.col(f"args.{n}").isNull(), n) for n in fields.names]).cast("array<string>")
+    mistyped = F.array(*[F.when(~absent(n) & F.col("args").getField(n).isNull(), n) for n in fields.names]).cast("array<string>")
     return (parsed.withColumn("missing", F.array_compact(missing))
             .withColumn("mistyped", F.array_compact(mistyped))
             .withColumn("valid", F.col("_raw").isNotNull() & (F.size("missing") == 0) & (F.size("mistyped") == 0))

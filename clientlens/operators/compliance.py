@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clientlens.common import collect_in_parts, round_half_up
+from clientlens.common import round_half_up
 from clientlens.functions.scores import ladder, risk_level
 from clientlens.sources import dimensions
 
@@ -20,9 +20,8 @@ DEFAULT_JURISDICTION = "SG"
 CHECK_SECTIONS = ("kyc", "sanctions", "pep", "aml")
 
 REQUIRED_DOCUMENTS = ("passport", "utility_bill", "bank_statement", "source_of_wealth_declaration")
-MISSING_FIELDS = ("authorized_signatory", "compliance_officer_review")
-TEMPLATE_SECTIONS = ("subject_information", "suspicious_activity_description", "transaction_details",
-                     "supporting_documentation")
+# Who must have signed a report.
+SIGNED_FIELDS = ("authorized_signatory", "compliance_officer_review")
 
 
 def _strings(values: Sequence[str]) -> Column:
@@ -100,33 +99,43 @@ def transaction_alerts(transactions: DataFrame, high: float = HIGH_VALUE, suspic
         F.col("ts").alias("created_at"), F.lit("OPEN").alias("status"))
 
 
-def sar_drafts(alerts: DataFrame, as_of: str, narratives: DataFrame | None = None, max_items: int = 1000) -> DataFrame:
-    """Draft reports with their transaction ids, sorted and without repeats.
+def _report_id(as_of: str) -> Column:
+    return F.concat(F.lit("SAR-"), F.date_format(F.lit(as_of).cast("date"), "yyyyMMdd"), F.lit("-"),
+                    F.col("customer_id").cast("string"))
 
-    One draft per customer; a customer with more than about ``max_items``
-    transactions gets several parts of the same report.
+
+def sar_transactions(alerts: DataFrame, as_of: str) -> DataFrame:
+    """The transactions of each draft report, one per row and without repeats."""
+    return (alerts.where(F.col("transaction_id").isNotNull()).select("customer_id", "transaction_id").distinct()
+            .select(_report_id(as_of).alias("report_id"), "customer_id", "transaction_id"))
+
+
+def sar_drafts(alerts: DataFrame, as_of: str, narratives: DataFrame | None = None, jurisdiction: str | None = None,
+               regulatory_body: str | None = None) -> DataFrame:
+    """One draft report per customer with the number of its transactions (:func:`sar_transactions` has them).
+
+    ``narratives`` holds customer_id and, as far as they are known, narrative and
+    the fields of SIGNED_FIELDS. What a draft lacks is listed in
+    ``missing_fields``.
     """
     today = F.lit(as_of).cast("date")
-    found = alerts.where(F.col("transaction_id").isNotNull()).select("customer_id", "transaction_id").distinct()
-    listed = collect_in_parts(found, ["customer_id"], F.col("transaction_id"), "transaction_ids", max_items)
-    drafts = alerts.select("customer_id").distinct().join(listed, "customer_id", "left")
-    if narratives is not None:
-        drafts = drafts.join(narratives.select("customer_id", "narrative"), "customer_id", "left")
-    else:
-        drafts = drafts.withColumn("narrative", F.lit(""))
-    empty = F.array().cast(listed.schema["transaction_ids"].dataType)
+    found = sar_transactions(alerts, as_of).groupBy("customer_id").agg(F.count("*").alias("transaction_count"))
+    drafts = alerts.select("customer_id").distinct().join(found, "customer_id", "left")
+    given = () if narratives is None else narratives.columns
+    fields = [f for f in ("narrative", *SIGNED_FIELDS) if f in given]
+    if fields:
+        drafts = drafts.join(narratives.select("customer_id", *fields), "customer_id", "left")
+    value = {f: F.coalesce(F.col(f).cast("string"), F.lit("")) if f in fields else F.lit("") for f in ("narrative", *SIGNED_FIELDS)}
+    count = F.coalesce("transaction_count", F.lit(0))
+    missing = F.array_compact(F.array(
+        F.when(value["narrative"] == "", "narrative"), F.when(count == 0, "transactions"),
+        *(F.when(value[f] == "", f) for f in SIGNED_FIELDS)))
     return drafts.select(
-        F.concat(F.lit("SAR-"), F.date_format(today, "yyyyMMdd"), F.lit("-"), F.col("customer_id").cast("string"))
-        .alias("report_id"),
-        F.coalesce("part", F.lit(0)).alias("part"),
-        F.lit("DRAFT").alias("status"), "customer_id",
-        F.coalesce("transaction_ids", empty).alias("transaction_ids"),
-        F.coalesce("narrative", F.lit("")).alias("narrative"),
-        F.lit("Singapore").alias("jurisdiction"), F.lit("MAS STRO").alias("regulatory_body"),
+        _report_id(as_of).alias("report_id"), F.lit("DRAFT").alias("status"), "customer_id",
+        count.alias("transaction_count"), value["narrative"].alias("narrative"),
+        F.lit(jurisdiction).cast("string").alias("jurisdiction"), F.lit(regulatory_body).cast("string").alias("regulatory_body"),
         F.date_add(today, FILING_DAYS).alias("filing_deadline"),
-        F.lit(False).alias("required_fields_complete"),
-        _strings(MISSING_FIELDS).alias("missing_fields"),
-        _strings(TEMPLATE_SECTIONS).alias("template_sections"))
+        (F.size(missing) == 0).alias("required_fields_complete"), missing.alias("missing_fields"))
 
 
 def aml_indicators(transactions: DataFrame, high: float = HIGH_VALUE) -> DataFrame:

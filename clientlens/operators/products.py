@@ -7,11 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clientlens.common import round_half_up, small_side, top_n_per
+from clientlens.common import round_half_up, top_n_per
 from clientlens.sources.dimensions import FX_RATES
 
-# Ratings run from 1 to 5; searches return 5 rows unless told otherwise.
-RISK_RATINGS = (1, 2, 3, 4, 5)
+# Fixed value: searches return 5 rows unless told otherwise.
 DEFAULT_RESULTS = 5
 
 
@@ -37,19 +36,22 @@ def search_products(products: DataFrame, scores: DataFrame, max_risk_rating: int
 
 
 def best_per_level(products: DataFrame, n: int) -> DataFrame:
-    """For each customer rating: the ``n`` best products at or below it, and how many there are.
+    """For each rating that products have: the ``n`` best products at or below it, and how many there are.
 
-    The best per own rating are found first, so at most 5·n rows reach the
-    second ranking.
+    The best per own rating are found first, so at most ratings·n rows reach the
+    second ranking. ``levels`` lists the ratings, for customers to find theirs.
     """
     order = [F.asc("expense_ratio"), F.asc("product_id")]
-    top_rating = RISK_RATINGS[-1]
-    rated = products.where(F.col("risk_rating").between(RISK_RATINGS[0], top_rating))
+    rated = products.where(F.col("risk_rating").isNotNull())
+    levels = rated.agg(F.sort_array(F.collect_set("risk_rating"))).scalar()
+
+    def at_or_above(df: DataFrame) -> DataFrame:
+        return (df.withColumn("levels", levels)
+                .withColumn("level", F.explode(F.filter("levels", lambda level: level >= F.col("risk_rating")))))
+
     own = top_n_per(rated, ["risk_rating"], order, n).drop("rank")
-    levels = own.withColumn("level", F.explode(F.sequence("risk_rating", F.lit(top_rating))))
-    best = top_n_per(levels, ["level"], order, n)
-    totals = (rated.groupBy("risk_rating").agg(F.count("*").alias("products"))
-              .withColumn("level", F.explode(F.sequence("risk_rating", F.lit(top_rating))))
+    best = top_n_per(at_or_above(own).drop("levels"), ["level"], order, n)
+    totals = (at_or_above(rated.groupBy("risk_rating").agg(F.count("*").alias("products")))
               .groupBy("level").agg(F.sum("products").alias("suitable_products")))
     return best.join(totals, "level")
 
@@ -58,33 +60,39 @@ def suitable_products(customers: DataFrame, products: DataFrame, n: int = DEFAUL
                       keep: Sequence[str] = ()) -> DataFrame:
     """The ``n`` cheapest products whose risk does not exceed the customer's.
 
-    ``keep`` names further customer columns to carry along.
+    Ratings may be any numbers: a customer's level is the highest product rating
+    that is not above the customer's own. ``keep`` names further customer columns.
 
-    Customers meet a table of 5·n rows on their rating: no range join and no
-    shuffle of the customers.
+    Customers meet a table of ratings·n rows on their level: no range join.
     """
     best = best_per_level(products, n).select(
         "level", "product_id", "product_name", "risk_rating", "expense_ratio", "rank", "suitable_products")
-    asked = customers.select("customer_id", *keep, F.least(F.col("risk_rating"), F.lit(RISK_RATINGS[-1])).alias("level"))
-    return asked.join(small_side(best, len(RISK_RATINGS) * n), "level").drop("level")
+    levels = products.agg(F.sort_array(F.collect_set("risk_rating"))).scalar()
+    asked = customers.select("customer_id", *keep, F.col("risk_rating").alias("_own")).withColumn("_levels", levels)
+    placed = asked.withColumn("level", F.array_max(F.filter("_levels", lambda level: level <= F.col("_own"))))
+    return placed.drop("_levels", "_own").join(best, "level").drop("level")
 
 
 def assess_suitability(pairs: DataFrame, customers: DataFrame, products: DataFrame) -> DataFrame:
-    """Status, warnings and disclosures for given (customer_id, product_id) pairs."""
+    """Status, warnings and disclosures for given (customer_id, product_id) pairs.
+
+    A pair whose customer or product, or its rating, is not known is UNKNOWN.
+    """
     who = customers.select("customer_id", F.col("risk_rating").alias("_customer_risk"),
                            F.col("preferred_currency").alias("_wanted"))
     what = products.select("product_id", F.col("risk_rating").alias("_product_risk"),
                            F.col("currency").alias("_currency"))
-    joined = pairs.join(who, "customer_id").join(what, "product_id")
+    joined = pairs.join(who, "customer_id", "left").join(what, "product_id", "left")
     match = F.col("_product_risk") <= F.col("_customer_risk")
     other_currency = F.col("_currency") != F.col("_wanted")
-    factors = ["Customer risk rating vs product risk", "Investment horizon", "Liquidity requirements",
-               "Regulatory restrictions"]
+    considered = F.array_compact(F.array(
+        F.when(match.isNotNull(), "risk ratings of customer and product"),
+        F.when(other_currency.isNotNull(), "currencies of customer and product")))
     return joined.select(
         "customer_id", "product_id",
-        F.when(match, "SUITABLE").otherwise("NOT_SUITABLE").alias("suitability_status"),
+        F.when(match, "SUITABLE").when(~match, "NOT_SUITABLE").otherwise("UNKNOWN").alias("suitability_status"),
         match.alias("risk_match"),
-        F.array(*[F.lit(f) for f in factors]).alias("factors_considered"),
+        considered.alias("factors_considered"),
         F.array_compact(F.array(
             F.when(~match, "Product risk exceeds customer risk rating"),
             F.when(other_currency, "Product currency differs from preferred currency"))).alias("warnings"),
@@ -114,26 +122,21 @@ def product_metrics(products: DataFrame, prices: DataFrame, as_of: str) -> DataF
 
 
 METRICS = ("risk_rating", "expense_ratio", "1y_return", "volatility")
-MAX_PIVOT_IDS = 1000
 
 
 def compare_products(metrics: DataFrame, ids: DataFrame | Sequence) -> DataFrame:
-    """Metric × product matrix.
-
-    A list of ids gives one column per product. A DataFrame of ids, of any size,
-    gives the same matrix in rows: metric, product_id, value.
-    """
+    """Metric × product values in rows (metric, product_id, value) for any number of products."""
     if isinstance(ids, DataFrame):
         wanted = ids.select(F.col(ids.columns[0]).alias("product_id")).distinct()
         chosen = metrics.join(wanted, "product_id", "left_semi")
     else:
-        if len(ids) > MAX_PIVOT_IDS:
-            raise ValueError("pass many ids as a DataFrame")
         chosen = metrics.where(F.col("product_id").isin(list(ids)))
-    cells = chosen.unpivot(["product_id"], list(METRICS), "metric", "value")
-    if isinstance(ids, DataFrame):
-        return cells
-    return cells.groupBy("metric").pivot("product_id", list(ids)).agg(F.first("value"))
+    return chosen.unpivot(["product_id"], list(METRICS), "metric", "value")
+
+
+def comparison_matrix(metrics: DataFrame, ids: Sequence) -> DataFrame:
+    """The comparison as a matrix: one row per metric, one column per given product."""
+    return (compare_products(metrics, ids).groupBy("metric").pivot("product_id", list(ids)).agg(F.first("value")))
 
 
 def convert_currency(df: DataFrame, amount: str, from_currency: str | Column, to_currency: str | Column | None = None,

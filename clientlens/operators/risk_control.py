@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clientlens.common import collect_in_parts, round_half_up
+from clientlens.common import round_half_up
 from clientlens.functions.scores import ladder
 
 # The period assumed when none is given.
@@ -14,42 +14,49 @@ DEFAULT_SUMMARY_PERIOD = "2024"
 
 EFFECTIVENESS_BANDS = ((65, "Ineffective"), (75, "Partially Effective"))
 TOP_EFFECTIVENESS = "Effective"
+UNTESTED = "Not Tested"
 
 
 def control_effectiveness(tests: DataFrame, controls: DataFrame, period: str | None = None) -> DataFrame:
-    """Exceptions, design and operating scores of each control for one period."""
+    """Exceptions, design and operating scores of each control for one period.
+
+    A control without tests in the period has no samples, null scores and the
+    rating ``Not Tested``.
+    """
     period = period or DEFAULT_PERIOD
     results = tests.where(F.col("period") == period).groupBy("control_id").agg(
         F.count("*").alias("samples_tested"), F.count_if("exception").alias("exceptions_found"))
     rate = F.try_divide(F.col("exceptions_found"), F.col("samples_tested"))
     operating = (1 - rate) * 100
     score = (F.col("design_score") + operating) / 2
-    return controls.join(results, "control_id").select(
+    return controls.join(results, "control_id", "left").select(
         "control_id",
         F.lit(period).alias("assessment_period"),
-        "samples_tested", "exceptions_found",
+        F.coalesce("samples_tested", F.lit(0)).alias("samples_tested"),
+        F.coalesce("exceptions_found", F.lit(0)).alias("exceptions_found"),
         round_half_up(rate, 4).alias("exception_rate"),
         F.col("design_score").alias("design_effectiveness"),
         round_half_up(operating, 2).alias("operating_effectiveness"),
         round_half_up(score, 2).alias("effectiveness_score"),
-        effectiveness_rating(round_half_up(score, 2)).alias("effectiveness_rating"))
+        F.coalesce(effectiveness_rating(score), F.lit(UNTESTED)).alias("effectiveness_rating"))
 
 
 def effectiveness_rating(score: Column) -> Column:
-    return ladder(score, EFFECTIVENESS_BANDS, TOP_EFFECTIVENESS)
-
-
-def map_risks_to_controls(risks: DataFrame, risk_control: DataFrame, controls: DataFrame,
-                          max_items: int = 1000) -> DataFrame:
-    """Controls per risk. A risk with very many controls takes several rows (``part``)."""
-    described = risk_control.join(controls, "control_id")
-    mapped = collect_in_parts(described, ["risk_id"],
-                              F.struct("control_id", "control_type", "effectiveness"), "controls", max_items)
-    empty = F.array().cast(mapped.schema["controls"].dataType)
-    return (risks.select("risk_id").join(mapped, "risk_id", "left")
-            .select("risk_id", F.coalesce("part", F.lit(0)).alias("part"),
-                    F.coalesce("controls", empty).alias("controls"),
-                    F.when(F.col("controls").isNotNull(), "Adequate").otherwise("None").alias("control_coverage")))
+    return F.when(score.isNotNull(), ladder(score, EFFECTIVENESS_BANDS, TOP_EFFECTIVENESS))
+
+
+def risk_controls(risk_control: DataFrame, controls: DataFrame) -> DataFrame:
+    """One row per risk and mapped control; type and effectiveness are null for a control that is not described."""
+    return risk_control.join(controls, "control_id", "left").select(
+        "risk_id", "control_id", "control_type", "effectiveness")
+
+
+def map_risks_to_controls(risks: DataFrame, risk_control: DataFrame) -> DataFrame:
+    """One row per risk with the number of its controls; :func:`risk_controls` has them."""
+    counted = risk_control.groupBy("risk_id").agg(F.count("*").alias("control_count"))
+    return (risks.select("risk_id").join(counted, "risk_id", "left")
+            .select("risk_id", F.coalesce("control_count", F.lit(0)).alias("control_count"),
+                    F.when(F.col("control_count") > 0, "Adequate").otherwise("None").alias("control_coverage")))
 
 
 def mapping_analysis(risks: DataFrame, risk_control: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clientlens.common import collect_in_parts, round_half_up
+from clientlens.common import round_half_up
 
 # Lists consulted and sources of PEP data.
 LISTS_CHECKED = ("OFAC", "UN", "EU", "UK_HMT", "SG_MAS")
@@ -51,33 +51,49 @@ def matching_names(names: DataFrame, listed: DataFrame, max_distance: int) -> Da
             .where(F.col("distance") <= max_distance))
 
 
-def screen_names(customers: DataFrame, watchlist: DataFrame, max_distance: int = 1, max_items: int = 1000) -> DataFrame:
-    """Screen every customer's name against the listed parties.
+def _scored_names(customers: DataFrame, watchlist: DataFrame, max_distance: int) -> DataFrame:
+    """Distinct names with each distinct (list, listed name, country) entry they match and its score.
 
     Distinct names are compared, not customers, so neither a name shared by many
-    customers nor one listed many times multiplies the work. Matches per name
-    are the distinct (list, listed name, country) entries.
+    customers nor one listed many times multiplies the work.
     """
-    named = customers.select("customer_id", "name", F.col("jurisdiction").alias("country"),
-                             normalise_name(F.col("name")).alias("_name"))
+    names = customers.select(normalise_name(F.col("name")).alias("name")).distinct()
     entries = watchlist.select(normalise_name(F.col("listed_name")).alias("listed"), "list_name",
                                F.col("country").alias("listed_country")).distinct()
-    pairs = matching_names(named.select(F.col("_name").alias("name")).distinct(),
-                           entries.select("listed").distinct(), max_distance)
+    pairs = matching_names(names, entries.select("listed").distinct(), max_distance)
     longest = F.greatest(F.length("name"), F.length("listed"), F.lit(1))
-    scored = (pairs.withColumn("score", round_half_up(1 - F.col("distance") / longest, 4)).join(entries, "listed")
-              .withColumnRenamed("name", "_name"))
-    best = scored.groupBy("_name").agg(F.count("*").alias("matches_found"), F.max("score").alias("screening_score"))
-    lists = collect_in_parts(scored, ["_name"], F.struct("score", "list_name", "listed", "listed_country"),
-                             "potential_matches", max_items)
-    found = lists.join(best, "_name")
-    empty = F.array().cast(lists.schema["potential_matches"].dataType)
-    return (named.join(found, "_name", "left").select(
+    return (pairs.withColumn("score", round_half_up(1 - F.col("distance") / longest, 4)).join(entries, "listed")
+            .withColumnRenamed("name", "_name"))
+
+
+def _named(customers: DataFrame) -> DataFrame:
+    return customers.select("customer_id", "name", F.col("jurisdiction").alias("country"),
+                            normalise_name(F.col("name")).alias("_name"))
+
+
+def screening_matches(customers: DataFrame, watchlist: DataFrame, max_distance: int = 1) -> DataFrame:
+    """One row per customer and matching entry: the details behind :func:`screen_names`.
+
+    ``same_country`` tells whether the entry's country is the customer's; null
+    where one of them is not known.
+    """
+    return (_named(customers).join(_scored_names(customers, watchlist, max_distance), "_name")
+            .select("customer_id", "name", "country", "list_name", "listed", "listed_country", "score",
+                    (F.col("country") == F.col("listed_country")).alias("same_country")))
+
+
+def screen_names(customers: DataFrame, watchlist: DataFrame, max_distance: int = 1) -> DataFrame:
+    """One row per customer with the number of matching entries and the best score.
+
+    Only counts per distinct name are joined to the customers; a match list of
+    any length is in :func:`screening_matches`.
+    """
+    best = _scored_names(customers, watchlist, max_distance).groupBy("_name").agg(
+        F.count("*").alias("matches_found"), F.max("score").alias("screening_score"))
+    return (_named(customers).join(best, "_name", "left").select(
         "customer_id", "name", "country",
-        F.coalesce("part", F.lit(0)).alias("part"),
         F.col("matches_found").isNotNull().alias("match_found"),
         F.coalesce("matches_found", F.lit(0)).alias("matches_found"),
-        F.coalesce("potential_matches", empty).alias("potential_matches"),
         F.coalesce("screening_score", F.lit(0.0)).alias("screening_score"),
         F.array(*[F.lit(x) for x in LISTS_CHECKED]).alias("lists_checked"),
         F.when(F.col("screening_score") == 1, "BLOCK - Exact sanctions match")

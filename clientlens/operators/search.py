@@ -47,7 +47,7 @@ def _matrix(column) -> np.ndarray:
 
 def _scores(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     width = min(queries.shape[1], vectors.shape[1])
-    return np.round(queries[:, :width] @ vectors[:, :width].T, SCORE_DIGITS)
+    return queries[:, :width] @ vectors[:, :width].T
 
 
 def _best(query_ids, vector_ids, scores, k, threshold):
@@ -56,8 +56,9 @@ def _best(query_ids, vector_ids, scores, k, threshold):
     for i in range(scores.shape[0]):
         keep = np.flatnonzero(scores[i] >= threshold)
         if len(keep):
-            order = np.lexsort((vector_ids[keep], -scores[i][keep]))[:k]
-            rows.append((np.full(len(order), query_ids[i]), vector_ids[keep][order], scores[i][keep][order]))
+            shown = np.round(scores[i][keep], SCORE_DIGITS)
+            order = np.lexsort((vector_ids[keep], -shown))[:k]
+            rows.append((np.full(len(order), query_ids[i]), vector_ids[keep][order], shown[order]))
     return rows
 
 
@@ -68,7 +69,7 @@ def _first(query_ids, vector_ids, scores, k, threshold):
     if not len(found):
         return []
     lowest = np.where(hit[found], vector_ids, np.iinfo(np.int64).max).argmin(axis=1)
-    return [(query_ids[found], vector_ids[lowest], scores[found, lowest])]
+    return [(query_ids[found], vector_ids[lowest], np.round(scores[found, lowest], SCORE_DIGITS))]
 
 
 _PAIR_SCHEMA = "query_id long, vector_id long, score double"

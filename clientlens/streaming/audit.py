@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from clientlens.functions.text import mask_text
+from clientlens.functions.text import mask_json
 from clientlens.operators.audit import audit_entries
 
 
 def masked_entries(records: DataFrame) -> DataFrame:
-    """Audit records with personal data masked in ``details``."""
-    return audit_entries(records).withColumn("details", mask_text(F.col("details")))
+    """Audit records with personal data masked in ``details``, by key and value where it is JSON."""
+    return audit_entries(records).withColumn("details", mask_json(F.col("details")))
 
 
 def stream_audit(stream: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:

@@ -1,15 +1,18 @@
 """Values worked out by hand from the computed rules, and edge rows."""
 
 import datetime
+import json
 import math
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from clientlens.common import round_half_up
 from clientlens.functions import keys, scores, text, vectors
-from clientlens.operators import audit, compliance, conversations, customers, lookup, portfolio, products, risk_control
+from clientlens.operators import audit, compliance, conversations, customers, lookup, portfolio, products, risk_control, search
 from clientlens.sources import dimensions
+from clientlens.streaming.audit import masked_entries
 
 FACTORS = ("customer_id long, geographic_risk double, product_risk double, channel_risk double, "
            "customer_type_risk double, tenure_risk double, transaction_behavior_risk double")
@@ -248,9 +251,10 @@ def test_suitable_products_plan_has_no_nested_loop(spark):
 def test_compare_products_matrix(spark):
     metrics = spark.createDataFrame([(1, 5.0, 1.49, 12.5, 0.3), (2, 3.0, 0.99, 7.8, 0.1)],
                                     "product_id long, risk_rating double, expense_ratio double, `1y_return` double, volatility double")
-    wide = {r.metric: r for r in products.compare_products(metrics, [1, 2]).collect()}
+    wide = {r.metric: r for r in products.comparison_matrix(metrics, [1, 2]).collect()}
     assert wide["expense_ratio"]["1"] == 1.49 and wide["1y_return"]["2"] == 7.8
     assert products.compare_products(metrics, metrics.select("product_id")).count() == 8
+    assert products.compare_products(metrics, list(range(5000))).count() == 8
 
 
 def test_lookup_and_aggregate(spark):
@@ -291,9 +295,74 @@ def test_coverage_and_effectiveness(spark):
 def test_sar_drafts(spark):
     alerts = spark.createDataFrame([(1, 5), (1, 3), (1, 5), (2, None)], "customer_id long, transaction_id long")
     rows = {r.customer_id: r for r in compliance.sar_drafts(alerts, "2024-01-20").collect()}
-    assert rows[1].transaction_ids == [3, 5] and rows[2].transaction_ids == []
+    assert rows[1].transaction_count == 2 and rows[2].transaction_count == 0
+    assert sorted(r.transaction_id for r in compliance.sar_transactions(alerts, "2024-01-20").collect()) == [3, 5]
     assert rows[1].report_id == "SAR-20240120-1" and rows[1].filing_deadline == datetime.date(2024, 2, 4)
-    assert rows[1].required_fields_complete is False and len(rows[1].template_sections) == 4
+    signed = ["authorized_signatory", "compliance_officer_review"]
+    assert rows[1].missing_fields == ["narrative", *signed] and rows[2].missing_fields == ["narrative", "transactions", *signed]
+    told = spark.createDataFrame([(1, "text", "A", "B")], "customer_id long, narrative string, authorized_signatory string, "
+                                 "compliance_officer_review string")
+    full = {r.customer_id: r for r in compliance.sar_drafts(alerts, "2024-01-20", told).collect()}
+    assert full[1].required_fields_complete and full[1].missing_fields == [] and not full[2].required_fields_complete
+
+
+def test_ratings_of_any_range_find_products(spark):
+    people = spark.createDataFrame([(1, 6), (2, 3), (3, -1), (4, None)], "customer_id long, risk_rating int")
+    table = spark.createDataFrame([(1, "a", 6, 0.3), (2, "b", 0, 0.2), (3, "c", 2, 0.1)],
+                                  "product_id long, product_name string, risk_rating int, expense_ratio double")
+    found = {(r.customer_id, r.product_id, r.suitable_products) for r in products.suitable_products(people, table, 5).collect()}
+    assert found == {(1, 1, 3), (1, 2, 3), (1, 3, 3), (2, 2, 2), (2, 3, 2)}
+
+
+def test_unknown_pairs_stay(spark):
+    who = spark.createDataFrame([(1, 3, "USD")], "customer_id long, risk_rating int, preferred_currency string")
+    what = spark.createDataFrame([(1, 2, "EUR")], "product_id long, risk_rating int, currency string")
+    pairs = spark.createDataFrame([(1, 1), (1, 9), (9, 1)], "customer_id long, product_id long")
+    rows = {(r.customer_id, r.product_id): r for r in products.assess_suitability(pairs, who, what).collect()}
+    assert {k: r.suitability_status for k, r in rows.items()} == {(1, 1): "SUITABLE", (1, 9): "UNKNOWN", (9, 1): "UNKNOWN"}
+    assert len(rows[1, 1].factors_considered) == 2 and rows[1, 9].factors_considered == []
+
+
+def test_levels_and_thresholds_use_unrounded_values(spark):
+    names = ("geographic_risk", "product_risk", "channel_risk", "customer_type_risk", "tenure_risk", "transaction_behavior_risk")
+    factors = spark.createDataFrame([(1, 29.996, 0.0, 0.0, 0.0, 0.0, 0.0)], "customer_id long, " + ", ".join(f"{n} double" for n in names))
+    row = one(customers.customer_risk_score(factors, "2024-01-01"))
+    assert (row.risk_score, row.risk_level) == (30.0, "LOW")
+    rounded = spark.createDataFrame([(1.0049996,), (1.005,), (1e40,), (None,)], "v double").select(round_half_up(F.col("v"), 2).alias("v"))
+    assert [r.v for r in rounded.collect()] == [1.0, 1.01, 1e40, None]
+    angle = math.acos(0.9499996)
+    queries = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, embedding array<double>")
+    vectors = spark.createDataFrame([(1, [math.cos(angle), math.sin(angle)])], "vec_id long, embedding array<double>")
+    assert search.vector_search(queries, vectors, 1, 0.95).count() == 0
+    assert search.vector_search(queries, vectors, 1, 0.9499).count() == 1
+
+
+def test_audit_details_of_any_form_are_kept(spark):
+    details = ["free text", '{"acct": 12345678901, "mail": "ab@example.com"}', '{"api_key": "x1", "token": 5, "in": {"password": "p", "n": [1, "t"]}}',
+               'say "hi" \\ there', None, "[1, 2]"]
+    rows = spark.createDataFrame([(i, d, datetime.datetime(2024, 1, 2)) for i, d in enumerate(details)],
+                                 "i long, details string, timestamp timestamp").repartition(1)
+    shown = [json.loads(r.audit_json)["details"] for r in audit.to_audit_json(rows).collect()]
+    assert shown == ["free text", json.loads(details[1]), json.loads(details[2]), details[3], {}, [1, 2]]
+    masked = [r.details for r in masked_entries(rows).collect()]
+    again = [json.loads(r.audit_json)["details"] for r in audit.to_audit_json(masked_entries(rows)).collect()]
+    assert again[0] == "free text" and again[5] == [1, 2]
+    assert again[1]["acct"] == 12345678901 and "ab@example.com" not in masked[1] and set(again[1]) == {"acct", "mail"}
+    hidden = "***MASKED***"
+    assert again[2] == {"api_key": hidden, "token": hidden, "in": {"password": hidden, "n": [1, "t"]}}
+
+
+def test_arguments_with_dotted_names(spark):
+    schema = {"properties": {"a.b": {"type": "integer"}, "c": {"type": "string"}}, "required": ["a.b"]}
+    calls = spark.createDataFrame([('{"a.b": 3}',), ('{"c": "x"}',), ('{"a.b": "no"}',), ("not json",)], "args_json string")
+    rows = audit.validate_json_args(calls, "args_json", schema).collect()
+    assert [r.valid for r in rows] == [True, False, False, False]
+    assert rows[0].args["a.b"] == 3 and rows[1].missing == ["a.b"] and rows[2].mistyped == ["a.b"]
+
+
+def test_csv_cells_are_quoted(spark):
+    docs = spark.createDataFrame([(1, '| a | 1,000 |\n| "q" | 2 |')], "doc_id long, text string")
+    assert one(text.extract_tables(docs, "doc_id", "text", "csv")).content == 'a,"1,000"\n"""q""",2'
 
 
 def test_audit_json_and_query(spark):

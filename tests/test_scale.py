@@ -8,7 +8,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from clientlens.common import collect_in_parts
 from clientlens.operators import admission, compliance, customers, graph, risk_control, screening, search
 from clientlens.operators.admission import NEVER, Bucket, Lifetime, _apply
 
@@ -124,30 +123,22 @@ def test_ttl_boundary(spark):
 
 # --- hot groups ------------------------------------------------------------------------
 
-def test_collect_in_parts_splits_hot_keys(spark):
-    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
-    parts = collect_in_parts(df, ["k"], F.col("v"), "items", max_items=100)
-    assert parts.where("k = 0").count() == 10
-    assert parts.where("k <> 0").agg(F.max("part")).first()[0] == 0
-    sizes = parts.select(F.max(F.size("items")).alias("m"), F.sum(F.size("items")).alias("s")).first()
-    assert sizes.s == 3000 and sizes.m < 200
-    assert sorted(parts.where("k = 0").select(F.explode("items")).toPandas().iloc[:, 0]) == list(range(0, 3000, 3))
-
-
-def test_sar_parts_are_whole(spark):
+def test_a_busy_customer_has_one_report(spark):
     alerts = spark.range(500).select(F.lit(1).alias("customer_id"), F.col("id").alias("transaction_id"))
-    drafts = compliance.sar_drafts(alerts, "2024-01-01", max_items=50).collect()
-    assert len(drafts) == 10 and len({d.report_id for d in drafts}) == 1
-    assert sorted(t for d in drafts for t in d.transaction_ids) == list(range(500))
+    drafts = compliance.sar_drafts(alerts.union(alerts), "2024-01-01").collect()
+    assert [(d.report_id, d.transaction_count) for d in drafts] == [("SAR-20240101-1", 500)]
+    details = compliance.sar_transactions(alerts.union(alerts), "2024-01-01").collect()
+    assert sorted(t.transaction_id for t in details) == list(range(500)) and {t.report_id for t in details} == {"SAR-20240101-1"}
 
 
 def test_risk_with_many_controls(spark):
     links = spark.range(300).select(F.lit(1).alias("risk_id"), F.col("id").alias("control_id"))
     controls = spark.range(300).select(F.col("id").alias("control_id"), F.lit("Preventive").alias("control_type"), F.lit("Effective").alias("effectiveness"))
     risks = spark.createDataFrame([(1,), (2,)], "risk_id long")
-    rows = risk_control.map_risks_to_controls(risks, links, controls, max_items=100).collect()
-    assert sum(len(r.controls) for r in rows) == 300
-    assert [(r.controls, r.control_coverage) for r in rows if r.risk_id == 2] == [([], "None")]
+    rows = risk_control.map_risks_to_controls(risks, links).collect()
+    assert sorted((r.risk_id, r.control_count, r.control_coverage) for r in rows) == [(1, 300, "Adequate"), (2, 0, "None")]
+    assert risk_control.risk_controls(links, controls.where("control_id < 7")).where("control_type IS NULL").count() == 293
+
 
 
 def test_transaction_profile_equals_brute_force(spark):
