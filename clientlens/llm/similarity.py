@@ -16,14 +16,16 @@ Steps:
    occur in another set. Sets below this bound are done: they have no link.
 2. The rest are read again in full. Sets that share the smallest of their
    rehashed tokens are walked in order and compared with the leaders of their
-   bucket; links to leaders join them into groups, twice with different hashes.
-   Large buckets are split by a hash, and meet again in the second walk.
-3. The bound is tested again with the groups in place of single sets: tokens
-   that occur in one group only (or in none but q's own) do not count. Usually
-   nothing is left.
-4. What is left opens groups: of each such q the rarest tokens, one more than
-   may be missing, name the candidate groups; the matrix counts the overlap
-   with each; the members of qualifying groups are compared with q.
+   bucket; links to leaders join them into groups. Large buckets are split by a
+   hash, and their sets meet again in a second walk with other buckets.
+3. The matrix of all tokens of these sets gives for each token the number of
+   groups that have it. Tokens of one group only bound q from outside: if other
+   groups lack more than a fifth of q's tokens, q is done.
+4. For the others, tokens are ordered by their number of groups. Of the first
+   fifth and one more in this order, q shares at least one with any similar set,
+   and so does that set: a group without one of them cannot qualify. The members
+   of qualifying groups that have such a token and a size that fits are compared
+   with q. Members of q's own group are not: they are joined already.
 
 Every step is exact, so the result has every link that the definition gives.
 No step builds pairs within a group, and no list per key is held: the walks
@@ -33,10 +35,12 @@ stream over sorted rows and hold a bounded number of leaders.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clientlens.llm.common import map_batches, written
@@ -45,7 +49,8 @@ from clientlens.llm.graphs import components
 WORDS = 5
 SIMILARITY = 80  # per cent
 LEADERS = 16  # compared with by each set of a bucket
-BUCKET = 2_000  # sets of a bucket that are walked together
+BUCKET = 20_000  # sets of a bucket that are walked together
+HELD = 1_000_000  # rows of one key that a task holds
 BATCH_TOKENS = 1_500_000  # of the samples that a task compares before it sends them
 SMALL = 1_000_000  # rows of a table of ids that may be broadcast
 _ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
@@ -106,15 +111,16 @@ def _send_samples(batches) -> Iterator[list]:
     held = 0
 
     def sent() -> list:
-        tokens = np.concatenate(samples)
-        owner = np.repeat(np.array(sets, np.int64), [len(s) for s in samples])
+        # Copies within the task are one set.
+        once = np.unique(np.array(sets, np.int64), return_index=True)[1]
+        tokens = np.concatenate([samples[i] for i in once])
+        owner = np.repeat(np.array(sets, np.int64)[once], [len(samples[i]) for i in once])
         order = np.lexsort((owner, tokens))
         tokens, owner = tokens[order], owner[order]
-        starts = np.r_[True, tokens[1:] != tokens[:-1]]
-        fresh = starts | np.r_[True, owner[1:] != owner[:-1]]
-        tokens, owner, starts = tokens[fresh], owner[fresh], starts[fresh]
+        starts = np.r_[True, tokens[1:] != tokens[:-1]][:len(tokens)]
         at = np.flatnonzero(starts)
-        shared = np.repeat(np.diff(np.r_[at, len(tokens)]) > 1, np.diff(np.r_[at, len(tokens)]))
+        several = owner[at] != owner[np.r_[at[1:], len(tokens)][:len(at)] - 1]
+        shared = np.repeat(several, np.diff(np.r_[at, len(tokens)]))
         alone, known = ~shared, shared & starts
         own, counts = np.unique(owner[shared], return_counts=True)
         key = np.concatenate([tokens[alone], tokens[known], own, np.array(ids, np.int64)])
@@ -134,7 +140,7 @@ def _send_samples(batches) -> Iterator[list]:
                 ids.append(key)
                 sizes.append(len(tokens))
                 sets.append(set_id(tokens))
-                samples.append(tokens[:sample_size(len(tokens))] if len(tokens) else tokens)
+                samples.append(tokens[:sample_size(len(tokens))] >> 20 if len(tokens) else tokens)
                 held += len(samples[-1])
             if held > BATCH_TOKENS:
                 held = 0
@@ -206,15 +212,22 @@ def _maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= SMALL else df
 
 
-def _leader_links(sets: DataFrame, bucket: str) -> DataFrame:
-    """Links of sets to leaders of their bucket; buckets above BUCKET sets are split by a hash of set and bucket."""
-    large = sets.groupBy(bucket).agg(F.ceil(F.count(F.lit(1)) / BUCKET).alias("parts")).where("parts > 1")
-    large = written(large, "buckets")
-    placed = (sets.join(_maybe_broadcast(large, large.count()), bucket, "left")
-              .select(F.col(bucket).alias("bucket"),
-                      F.pmod(F.xxhash64("set", F.lit(bucket)), F.coalesce("parts", F.lit(1))).alias("part"), "set", "tokens"))
-    return map_batches(placed.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "set"), _walk,
-                       "a long, b long")
+def _leader_links(sets: DataFrame) -> DataFrame:
+    """Links of sets to leaders of their bucket.
+
+    Buckets above BUCKET sets are split by a hash; their sets are walked once more in other buckets.
+    """
+    large = written(sets.groupBy("bucket0").agg(F.ceil(F.count(F.lit(1)) / BUCKET).alias("parts")).where("parts > 1"), "buckets")
+    rows = large.count()
+    sized = sets.join(_maybe_broadcast(large, rows), "bucket0", "left")
+    walks = []
+    for bucket in ("bucket0", "bucket1") if rows else ("bucket0",):
+        part = F.pmod(F.xxhash64("set", F.lit(bucket)), F.coalesce("parts", F.lit(1)))
+        placed = (sized if bucket == "bucket0" else sized.where("parts IS NOT NULL")).select(
+            F.col(bucket).alias("bucket"), part.alias("part"), "set", "tokens")
+        walks.append(map_batches(placed.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "set"), _walk,
+                                 "a long, b long"))
+    return walks[0].union(walks[1]) if rows else walks[0]
 
 
 def _needed(shared: Column, n: Column) -> Column:
@@ -222,30 +235,121 @@ def _needed(shared: Column, n: Column) -> Column:
     return (shared > 0) & (shared >= F.floor(n / 4) + 1 - F.floor(n / 5))
 
 
-def _open_groups(sets: DataFrame, grouped: DataFrame, waiting: DataFrame) -> DataFrame:
-    """Links of the waiting sets with members of other groups.
+def _send_tokens(batches) -> Iterator[list]:
+    """(token, set's number, group, n) of every token; the token is cut to 44 bits, which can only add candidates."""
+    for batch in batches:
+        sizes = batch.column(2).to_numpy()
+        tokens = batch.column(3).combine_chunks() if isinstance(batch.column(3), pa.ChunkedArray) else batch.column(3)
+        flat = tokens.flatten().to_numpy()
+        yield [flat >> 20, np.repeat(batch.column(0).to_numpy(), sizes), np.repeat(batch.column(1).to_numpy(), sizes),
+               np.repeat(sizes, sizes)]
+
+
+def _groups_of(columns: list[np.ndarray]) -> np.ndarray:
+    """For rows sorted by the first column: in how many groups (third column) its value occurs."""
+    token, group = columns[0], columns[2]
+    order = np.lexsort((group, token))
+    starts = np.r_[True, token[1:] != token[:-1]]
+    placed = group[order]
+    fresh = starts | np.r_[True, placed[1:] != placed[:-1]]
+    at = np.flatnonzero(starts)
+    return np.repeat(np.add.reduceat(fresh.astype(np.int64), at), np.diff(np.r_[at, len(token)]))
+
 
-    sets: set, n, tokens; grouped: set, root; waiting: set.
+def _carry(batches, width: int, settle: Callable[[list[np.ndarray]], list], endless: Callable) -> Iterator[list]:
+    """Give ``settle`` the rows of whole keys, from rows sorted by key.
+
+    ``endless`` settles parts of a key that has more than HELD rows, so that no key is held whole.
     """
-    members = sets.join(grouped, "set", "left").withColumn("root", F.coalesce("root", "set"))
-    asked = written(members.join(waiting, "set", "left_semi")
-                    .select(F.col("set").alias("q"), F.col("n").alias("nq"), F.col("root").alias("own"),
-                            F.explode("tokens").alias("token")), "asked")
-    wanted = asked.select("token").distinct()
-    matrix = written(members.select("root", F.explode("tokens").alias("token"))
-                     .join(wanted, "token", "left_semi").distinct(), "matrix")
-    groups = matrix.groupBy("token").agg(F.count(F.lit(1)).alias("groups"))
-    rarest = Window.partitionBy("q").orderBy("groups", "token")
-    chosen = (asked.join(groups, "token").withColumn("place", F.row_number().over(rarest))
-              .where(F.col("place") <= F.floor(F.col("nq") / 5) + 1).where("groups > 1"))
-    candidates = (chosen.join(matrix, "token").where("root <> own").select("q", "root").distinct())
-    bound = (asked.join(candidates, "q").join(matrix, ["token", "root"]).groupBy("q", "nq", "root")
-             .agg(F.count(F.lit(1)).alias("overlap")).where(F.col("overlap") * 100 >= F.col("nq") * SIMILARITY))
-    near = (bound.join(members.select("root", "set", "n"), "root")
-            .where((F.col("n") * 100 >= F.col("nq") * SIMILARITY) & (F.col("nq") * 100 >= F.col("n") * SIMILARITY))
-            .select("q", "set"))
-    mine = sets.select(F.col("set").alias("q"), F.col("tokens").alias("mine"))
-    pairs = near.join(mine, "q").join(sets.select("set", "tokens"), "set").select("q", "set", "mine", "tokens")
+    held: list[np.ndarray] | None = None
+    going = None  # a key that is settled in parts
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(width)]
+        if held is not None:
+            rows = [np.concatenate([a, b]) for a, b in zip(held, rows, strict=True)]
+        if going is not None:
+            end = np.searchsorted(rows[0], going, side="right")
+            if end:
+                yield endless([r[:end] for r in rows])
+                rows = [r[end:] for r in rows]
+            if len(rows[0]):
+                going = None
+            else:
+                held = None
+                continue
+        last = np.searchsorted(rows[0], rows[0][-1])
+        if last:
+            yield settle([r[:last] for r in rows])
+        held = [r[last:] for r in rows]
+        if len(held[0]) > HELD:
+            going = held[0][0]
+            yield endless(held)
+            held = None
+    if held is not None and len(held[0]):
+        yield settle(held)
+
+
+def _shared_tokens(batches) -> Iterator[list]:
+    """(set's number, token, groups, n, group) of tokens that occur in two groups or more."""
+    def settle(columns: list[np.ndarray]) -> list:
+        groups = _groups_of(columns)
+        kept = groups > 1
+        token, number, group, n = (c[kept] for c in columns)
+        return [number, token, groups[kept], n, group]
+
+    def endless(columns: list[np.ndarray]) -> list:  # the most frequent tokens come last, in whatever number of groups
+        token, number, group, n = columns
+        return [number, token, np.full(len(token), HELD), n, group]
+
+    return _carry(batches, 4, settle, endless)
+
+
+def _leading(batches) -> Iterator[list]:
+    """(token, set's number, group, n): of each set that may have a partner, the tokens that name one."""
+    def settle(columns: list[np.ndarray]) -> list:
+        number, token, groups, n, group = columns
+        at = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
+        order = np.lexsort((token, groups, number))
+        count = np.diff(np.r_[at, len(number)])
+        place = np.arange(len(number)) - np.repeat(at, count)
+        shared = np.repeat(count, count)
+        # Tokens of q's own group alone stand first in the order and name nobody.
+        kept = (100 * shared >= SIMILARITY * n) & (place < n // 5 + 1 - (n - shared))
+        rows = order[kept]
+        return [token[rows], number[rows], group[rows], n[rows]]
+
+    return _carry(batches, 5, settle, settle)
+
+
+def _open_groups(sets: DataFrame, grouped: DataFrame) -> DataFrame:
+    """Links of sets with members of other groups.
+
+    sets: number, set, n, tokens; grouped: set, root. Sets without a root are their own group.
+    """
+    owned = (sets.join(_maybe_broadcast(grouped, grouped.count()), "set", "left")
+             .select("number", F.coalesce("root", F.col("number")).alias("group"), "n", "tokens"))
+    by_token = map_batches(owned, _send_tokens, "token long, number long, group long, n int").repartition(
+        "token").sortWithinPartitions("token")
+    shared = map_batches(by_token, _shared_tokens, "number long, token long, groups long, n int, group long")
+    leading = written(map_batches(shared.repartition("number").sortWithinPartitions("number"), _leading,
+                                  "token long, number long, group long, n int"), "leading")
+    several = (leading.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high"))
+               .where("low <> high").select("token"))
+    matrix = leading.join(several, "token")
+    a, b = (matrix.select("token", *(F.col(c).alias(f"{c}_{side}") for c in ("number", "group", "n"))) for side in "ab")
+    pairs = (a.join(b, "token").where(
+        (F.col("number_a") < F.col("number_b")) & (F.col("group_a") != F.col("group_b"))
+        & (F.col("n_a") * 100 >= F.col("n_b") * SIMILARITY) & (F.col("n_b") * 100 >= F.col("n_a") * SIMILARITY))
+        .select("number_a", "number_b").distinct())
+    pairs = written(pairs, "pairs")
+    named = pairs.select(F.col("number_a").alias("number")).union(pairs.select(F.col("number_b").alias("number"))).distinct()
+    named = written(named, "named")
+    wanted = sets.join(_maybe_broadcast(named, named.count()), "number", "left_semi").select("number", "set", "tokens")
+    left = wanted.select(F.col("number").alias("number_a"), F.col("set").alias("a"), F.col("tokens").alias("mine"))
+    right = wanted.select(F.col("number").alias("number_b"), F.col("set").alias("b"), F.col("tokens").alias("theirs"))
+    met = pairs.join(left, "number_a").join(right, "number_b").select("a", "b", "mine", "theirs")
 
     def compare(batches) -> Iterable:
         for batch in batches:
@@ -253,7 +357,7 @@ def _open_groups(sets: DataFrame, grouped: DataFrame, waiting: DataFrame) -> Dat
                     for i in range(batch.num_rows)]
             yield [[v for v, hit in zip(batch.column(c).to_pylist(), hits, strict=True) if hit] for c in (0, 1)]
 
-    return map_batches(pairs, compare, "a long, b long")
+    return map_batches(met, compare, "a long, b long")
 
 
 def similar_documents(docs: DataFrame) -> DataFrame:
@@ -277,36 +381,29 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     open_sets = written(one.join(shared, "set").where(_needed(F.col("shared"), F.col("n"))).select("set", "doc_id"), "open")
 
     def full(batches) -> Iterable:
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                out: list[list] = [[] for _ in range(5)]
+                out: list[list] = [[] for _ in range(6)]
                 for own, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     tokens = shingle_set(text)
                     if set_id(tokens) != own:  # another text under the same id
                         continue
                     rehashed = [int(_mix(tokens.view(np.uint64) ^ odd).min().view(np.int64)) for odd in _ODD[1:3]]
-                    for column, cell in zip(out, (own, len(tokens), tokens, *rehashed), strict=True):
+                    for column, cell in zip(out, (number, own, len(tokens), tokens, *rehashed), strict=True):
                         column.append(cell)
+                    number += 1
                 yield out
 
     texts = named.join(_maybe_broadcast(open_sets, open_sets.count()), "doc_id").select("set", "text")
-    sets = written(map_batches(texts, full, "set long, n int, tokens array<long>, bucket0 long, bucket1 long"), "sets")
-
-    links = written(_leader_links(sets, "bucket0").union(_leader_links(sets, "bucket1")), "links")
+    sets = written(map_batches(texts, full, "number long, set long, n int, tokens array<long>, bucket0 long, bucket1 long"),
+                   "sets")
+    links = written(_leader_links(sets), "links")
     grouped = written(components(links).select(F.col("a").alias("set"), "root"), "groups")
-
-    sampled = (sets.join(grouped, "set", "left")
-               .select("set", "n", F.coalesce("root", "set").alias("root"),
-                       F.explode(F.slice("tokens", 1, (F.floor(F.col("n") / 4) + 1).cast("int"))).alias("token")))
-    several = (sampled.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-               .where("low <> high").select("token"))
-    waiting = written(sampled.join(several, "token").groupBy("set", "n").agg(F.count(F.lit(1)).alias("shared"))
-                      .where(_needed(F.col("shared"), F.col("n"))).select("set"), "waiting")
-    if waiting.limit(1).count():
-        links = written(_open_groups(sets, grouped, waiting), "opened").union(
-            grouped.select(F.col("set").alias("a"), F.col("root").alias("b")))
-        grouped = components(links).select(F.col("a").alias("set"), "root")
+    links = written(_open_groups(sets, grouped), "opened").union(
+        grouped.select(F.col("set").alias("a"), F.col("root").alias("b")))
+    grouped = components(links).select(F.col("a").alias("set"), "root")
 
     placed = rows.join(grouped, "set", "left").withColumn("root", F.coalesce("root", "set"))
     least = placed.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"),
