@@ -17,7 +17,7 @@ def round_half_up(value: Column, digits: int) -> Column:
 
     Values beyond the decimal's range are rounded as doubles.
     """
-    return F.coalesce(F.round(value.try_cast("decimal(38,10)"), digits).cast("double"), F.round(value.cast("double"), digits))
+    return F.coalesce(F.round(value.try_cast("decimal(38,7)"), digits).cast("double"), F.round(value.cast("double"), digits))
 
 
 def let(value: Column, body) -> Column:

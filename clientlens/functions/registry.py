@@ -62,7 +62,7 @@ def create_convert_to_usd(spark: SparkSession, name: str = "convert_to_usd") ->
     pairs = ", ".join(f"'{c}', {r!r}D" for c, r in FX_RATES.items())
     spark.sql(f"""
         CREATE OR REPLACE TEMPORARY FUNCTION {name}(amount DOUBLE, currency STRING) RETURNS DOUBLE
-        RETURN CAST(round(CAST(amount / coalesce(map({pairs})[upper(currency)], 1.0D) AS DECIMAL(38, 6)), 2) AS DOUBLE)
+        RETURN CAST(round(CAST(amount / coalesce(map({pairs})[upper(currency)], 1.0D) AS DECIMAL(38, 7)), 2) AS DOUBLE)
     """)
 
 

@@ -100,7 +100,7 @@ def _(spark, directory):
            CASE WHEN c.customer_id IS NULL THEN 'not_found' ELSE 'found' END AS status
     FROM {_NAMES} n LEFT JOIN customers c ON c.name = n.customer_name
     LEFT JOIN (SELECT customer_id, count(*) AS transaction_count,
-                      round(sum(amount)::DECIMAL(38, 10), 2)::DOUBLE AS transaction_total, max(ts) AS last_transaction
+                      round(sum(amount)::DECIMAL(38, 7), 2)::DOUBLE AS transaction_total, max(ts) AS last_transaction
                FROM transactions GROUP BY 1) h ON h.customer_id = c.customer_id""")
 def _(spark, directory):
     found = cust.customer_profile(d.customers(spark, directory), d.transactions(spark, directory),
@@ -149,7 +149,7 @@ def _(spark, directory):
 @query("F6_transaction_alerts", """
     SELECT 'ALERT-' || transaction_id AS alert_id, customer_id, transaction_id,
            CASE WHEN amount >= 100000 THEN 'HIGH_VALUE' ELSE 'SUSPICIOUS' END AS alert_type,
-           round(least(100.0::DOUBLE, amount / 100000 * 50)::DECIMAL(38, 10), 2)::DOUBLE AS risk_score, amount, currency,
+           round(least(100.0::DOUBLE, amount / 100000 * 50)::DECIMAL(38, 7), 2)::DOUBLE AS risk_score, amount, currency,
            CASE WHEN amount >= 100000 THEN 'HIGH_VALUE' ELSE 'SUSPICIOUS' END || ' transaction of customer ' || customer_id
              AS description,
            strftime(ts, '%Y-%m-%d %H:%M:%S') AS created_at, 'OPEN' AS status
@@ -178,7 +178,7 @@ _SECTIONS = """
                  EXISTS (FROM pep_list l WHERE substr(l.pep_name, 10) = substr(c.name, 10)) AS is_pep,
                  EXISTS (FROM relations r JOIN pep_list l ON substr(l.pep_name, 10) = substr(r.related_name, 10)
                          WHERE r.customer_id = c.customer_id) AS related_pep FROM customers c),
-    a AS (SELECT customer_id, round((count(*) FILTER (amount >= 100000) * 100.0 / count(*))::DECIMAL(38, 10), 2)::DOUBLE AS aml_score,
+    a AS (SELECT customer_id, round((count(*) FILTER (amount >= 100000) * 100.0 / count(*))::DECIMAL(38, 7), 2)::DOUBLE AS aml_score,
                  count(*) FILTER (amount >= 100000) AS alerts_pending FROM transactions GROUP BY 1)"""
 
 
@@ -267,8 +267,8 @@ def _(spark, directory):
 
 @query("J1_convert_currency", """
     SELECT product_id, nav, currency AS original_currency, 'USD' AS target_currency,
-           round((nav / coalesce(f.rate, 1))::DECIMAL(38, 10), 2)::DOUBLE AS converted_amount,
-           round((1.0::DOUBLE / coalesce(f.rate, 1))::DECIMAL(38, 10), 6)::DOUBLE AS rate_used
+           round((nav / coalesce(f.rate, 1))::DECIMAL(38, 7), 2)::DOUBLE AS converted_amount,
+           round((1.0::DOUBLE / coalesce(f.rate, 1))::DECIMAL(38, 7), 6)::DOUBLE AS rate_used
     FROM unit_trust u LEFT JOIN fx f USING (currency)""")
 def _(spark, directory):
     products = d.unit_trust(spark, directory).select("product_id", "nav", "currency")
@@ -277,8 +277,8 @@ def _(spark, directory):
 
 @query("J1_convert_currency_pairs", """
     SELECT transaction_id, lower(t.currency) AS original_currency, c.preferred_currency AS target_currency,
-           round((amount / f.rate * g.rate)::DECIMAL(38, 10), 2)::DOUBLE AS converted_amount,
-           round((g.rate / f.rate)::DECIMAL(38, 10), 6)::DOUBLE AS rate_used
+           round((amount / f.rate * g.rate)::DECIMAL(38, 7), 2)::DOUBLE AS converted_amount,
+           round((g.rate / f.rate)::DECIMAL(38, 7), 6)::DOUBLE AS rate_used
     FROM transactions t JOIN customers c USING (customer_id) JOIN fx f ON f.currency = t.currency
     JOIN fx g ON g.currency = c.preferred_currency""")
 def _(spark, directory):
@@ -297,7 +297,7 @@ def _(spark, directory):
         WHERE jurisdiction NOT IN (SELECT jurisdiction FROM limits) AND amount >= 10000)
     SELECT t.transaction_id, t.jurisdiction, t.amount, count(h.report_type) > 0 AS reporting_required,
            coalesce(string_agg(h.report_type, '|' ORDER BY h.ord), '') AS report_types,
-           round(coalesce(sum(h.amount - h.threshold), 0)::DECIMAL(38, 10), 2)::DOUBLE AS exceeded_by,
+           round(coalesce(sum(h.amount - h.threshold), 0)::DECIMAL(38, 7), 2)::DOUBLE AS exceeded_by,
            coalesce('File ' || arg_min(h.report_type, h.ord) || ' within regulatory timeframe', 'No reporting required')
              AS recommendation
     FROM transactions t LEFT JOIN hits h USING (transaction_id) GROUP BY ALL""")
@@ -354,7 +354,7 @@ _SCREENED = """
     c AS (SELECT customer_id, name, jurisdiction AS country, upper(replace(name, '#', ' ')) AS norm FROM customers),
     w AS (SELECT DISTINCT replace(listed_name, '  ', ' ') AS listed, list_name, country AS listed_country FROM watchlist),
     m AS (SELECT c.customer_id, c.name, c.country, w.*, round((1 - levenshtein(c.norm, w.listed)
-                   / greatest(length(c.norm), length(w.listed), 1)::DOUBLE)::DECIMAL(38, 10), 4)::DOUBLE AS score
+                   / greatest(length(c.norm), length(w.listed), 1)::DOUBLE)::DECIMAL(38, 7), 4)::DOUBLE AS score
           FROM c JOIN w ON levenshtein(c.norm, w.listed) <= {distance})"""
 
 
@@ -401,9 +401,9 @@ def _(spark, directory):
 
 
 _RATED = """
-    rated AS (SELECT c.*, t.n, t.e, round((t.e / t.n::DOUBLE)::DECIMAL(38, 10), 4)::DOUBLE AS exception_rate,
-        round(((1 - t.e / t.n::DOUBLE) * 100)::DECIMAL(38, 10), 2)::DOUBLE AS operating,
-        round(((c.design_score + (1 - t.e / t.n::DOUBLE) * 100) / 2)::DECIMAL(38, 10), 2)::DOUBLE AS score
+    rated AS (SELECT c.*, t.n, t.e, round((t.e / t.n::DOUBLE)::DECIMAL(38, 7), 4)::DOUBLE AS exception_rate,
+        round(((1 - t.e / t.n::DOUBLE) * 100)::DECIMAL(38, 7), 2)::DOUBLE AS operating,
+        round(((c.design_score + (1 - t.e / t.n::DOUBLE) * 100) / 2)::DECIMAL(38, 7), 2)::DOUBLE AS score
       FROM controls c LEFT JOIN (SELECT control_id, count(*) AS n, count(*) FILTER (exception) AS e FROM control_tests
                             WHERE period = 'Q4 2000' GROUP BY 1) t USING (control_id)),
     graded AS (SELECT *, CASE WHEN e IS NULL THEN 'Not Tested'
@@ -451,7 +451,7 @@ def _(spark, directory):
 
 @query("J8_control_coverage", """
     SELECT 'PROMO' AS risk_category, count(*) AS total_risks, count(m.risk_id) AS risks_with_controls,
-           round((count(m.risk_id) * 100.0::DOUBLE / count(*))::DECIMAL(38, 10), 4)::DOUBLE AS coverage_percentage
+           round((count(m.risk_id) * 100.0::DOUBLE / count(*))::DECIMAL(38, 7), 4)::DOUBLE AS coverage_percentage
     FROM risks r LEFT JOIN (SELECT DISTINCT risk_id FROM risk_control) m ON m.risk_id = r.risk_id WHERE category = 'PROMO'""")
 def _(spark, directory):
     return rc.control_coverage(d.risks(spark, directory), d.risk_control(spark, directory), "PROMO")
@@ -462,7 +462,7 @@ def _(spark, directory):
                       avg(price) FILTER (month <= DATE '2000-08-01' AND month > DATE '1999-08-01') AS then_,
                       stddev_samp(price) / avg(price) AS spread FROM product_prices GROUP BY 1),
     m AS (SELECT u.product_id, u.risk_rating::DOUBLE AS r, u.expense_ratio AS e,
-                 round(((now_ / then_ - 1) * 100)::DECIMAL(38, 10), 4)::DOUBLE AS y, round(spread::DECIMAL(38, 10), 4)::DOUBLE AS v
+                 round(((now_ / then_ - 1) * 100)::DECIMAL(38, 7), 4)::DOUBLE AS y, round(spread::DECIMAL(38, 7), 4)::DOUBLE AS v
           FROM unit_trust u LEFT JOIN s USING (product_id)
           WHERE u.product_id IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R'))
     SELECT product_id, 'risk_rating' AS metric, r AS value FROM m UNION ALL SELECT product_id, 'expense_ratio', e FROM m
@@ -488,7 +488,7 @@ def _risk_score_sql(with_activity: bool) -> str:
     activity = "transaction_behavior_risk" if with_activity else "0"
     return f"""
     WITH s AS (SELECT *, geographic_risk + product_risk + channel_risk + customer_type_risk + tenure_risk + {activity} AS total,
-                      round(total::DECIMAL(38, 10), 2)::DOUBLE AS risk_score FROM risk_factors)
+                      round(total::DECIMAL(38, 7), 2)::DOUBLE AS risk_score FROM risk_factors)
     SELECT customer_id, risk_score,
            CASE WHEN total < 30 THEN 'LOW' WHEN total < 50 THEN 'MEDIUM' WHEN total < 70 THEN 'HIGH'
                 ELSE 'CRITICAL' END AS risk_level,
@@ -525,7 +525,7 @@ _PROFILE = """
                    AS large_30d
           FROM d WINDOW b AS (PARTITION BY customer_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
     profile AS (SELECT customer_id,
-        round((sum(total) / count(DISTINCT date_trunc('month', day)))::DECIMAL(38, 10), 2)::DOUBLE AS avg_monthly_volume,
+        round((sum(total) / count(DISTINCT date_trunc('month', day)))::DECIMAL(38, 7), 2)::DOUBLE AS avg_monthly_volume,
         coalesce(sum(large_n) FILTER (day > DATE '2001-07-02' AND day <= DATE '2001-08-01'), 0)::BIGINT AS large_transactions_30d,
         max(large_30d)::BIGINT AS peak_large_30d,
         bool_or(pn >= 2 AND top > pt / pn + 3 * sqrt(greatest(0, CASE WHEN pn > 1 THEN (ps - pt * (pt / pn)) / (pn - 1) ELSE 0 END)))
@@ -542,7 +542,7 @@ def _(spark, directory):
 
 @query("A2_customer_risk_assessment", f"""WITH {_PROFILE}, k AS (SELECT customer_id, last_verification + INTERVAL 12 MONTH < DATE '2001-08-01' AS late FROM kyc),
     s AS (SELECT *, round((geographic_risk + product_risk + channel_risk + customer_type_risk + tenure_risk
-                           + transaction_behavior_risk)::DECIMAL(38, 10), 2)::DOUBLE AS risk_score FROM risk_factors)
+                           + transaction_behavior_risk)::DECIMAL(38, 7), 2)::DOUBLE AS risk_score FROM risk_factors)
     SELECT s.customer_id, s.risk_score,
            CASE WHEN risk_score < 30 THEN 'LOW' WHEN risk_score < 50 THEN 'MEDIUM' WHEN risk_score < 70 THEN 'HIGH'
                 ELSE 'CRITICAL' END AS risk_level,
@@ -558,11 +558,11 @@ def _(spark, directory):
 
 
 @query("A3_aggregate_table", """
-    SELECT currency, count(*) AS products, round(avg(nav)::DECIMAL(38, 10), 4)::DOUBLE AS avg_nav, max(risk_rating) AS top_risk
+    SELECT currency, count(*) AS products, round(avg(nav)::DECIMAL(38, 7), 4)::DOUBLE AS avg_nav, max(risk_rating) AS top_risk
     FROM unit_trust GROUP BY currency""")
 def _(spark, directory):
     return look.aggregate_table(d.unit_trust(spark, directory), "currency", {
-        "products": "count(*)", "avg_nav": "CAST(round(CAST(avg(nav) AS DECIMAL(38, 10)), 4) AS DOUBLE)",
+        "products": "count(*)", "avg_nav": "CAST(round(CAST(avg(nav) AS DECIMAL(38, 7)), 4) AS DOUBLE)",
         "top_risk": "max(risk_rating)"})
 
 
@@ -580,8 +580,8 @@ _ALLOCATION = """
 
 
 @query("A4_portfolio_allocation", f"""WITH {_ALLOCATION}
-    SELECT customer_id, asset_class, round(v::DECIMAL(38, 10), 2)::DOUBLE AS class_value,
-           round(t::DECIMAL(38, 10), 2)::DOUBLE AS total_value, round(allocation::DECIMAL(38, 10), 4)::DOUBLE AS allocation FROM alloc""")
+    SELECT customer_id, asset_class, round(v::DECIMAL(38, 7), 2)::DOUBLE AS class_value,
+           round(t::DECIMAL(38, 7), 2)::DOUBLE AS total_value, round(allocation::DECIMAL(38, 7), 4)::DOUBLE AS allocation FROM alloc""")
 def _(spark, directory):
     shares = port.portfolio_allocation(d.product_holdings(spark, directory))
     return shares.withColumn("allocation", round_half_up(F.col("allocation"), 4))
@@ -593,11 +593,11 @@ def _(spark, directory):
     r AS (SELECT customer_id, volume / lag(volume) OVER (PARTITION BY customer_id ORDER BY period) - 1 AS ret FROM q),
     s AS (SELECT customer_id, avg(ret) AS m, stddev_samp(ret) AS dv FROM r WHERE ret IS NOT NULL GROUP BY 1),
     h AS (SELECT customer_id, sum(v) AS v, sum(w) AS w, sum(v * v) AS sq FROM pc GROUP BY 1)
-    SELECT customer_id, round(v::DECIMAL(38, 10), 2)::DOUBLE AS total_value,
-           round((w / v)::DECIMAL(38, 10), 4)::DOUBLE AS portfolio_risk_score,
+    SELECT customer_id, round(v::DECIMAL(38, 7), 2)::DOUBLE AS total_value,
+           round((w / v)::DECIMAL(38, 7), 4)::DOUBLE AS portfolio_risk_score,
            CASE WHEN dv IS NULL THEN NULL WHEN dv < 0.5 THEN 'Low' WHEN dv < 1.5 THEN 'Medium' ELSE 'High' END AS volatility,
-           round((CASE WHEN dv = 0 THEN NULL ELSE m / dv END)::DECIMAL(38, 10), 4)::DOUBLE AS sharpe_ratio,
-           round((100 * (1 - sq / (v * v)))::DECIMAL(38, 10), 4)::DOUBLE AS diversification_score
+           round((CASE WHEN dv = 0 THEN NULL ELSE m / dv END)::DECIMAL(38, 7), 4)::DOUBLE AS sharpe_ratio,
+           round((100 * (1 - sq / (v * v)))::DECIMAL(38, 7), 4)::DOUBLE AS diversification_score
     FROM h LEFT JOIN s USING (customer_id)""")
 def _(spark, directory):
     returns = port.period_returns(d.transactions(spark, directory))
@@ -609,10 +609,10 @@ def _(spark, directory):
     f AS (SELECT c.customer_id, g.asset_class, g.target, coalesce(a.allocation, 0) - g.target AS drift
           FROM (SELECT DISTINCT customer_id FROM pc) c CROSS JOIN g
           LEFT JOIN alloc a ON a.customer_id = c.customer_id AND a.asset_class = g.asset_class)
-    SELECT customer_id, asset_class, round(target::DECIMAL(38, 10), 4)::DOUBLE AS target,
-           round(drift::DECIMAL(38, 10), 4)::DOUBLE AS drift,
+    SELECT customer_id, asset_class, round(target::DECIMAL(38, 7), 4)::DOUBLE AS target,
+           round(drift::DECIMAL(38, 7), 4)::DOUBLE AS drift,
            CASE WHEN drift > 0 THEN 'Consider reducing ' || asset_class || ' exposure by ' ELSE 'Consider adding ' || asset_class || ' exposure of ' END
-             || round(abs(drift)::DECIMAL(38, 10), 1)::DECIMAL(38, 1)::VARCHAR || '%' AS recommendation
+             || round(abs(drift)::DECIMAL(38, 7), 1)::DECIMAL(38, 1)::VARCHAR || '%' AS recommendation
     FROM f WHERE abs(drift) > 5""")
 def _(spark, directory):
     parts = load_table(spark, directory, "part")
@@ -671,7 +671,7 @@ _KRI = """
            CASE WHEN v >= 0.5 THEN 'Red' WHEN v >= 0.33 THEN 'Amber' ELSE 'Green' END AS status,
            CASE WHEN v < p THEN 'Improving' WHEN v > p THEN 'Deteriorating' ELSE 'Stable' END AS trend
     FROM (SELECT *, lag(v) OVER (PARTITION BY business_unit, kri ORDER BY period_start) AS p
-          FROM (SELECT *, round(value::DECIMAL(38, 10), 6)::DOUBLE AS v FROM kri_measures))"""
+          FROM (SELECT *, round(value::DECIMAL(38, 7), 6)::DOUBLE AS v FROM kri_measures))"""
 
 
 @query("A9_kri_status", _KRI)
@@ -706,10 +706,10 @@ def _(spark, directory):
 
 
 @query("S8_residual_risk", """
-    SELECT risk_id, inherent_risk_score, control_effectiveness, round(r::DECIMAL(38, 10), 2)::DOUBLE AS residual_risk_score,
+    SELECT risk_id, inherent_risk_score, control_effectiveness, round(r::DECIMAL(38, 7), 2)::DOUBLE AS residual_risk_score,
            CASE WHEN r < 1 THEN 'Low' WHEN r < 2.5 THEN 'Medium' WHEN r < 4 THEN 'High' ELSE 'Critical' END AS residual_risk_level,
            CASE WHEN inherent_risk_score = 0 THEN NULL
-                ELSE round(((1 - r / inherent_risk_score) * 100)::DECIMAL(38, 10), 1)::DOUBLE END AS risk_reduction,
+                ELSE round(((1 - r / inherent_risk_score) * 100)::DECIMAL(38, 7), 1)::DOUBLE END AS risk_reduction,
            r < 2.5 AS within_appetite,
            CASE WHEN r >= 2.5 THEN 'Additional controls recommended' ELSE 'Risk within appetite' END AS recommendation
     FROM (SELECT *, inherent_risk_score * (1 - control_effectiveness / 100) AS r FROM residual_input)""")

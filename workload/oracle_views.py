@@ -44,10 +44,10 @@ VIEWS = {
         FROM holdings h JOIN unit_trust u USING (product_id)""",
     "risk_factors": """
         SELECT c_custkey AS customer_id, (c_nationkey % 21)::DOUBLE AS geographic_risk,
-               round((coalesce(b.r, 0) * 4)::DECIMAL(38, 10), 2)::DOUBLE AS product_risk,
+               round((coalesce(b.r, 0) * 4)::DECIMAL(38, 7), 2)::DOUBLE AS product_risk,
                (c_custkey % 13)::DOUBLE AS channel_risk, (c_custkey % 17)::DOUBLE AS customer_type_risk,
                (c_custkey % 11)::DOUBLE AS tenure_risk,
-               round((coalesce(a.s, 0) * 20)::DECIMAL(38, 10), 2)::DOUBLE AS transaction_behavior_risk
+               round((coalesce(a.s, 0) * 20)::DECIMAL(38, 7), 2)::DOUBLE AS transaction_behavior_risk
         FROM customer
         LEFT JOIN (SELECT customer_id, avg(risk_rating) AS r FROM product_holdings GROUP BY 1) b ON b.customer_id = c_custkey
         LEFT JOIN (SELECT o_custkey, avg(CASE WHEN o_totalprice >= 100000 THEN 1 ELSE 0 END) AS s

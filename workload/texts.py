@@ -117,9 +117,9 @@ _COMPARED = """
 
 @query("S4_compare_documents", f"""WITH {_COMPARED},
     r AS (SELECT *, len(common) / greatest(len(common) + len(only_a) + len(only_b), 1)::DOUBLE AS s FROM c)
-    SELECT doc_a, doc_b, round(s::DECIMAL(38, 10), 3)::DOUBLE AS similarity_score, len(common) AS common_terms_count,
+    SELECT doc_a, doc_b, round(s::DECIMAL(38, 7), 3)::DOUBLE AS similarity_score, len(common) AS common_terms_count,
            len(only_a) AS unique_to_a, len(only_b) AS unique_to_b, 'semantic' AS comparison_type,
-           'Documents are ' || round((s * 100)::DECIMAL(38, 10), 1)::DECIMAL(38, 1)::VARCHAR || '% similar' AS summary FROM r""")
+           'Documents are ' || round((s * 100)::DECIMAL(38, 7), 1)::DECIMAL(38, 1)::VARCHAR || '% similar' AS summary FROM r""")
 def _(spark, directory):
     return documents.compare_documents(d.doc_pairs(spark, directory), _documents(spark, directory))
 
@@ -198,7 +198,7 @@ def _(spark, directory):
 
 
 @query("S10_cosine", """
-    SELECT e.vec_id, c.query_id, round(list_cosine_similarity(e.embedding::DOUBLE[], c.embedding)::DECIMAL(38, 10), 5)::DOUBLE AS score
+    SELECT e.vec_id, c.query_id, round(list_cosine_similarity(e.embedding::DOUBLE[], c.embedding)::DECIMAL(38, 7), 5)::DOUBLE AS score
     FROM embeddings e JOIN label_centroids c ON c.query_id = e.label""")
 def _(spark, directory):
     centroids = d.label_centroids(spark, directory).withColumnRenamed("embedding", "centroid")
@@ -313,7 +313,7 @@ def _text_search_sql(table: str, terms: tuple[str, ...], key: str = "doc_id", ta
     tf AS (SELECT {key}, w, count(*) AS tf FROM toks GROUP BY ALL),
     idf AS (SELECT w, ln((SELECT count(*) FROM {table}) / count(*)) AS idf FROM tf WHERE w IN ({listed}) GROUP BY w),
     dn AS (SELECT {key}, sqrt(sum(pow(1 + ln(tf), 2))) AS dn FROM tf GROUP BY 1),
-    scores AS (SELECT {key}, round((sum((1 + ln(tf)) * idf) / any_value(dn) / (SELECT sqrt(sum(idf * idf)) FROM idf))::DECIMAL(38, 10), 6)::DOUBLE
+    scores AS (SELECT {key}, round((sum((1 + ln(tf)) * idf) / any_value(dn) / (SELECT sqrt(sum(idf * idf)) FROM idf))::DECIMAL(38, 7), 6)::DOUBLE
                  AS relevance_score FROM tf JOIN idf USING (w) JOIN dn USING ({key}) GROUP BY {key})"""
 
 
@@ -467,7 +467,7 @@ def _(spark, directory):
 
 @query("A10_audit_usage", """
     SELECT action, user_id, count(*) AS calls, count(DISTINCT customer_id) AS customers_accessed,
-           round(avg(execution_time_ms)::DECIMAL(38, 10), 4)::DOUBLE AS avg_execution_time_ms FROM audit_log GROUP BY ALL""")
+           round(avg(execution_time_ms)::DECIMAL(38, 7), 4)::DOUBLE AS avg_execution_time_ms FROM audit_log GROUP BY ALL""")
 def _(spark, directory):
     usage = audit.audit_usage(d.audit_log(spark, directory))
     return usage.withColumn("avg_execution_time_ms", round_half_up(F.col("avg_execution_time_ms"), 4))
@@ -552,7 +552,7 @@ _BUCKET_SQL = """
       UNION ALL
       SELECT event_id, user_id, us, rn, CASE WHEN t >= 100000000000 THEN t - 100000000000 ELSE t END, t >= 100000000000
       FROM (SELECT o.*, least(200000000000, r.tokens + (o.us - r.us)) AS t FROM run r JOIN o ON o.user_id = r.user_id AND o.rn = r.rn + 1))
-    SELECT event_id, user_id, admitted, round((tokens / 100000000000.0::DOUBLE)::DECIMAL(38, 10), 4)::DOUBLE AS tokens_left FROM run"""
+    SELECT event_id, user_id, admitted, round((tokens / 100000000000.0::DOUBLE)::DECIMAL(38, 7), 4)::DOUBLE AS tokens_left FROM run"""
 
 
 def _bucket_columns(df):
@@ -635,7 +635,7 @@ def _(spark, directory):
 
 _WINDOWED = """
     SELECT user_id AS customer_id, strftime(s, '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS transactions,
-           round(sum(value)::DECIMAL(38, 10), 2)::DOUBLE AS total_amount, count(*) FILTER (value >= 200) AS high_value_alerts,
+           round(sum(value)::DECIMAL(38, 7), 2)::DOUBLE AS total_amount, count(*) FILTER (value >= 200) AS high_value_alerts,
            count(*) FILTER (value >= 100 AND value < 200) AS suspicious_alerts"""
 
 
@@ -684,19 +684,19 @@ def kept_share(price: float, discount: float) -> float:
 
 
 @query("X1_register_function", """
-    SELECT l_returnflag, count(*) AS lines, round(sum(l_extendedprice * (1 - l_discount))::DECIMAL(38, 10), 2)::DOUBLE AS kept
+    SELECT l_returnflag, count(*) AS lines, round(sum(l_extendedprice * (1 - l_discount))::DECIMAL(38, 7), 2)::DOUBLE AS kept
     FROM lineitem GROUP BY 1""")
 def _(spark, directory):
     registry.register_function(spark, kept_share)
     load_table(spark, directory, "lineitem", view="lineitem")
     return spark.sql("""
         SELECT l_returnflag, count(*) AS lines,
-               CAST(round(CAST(sum(kept_share(l_extendedprice, l_discount)) AS DECIMAL(38, 10)), 2) AS DOUBLE) AS kept
+               CAST(round(CAST(sum(kept_share(l_extendedprice, l_discount)) AS DECIMAL(38, 7)), 2) AS DOUBLE) AS kept
         FROM lineitem GROUP BY l_returnflag""")
 
 
 @query("X2_convert_to_usd", """
-    SELECT product_id, round((nav / coalesce(f.rate, 1))::DECIMAL(38, 10), 2)::DOUBLE AS usd FROM unit_trust LEFT JOIN fx f USING (currency)""")
+    SELECT product_id, round((nav / coalesce(f.rate, 1))::DECIMAL(38, 7), 2)::DOUBLE AS usd FROM unit_trust LEFT JOIN fx f USING (currency)""")
 def _(spark, directory):
     registry.create_convert_to_usd(spark)
     d.unit_trust(spark, directory).createOrReplaceTempView("unit_trust")
