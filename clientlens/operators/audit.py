@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import (ArrayType, BooleanType, DataType, DoubleType, LongType, MapType, StringType,
                                StructField, StructType)
 
-# Fields of an audit record in order, and the default status.
+from clientlens.functions.keys import summarize_result
+
+# Fields of an audit record in order, the default status, and the actions logged.
 AUDIT_FIELDS = ("timestamp", "action", "user_id", "customer_id", "details", "ip_address", "session_id", "status")
 DEFAULT_STATUS = "success"
+TOOL_CALL = "tool_call"
+CUSTOMER_ACCESS = "customer_data_access"
 
 # JSON schema types; any other name is text.
 JSON_TYPES: dict[str, DataType] = {
@@ -31,12 +35,42 @@ def iso_timestamp(ts: Column) -> Column:
     return F.when(micros == "000000", whole).otherwise(F.concat(whole, F.lit("."), micros))
 
 
-def audit_entries(df: DataFrame) -> DataFrame:
-    """The audit record's fields; absent ones are null, an absent status is success."""
+def audit_entries(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """The audit record's fields, after those to ``keep``; absent ones are null, an absent status is success."""
     present = set(df.columns)
     columns = [F.col(f) if f in present else F.lit(None).cast("string").alias(f) for f in AUDIT_FIELDS[:-1]]
     status = F.col("status") if "status" in present else F.lit(None).cast("string")
-    return df.select(*columns, F.coalesce(status, F.lit(DEFAULT_STATUS)).alias("status"))
+    return df.select(*keep, *columns, F.coalesce(status, F.lit(DEFAULT_STATUS)).alias("status"))
+
+
+def _as_json(text: Column) -> Column:
+    """A text's JSON value, or the text as a JSON string where it is none."""
+    listed = F.to_json(F.array(text))
+    return F.coalesce(F.try_parse_json(text), F.try_parse_json(F.substring(listed, F.lit(2), F.length(listed) - 2)))
+
+
+def _entries(df: DataFrame, action: str, details: Column, keep: Sequence[str]) -> DataFrame:
+    known = [c for c in AUDIT_FIELDS if c in df.columns and c not in ("action", "details")]
+    text = F.to_json(details, {"ignoreNullFields": "false"})
+    return audit_entries(df.select(*keep, *known, F.lit(action).alias("action"), text.alias("details")), keep)
+
+
+def tool_call_entries(calls: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Audit records of tool calls.
+
+    ``calls`` has tool, arguments (JSON text), result and execution_time_ms
+    beside the record's own fields; the result is logged by its first 500
+    characters.
+    """
+    return _entries(calls, TOOL_CALL, F.struct(
+        F.col("tool"), _as_json(F.coalesce("arguments", F.lit("{}"))).alias("arguments"),
+        summarize_result(F.col("result")).alias("result_summary"), F.col("execution_time_ms")), keep)
+
+
+def customer_access_entries(accesses: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Audit records of access to customer data: ``access_type`` and ``data_fields`` (none if null)."""
+    fields = F.coalesce("data_fields", F.array().cast("array<string>"))
+    return _entries(accesses, CUSTOMER_ACCESS, F.struct(F.col("access_type"), fields.alias("data_fields")), keep)
 
 
 def write_audit(df: DataFrame, path: str) -> None:
@@ -60,9 +94,7 @@ def to_audit_json(df: DataFrame, name: str = "audit_json") -> DataFrame:
     not, and is {} when absent.
     """
     entries = audit_entries(df)
-    listed = F.to_json(F.array("details"))
-    quoted = F.substring(listed, F.lit(2), F.length(listed) - 2)
-    details = F.coalesce(F.try_parse_json(F.coalesce("details", F.lit("{}"))), F.try_parse_json(quoted))
+    details = _as_json(F.coalesce("details", F.lit("{}")))
     fields = {f: F.col(f) for f in AUDIT_FIELDS} | {"timestamp": iso_timestamp(F.col("timestamp")), "details": details}
     record = F.struct(*[c.alias(f) for f, c in fields.items()])
     return entries.select("*", F.to_json(record, {"ignoreNullFields": "false"}).alias(name))

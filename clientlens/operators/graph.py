@@ -2,7 +2,8 @@
 
 Each hop is one join of a set of distinct nodes with the edges; paths are only
 spelled out along edges that lie on a shortest one. A hub's edges are split by
-AQE's skew join, because the frontier side has one row per node.
+AQE's skew join, because the frontier side has one row per node. The edges of a
+search are derived and written once, however many hops read them.
 """
 
 from __future__ import annotations
@@ -53,6 +54,7 @@ def entity_neighbourhood(nodes: DataFrame, edges: DataFrame, seeds: DataFrame,
     Relationships stay in rows (null where an entity has none): a hub's list
     could not be held in one.
     """
+    edges = cut_lineage(edges.select("src", "rel", "dst"))
     near, total = reached_nodes(edges, seeds, max_hops)
     near = small_side(near, total)
     described = nodes.join(near, "id")
@@ -81,6 +83,7 @@ def find_paths(edges: DataFrame, source: str, target: str, relationship_types: S
     spark = edges.sparkSession
     if relationship_types:
         edges = edges.where(F.col("rel").isin(list(relationship_types)))
+    edges = cut_lineage(edges.select("src", "rel", "dst"))
     start = spark.range(1).select(F.lit(source).alias("id"))
     levels = [(start, 1)]
     seen, total = start, 1

@@ -387,21 +387,26 @@ def _(spark, directory):
     return near.withColumn("properties", F.col("properties")["name"]).withColumnRenamed("properties", "name")
 
 
-@query("G2_find_paths", """
-    WITH e AS (SELECT DISTINCT * FROM edges WHERE rel IN ('PLACED', 'CONTAINS', 'SUPPLIED_BY'))
-    SELECT 3 AS length, a.src || '>' || a.dst || '>' || b.dst || '>' || c.dst AS nodes,
-           a.rel || '>' || b.rel || '>' || c.rel AS relationships
-    FROM e a JOIN e b ON b.src = a.dst JOIN e c ON c.src = b.dst WHERE a.src = 'C1' AND c.dst = 'S1'""")
+def _paths_sql(target: str, relations: str = "") -> str:
+    """All shortest paths from C1, level by level from its own edges."""
+    return f"""
+    WITH RECURSIVE e AS (SELECT DISTINCT src, rel, dst FROM edges {relations}), goal AS (SELECT {target} AS id),
+    walk AS (SELECT 0 AS length, 'C1' AS head, 'C1' AS nodes, '' AS relationships
+             UNION ALL
+             SELECT w.length + 1, e.dst, w.nodes || '>' || e.dst, CASE WHEN w.length = 0 THEN e.rel ELSE w.relationships || '>' || e.rel END
+             FROM walk w JOIN e ON e.src = w.head WHERE w.length < 4 AND w.head <> (SELECT id FROM goal))
+    SELECT length, nodes, relationships FROM walk WHERE head = (SELECT id FROM goal)
+      AND length = (SELECT min(length) FROM walk WHERE head = (SELECT id FROM goal))"""
+
+
+@query("G2_find_paths", _paths_sql("'S1'", "WHERE rel IN ('PLACED', 'CONTAINS', 'SUPPLIED_BY')"))
 def _(spark, directory):
     paths = graph.find_paths(d.edges(spark, directory), "C1", "S1", ["PLACED", "CONTAINS", "SUPPLIED_BY"])
     return paths.select("length", joined("nodes", ">").alias("nodes"), joined("relationships", ">").alias("relationships"))
 
 
-@query("G2_find_paths_any_relation", """
-    WITH e AS (SELECT DISTINCT * FROM edges)
-    SELECT 2 AS length, a.src || '>' || a.dst || '>' || b.dst AS nodes, a.rel || '>' || b.rel AS relationships
-    FROM e a JOIN e b ON b.src = a.dst
-    WHERE a.src = 'C1' AND b.dst = (SELECT 'R' || n_regionkey FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey = 1)""")
+@query("G2_find_paths_any_relation", _paths_sql(
+    "(SELECT 'R' || n_regionkey FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey = 1)"))
 def _(spark, directory):
     c = load_table(spark, directory, "customer").where(F.col("c_custkey") == 1)
     region = c.join(load_table(spark, directory, "nation"), F.col("n_nationkey") == F.col("c_nationkey")).first()["n_regionkey"]
@@ -473,6 +478,42 @@ def _(spark, directory):
     return usage.withColumn("avg_execution_time_ms", round_half_up(F.col("avg_execution_time_ms"), 4))
 
 
+def _calls(spark, directory):
+    log = d.audit_log(spark, directory)
+    return log.withColumn("tool", F.col("action")).withColumn("arguments", F.col("details")).withColumn("result", F.repeat("action", 100))
+
+
+_CALL = """'{"tool":"' || action || '","arguments":' || replace(details, ' ', '') || ',"result_summary":"' || left(repeat(action, 100), 500)
+           || '","execution_time_ms":'"""
+
+
+@query("SK1_tool_call_entries", f"""
+    SELECT event_id, 'tool_call' AS action, user_id, {_CALL} AS details_start FROM audit_log""")
+def _(spark, directory):
+    entries = audit.tool_call_entries(_calls(spark, directory), ["event_id"])
+    return entries.select("event_id", "action", "user_id", F.regexp_extract("details", '^(.*"execution_time_ms":)', 1).alias("details_start"))
+
+
+@query("SK1_customer_access_entries", """
+    SELECT event_id, 'customer_data_access' AS action, customer_id,
+           '{"access_type":"' || action || '","data_fields":' || CASE WHEN event_id % 3 = 0 THEN '[]' ELSE '["name","details"]' END || '}' AS details
+    FROM audit_log""")
+def _(spark, directory):
+    fields = F.when(F.col("event_id") % 3 > 0, F.array(F.lit("name"), F.lit("details")))
+    accesses = d.audit_log(spark, directory).withColumn("access_type", F.col("action")).withColumn("data_fields", fields)
+    return audit.customer_access_entries(accesses, ["event_id"]).select("event_id", "action", "customer_id", "details")
+
+
+@query("A10_audit_usage_of_tools", """
+    SELECT action, user_id, count(*) AS calls, count(DISTINCT customer_id) AS customers_accessed,
+           round(avg(execution_time_ms)::DECIMAL(38, 7), 4)::DOUBLE AS avg_execution_time_ms FROM audit_log GROUP BY ALL""")
+def _(spark, directory):
+    entries = audit.tool_call_entries(_calls(spark, directory))
+    logged = keys.json_field(keys.json_field(entries, "details", "$.tool", "tool"), "details", "$.execution_time_ms", "execution_time_ms", "double")
+    usage = audit.audit_usage(logged.withColumn("action", F.col("tool")))
+    return usage.withColumn("avg_execution_time_ms", round_half_up(F.col("avg_execution_time_ms"), 4))
+
+
 _ARGS_SCHEMA = {"type": "object", "properties": {"k": {"type": "integer"}, "limit": {"type": "integer"}}, "required": ["k"]}
 
 
