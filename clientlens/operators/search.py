@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,10 +16,9 @@ from clientlens.operators.products import DEFAULT_RESULTS, ranked_results
 SCORE_THRESHOLD = 0.7
 MATCH_THRESHOLD = 0.95
 
-# Vectors of the smaller side sent to every task; beyond this both sides are
-# cut into blocks that meet pairwise.
-BROADCAST_VECTORS = 4096
+# Vectors of a block, and how many of them are scored at once.
 BLOCK_VECTORS = 16_384
+CHUNK_VECTORS = 4096
 SCORE_DIGITS = 6
 
 
@@ -82,26 +79,12 @@ def _pair_batch(rows) -> pa.RecordBatch:
 
 
 def _pairs(small: DataFrame, large: DataFrame, small_is_query: bool, pick, k: int, threshold: float) -> DataFrame:
-    """Score pairs chosen by ``pick``; both inputs are (id, embedding)."""
-    head = small.limit(BROADCAST_VECTORS + 1).toArrow()
-    if head.num_rows <= BROADCAST_VECTORS:
-        ids = np.asarray(head.column("id"), dtype=np.int64)
-        units = _matrix(head.column("embedding"))
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows or not len(ids):
-                    continue
-                other_ids = np.asarray(batch.column("id"), dtype=np.int64)
-                other = _matrix(batch.column("embedding"))
-                if small_is_query:
-                    rows = pick(ids, other_ids, _scores(units, other), k, threshold)
-                else:
-                    rows = pick(other_ids, ids, _scores(other, units), k, threshold)
-                yield _pair_batch(rows)
-
-        return large.mapInArrow(scan, _PAIR_SCHEMA)
+    """Score pairs chosen by ``pick``; both inputs are (id, embedding).
 
+    Both sides are dealt into blocks by a hash of the id and meet block by
+    block, whatever their sizes: with up to BLOCK_VECTORS queries no vector is
+    copied. Each meeting sends on at most ``k`` pairs per query.
+    """
     small_blocks = max(1, -(-small.count() // BLOCK_VECTORS))
     large_blocks = max(1, -(-large.count() // BLOCK_VECTORS))
 
@@ -117,8 +100,8 @@ def _pairs(small: DataFrame, large: DataFrame, small_is_query: bool, pick, k: in
         vector_ids = np.asarray(vectors.column("id"), dtype=np.int64)
         query_units, vector_units = _matrix(queries.column("embedding")), _matrix(vectors.column("embedding"))
         out = []
-        for start in range(0, len(vector_ids), BROADCAST_VECTORS):
-            part = slice(start, start + BROADCAST_VECTORS)
+        for start in range(0, len(vector_ids), CHUNK_VECTORS):
+            part = slice(start, start + CHUNK_VECTORS)
             out.append(_pair_batch(pick(query_ids, vector_ids[part], _scores(query_units, vector_units[part]), k, threshold)))
         return pa.Table.from_batches(out)
 

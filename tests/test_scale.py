@@ -205,7 +205,7 @@ def vector_table(spark, n, d, seed, name):
 @pytest.mark.parametrize("blocks", [False, True])
 def test_vector_search_equals_brute_force(spark, monkeypatch, blocks):
     if blocks:
-        monkeypatch.setattr(search, "BROADCAST_VECTORS", 7)
+        monkeypatch.setattr(search, "CHUNK_VECTORS", 7)
         monkeypatch.setattr(search, "BLOCK_VECTORS", 20)
     q, queries = vector_table(spark, 25, 6, 1, "query_id")
     v, vectors = vector_table(spark, 150, 6, 2, "vec_id")
@@ -226,7 +226,7 @@ def test_vector_search_of_odd_vectors(spark):
 @pytest.mark.parametrize("blocks", [False, True])
 def test_semantic_match_takes_the_first_entry(spark, monkeypatch, blocks):
     if blocks:
-        monkeypatch.setattr(search, "BROADCAST_VECTORS", 1)
+        monkeypatch.setattr(search, "CHUNK_VECTORS", 1)
         monkeypatch.setattr(search, "BLOCK_VECTORS", 2)
     store = spark.createDataFrame(
         [(1, "a", [1.0, 0.1], "first"), (2, "b", [1.0, 0.0], "nearer"), (3, "a", [1.0, 0.1], "again"), (4, "c", [0.0, 1.0], "other")],
