@@ -233,16 +233,15 @@ def identify(docs: DataFrame, network: Network | None, batch_chars: int = 400_00
 
     def run(batches) -> Iterable:
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            start = 0
-            while start < len(texts):
-                end, chars = start, 0
-                while end < len(texts) and chars < batch_chars:
-                    chars += len(texts[end] or "")
-                    end += 1
-                part = batch.slice(start, end - start)
-                yield [*part.columns, *label(texts[start:end], network)]
-                start = end
+            column, start = batch.column(at), 0
+            while start < len(column):
+                texts, chars = [], 0
+                while start + len(texts) < len(column) and chars < batch_chars:
+                    texts.append(column[start + len(texts)].as_py())
+                    chars += len(texts[-1] or "")
+                part = batch.slice(start, len(texts))
+                yield [*part.columns, *label(texts, network)]
+                start += len(texts)
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
     return map_batches(kept, run, f"{types}, lang_pred string, lang_score double")
