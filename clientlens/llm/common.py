@@ -29,14 +29,22 @@ def arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     return to_arrow_schema(_parse_datatype_string(schema))
 
 
+# Rows of a record batch: texts and token lists are long, and a batch is held by the JVM and by Python.
+BATCH_ROWS = 2000
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterable[Sequence[list]]],
                 schema: str) -> DataFrame:
     """``mapInArrow`` for a function that yields lists of columns.
 
     The function sees one iterator of record batches per task and yields, as
-    often as it likes, a list with one sequence per output column.
+    often as it likes, a list with one sequence per output column. Batches have
+    at most BATCH_ROWS rows; for that the session's setting is lowered once.
     """
     target = arrow_schema(df.sparkSession, schema)
+    if not 0 < int(df.sparkSession.conf.get(_BATCH_SETTING)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(_BATCH_SETTING, str(BATCH_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in function(batches):
