@@ -15,8 +15,8 @@ Steps:
    tokens are missing outside, so ``sample - fifth`` tokens of the sample must
    occur in another set. Sets below this bound are done: they have no link.
 2. The rest are read again in full. Sets that share the smallest of their
-   rehashed tokens are walked in order and compared with the leaders of their
-   bucket; links to leaders join them into groups. Large buckets are split by a
+   rehashed tokens are walked, those with most tokens found elsewhere first, and
+   compared with the leaders of their bucket; links to leaders join them into groups. Large buckets are split by a
    hash, and their sets meet again in a second walk with other buckets.
 3. The matrix of all tokens of these sets gives for each token the number of
    groups that have it. Tokens of one group only bound q from outside: if other
@@ -24,8 +24,11 @@ Steps:
 4. For the others, tokens are ordered by their number of groups. Of the first
    fifth and one more in this order, q shares at least one with any similar set,
    and so does that set: a group without one of them cannot qualify. The members
-   of qualifying groups that have such a token and a size that fits are compared
-   with q. Members of q's own group are not: they are joined already.
+   of qualifying groups that have such a token, and a size and a number of tokens
+   found elsewhere that fit, are compared with q. Members of q's own group are
+   not: they are joined already. Each q first meets, per token, the set with the
+   largest share of tokens found elsewhere, which is the centre of a family of
+   copies; the links found so join groups before the rest is compared.
 
 Every step is exact, so the result has every link that the definition gives.
 No step builds pairs within a group, and no list per key is held: the walks
@@ -38,7 +41,6 @@ import hashlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,7 +53,7 @@ SIMILARITY = 80  # per cent
 LEADERS = 16  # compared with by each set of a bucket
 BUCKET = 20_000  # sets of a bucket that are walked together
 HELD = 1_000_000  # rows of one key that a task holds
-BATCH_TOKENS = 1_500_000  # of the samples that a task compares before it sends them
+BATCH_TOKENS = 400_000  # of the samples that a task compares before it sends them
 SMALL = 1_000_000  # rows of a table of ids that may be broadcast
 _ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
                                     0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
@@ -187,7 +189,7 @@ def _count_shared(batches) -> Iterator[list]:
 
 
 def _walk(batches) -> Iterator[list]:
-    """Links of sets to leaders, from rows (bucket, part, set, tokens) sorted by these."""
+    """Links of sets to leaders, from rows (bucket, part, set, tokens) sorted by bucket and part."""
     place, leaders = None, []
     for batch in batches:
         buckets, parts, sets = (batch.column(i).to_pylist() for i in range(3))
@@ -224,9 +226,9 @@ def _leader_links(sets: DataFrame) -> DataFrame:
     for bucket in ("bucket0", "bucket1") if rows else ("bucket0",):
         part = F.pmod(F.xxhash64("set", F.lit(bucket)), F.coalesce("parts", F.lit(1)))
         placed = (sized if bucket == "bucket0" else sized.where("parts IS NOT NULL")).select(
-            F.col(bucket).alias("bucket"), part.alias("part"), "set", "tokens")
-        walks.append(map_batches(placed.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "set"), _walk,
-                                 "a long, b long"))
+            F.col(bucket).alias("bucket"), part.alias("part"), "set", "tokens", "share")
+        walks.append(map_batches(placed.repartition("bucket", "part").sortWithinPartitions(
+            "bucket", "part", F.desc("share"), "set"), _walk, "a long, b long"))
     return walks[0].union(walks[1]) if rows else walks[0]
 
 
@@ -237,12 +239,12 @@ def _needed(shared: Column, n: Column) -> Column:
 
 def _send_tokens(batches) -> Iterator[list]:
     """(token, set's number, group, n) of every token; the token is cut to 44 bits, which can only add candidates."""
-    for batch in batches:
-        sizes = batch.column(2).to_numpy()
-        tokens = batch.column(3).combine_chunks() if isinstance(batch.column(3), pa.ChunkedArray) else batch.column(3)
-        flat = tokens.flatten().to_numpy()
-        yield [flat >> 20, np.repeat(batch.column(0).to_numpy(), sizes), np.repeat(batch.column(1).to_numpy(), sizes),
-               np.repeat(sizes, sizes)]
+    for whole in batches:
+        for at in range(0, whole.num_rows, 256):
+            batch = whole.slice(at, 256)
+            sizes = batch.column(2).to_numpy()
+            yield [batch.column(3).flatten().to_numpy() >> 20, np.repeat(batch.column(0).to_numpy(), sizes),
+                   np.repeat(batch.column(1).to_numpy(), sizes), np.repeat(sizes, sizes)]
 
 
 def _groups_of(columns: list[np.ndarray]) -> np.ndarray:
@@ -256,10 +258,11 @@ def _groups_of(columns: list[np.ndarray]) -> np.ndarray:
     return np.repeat(np.add.reduceat(fresh.astype(np.int64), at), np.diff(np.r_[at, len(token)]))
 
 
-def _carry(batches, width: int, settle: Callable[[list[np.ndarray]], list], endless: Callable) -> Iterator[list]:
+def _carry(batches, width: int, settle: Callable[[list[np.ndarray]], list],
+           endless: Callable[[list[np.ndarray]], list] | None = None) -> Iterator[list]:
     """Give ``settle`` the rows of whole keys, from rows sorted by key.
 
-    ``endless`` settles parts of a key that has more than HELD rows, so that no key is held whole.
+    ``endless``, if given, settles parts of a key that has more than HELD rows, so that no key is held whole.
     """
     held: list[np.ndarray] | None = None
     going = None  # a key that is settled in parts
@@ -283,7 +286,7 @@ def _carry(batches, width: int, settle: Callable[[list[np.ndarray]], list], endl
         if last:
             yield settle([r[:last] for r in rows])
         held = [r[last:] for r in rows]
-        if len(held[0]) > HELD:
+        if endless and len(held[0]) > HELD:
             going = held[0][0]
             yield endless(held)
             held = None
@@ -307,7 +310,10 @@ def _shared_tokens(batches) -> Iterator[list]:
 
 
 def _leading(batches) -> Iterator[list]:
-    """(token, set's number, group, n): of each set that may have a partner, the tokens that name one."""
+    """(token, set's number, group, n, shared, first): of each set that may have a partner, the tokens that name one.
+
+    ``first`` marks those of which one must be common with every similar set that is not smaller.
+    """
     def settle(columns: list[np.ndarray]) -> list:
         number, token, groups, n, group = columns
         at = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
@@ -318,31 +324,14 @@ def _leading(batches) -> Iterator[list]:
         # Tokens of q's own group alone stand first in the order and name nobody.
         kept = (100 * shared >= SIMILARITY * n) & (place < n // 5 + 1 - (n - shared))
         rows = order[kept]
-        return [token[rows], number[rows], group[rows], n[rows]]
-
-    return _carry(batches, 5, settle, settle)
+        first = place < n // 9 + 1 - (n - shared)
+        return [token[rows], number[rows], group[rows], n[rows], shared[rows], first[kept]]
 
+    return _carry(batches, 5, settle)  # a key is one document
 
-def _open_groups(sets: DataFrame, grouped: DataFrame) -> DataFrame:
-    """Links of sets with members of other groups.
 
-    sets: number, set, n, tokens; grouped: set, root. Sets without a root are their own group.
-    """
-    owned = (sets.join(_maybe_broadcast(grouped, grouped.count()), "set", "left")
-             .select("number", F.coalesce("root", F.col("number")).alias("group"), "n", "tokens"))
-    by_token = map_batches(owned, _send_tokens, "token long, number long, group long, n int").repartition(
-        "token").sortWithinPartitions("token")
-    shared = map_batches(by_token, _shared_tokens, "number long, token long, groups long, n int, group long")
-    leading = written(map_batches(shared.repartition("number").sortWithinPartitions("number"), _leading,
-                                  "token long, number long, group long, n int"), "leading")
-    several = (leading.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high"))
-               .where("low <> high").select("token"))
-    matrix = leading.join(several, "token")
-    a, b = (matrix.select("token", *(F.col(c).alias(f"{c}_{side}") for c in ("number", "group", "n"))) for side in "ab")
-    pairs = (a.join(b, "token").where(
-        (F.col("number_a") < F.col("number_b")) & (F.col("group_a") != F.col("group_b"))
-        & (F.col("n_a") * 100 >= F.col("n_b") * SIMILARITY) & (F.col("n_b") * 100 >= F.col("n_a") * SIMILARITY))
-        .select("number_a", "number_b").distinct())
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) among the pairs of numbers: the tokens of both are brought together and counted."""
     pairs = written(pairs, "pairs")
     named = pairs.select(F.col("number_a").alias("number")).union(pairs.select(F.col("number_b").alias("number"))).distinct()
     named = written(named, "named")
@@ -357,7 +346,48 @@ def _open_groups(sets: DataFrame, grouped: DataFrame) -> DataFrame:
                     for i in range(batch.num_rows)]
             yield [[v for v, hit in zip(batch.column(c).to_pylist(), hits, strict=True) if hit] for c in (0, 1)]
 
-    return map_batches(met, compare, "a long, b long")
+    return written(map_batches(met, compare, "a long, b long"), "opened")
+
+
+def _fits() -> Column:
+    """Whether two sets of different groups can be similar by their sizes and their numbers of shared tokens."""
+    n_a, n_b = F.col("n_a"), F.col("n_b")
+    return ((F.col("group_a") != F.col("group_b")) & (n_a * 100 >= n_b * SIMILARITY) & (n_b * 100 >= n_a * SIMILARITY)
+            & (F.least("shared_a", "shared_b") * (100 + SIMILARITY) >= (n_a + n_b) * SIMILARITY))
+
+
+def _open_groups(sets: DataFrame, grouped: DataFrame) -> DataFrame:
+    """Links of sets with members of other groups.
+
+    sets: number, set, n, tokens; grouped: set, root. Sets without a root are their own group.
+    """
+    owned = (sets.join(_maybe_broadcast(grouped, grouped.count()), "set", "left")
+             .select("number", F.coalesce("root", "set").alias("group"), "n", "tokens"))
+    by_token = map_batches(owned, _send_tokens, "token long, number long, group long, n int").repartition(
+        "token").sortWithinPartitions("token")
+    shared = map_batches(by_token, _shared_tokens, "number long, token long, groups long, n int, group long")
+    leading = written(map_batches(shared.repartition("number").sortWithinPartitions("number"), _leading,
+                                  "token long, number long, group long, n int, shared long, first boolean"), "leading")
+
+    def side(rows: DataFrame, name: str) -> DataFrame:
+        return rows.select("token", *(F.col(c).alias(f"{c}_{name}") for c in ("number", "group", "n", "shared")))
+
+    centre = leading.groupBy("token").agg(F.max(F.struct(
+        (F.col("shared") / F.col("n")).alias("share"), "number", "group", "n", "shared")).alias("c")).select("token", "c.*")
+    near = (side(leading, "a").join(side(centre, "b"), "token").where(_fits())
+            .select("number_a", "number_b").distinct())
+    first = _compared(near, sets)
+    roots = written(components(first.union(grouped.select(F.col("set").alias("a"), F.col("root").alias("b")))), "groups")
+    moved = (leading.join(_maybe_broadcast(roots, roots.count()), F.col("group") == F.col("a"), "left")
+             .select("token", "number", F.coalesce("root", "group").alias("group"), "n", "shared", "first"))
+    several = (moved.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high"))
+               .where("low <> high").select("token"))
+    matrix = written(moved.join(several, "token"), "matrix")
+    # The smaller set of a pair, or of two equal ones the first, is found by fewer of its tokens.
+    pairs = (side(matrix.where("first"), "a").join(side(matrix, "b"), "token")
+             .where(((F.col("n_a") < F.col("n_b")) | (F.col("n_a") == F.col("n_b")) & (F.col("number_a") < F.col("number_b"))) & _fits())
+             .select("number_a", "number_b").distinct())
+    return first.union(_compared(pairs, sets))
 
 
 def similar_documents(docs: DataFrame) -> DataFrame:
@@ -378,30 +408,31 @@ def similar_documents(docs: DataFrame) -> DataFrame:
                                                          F.col("n").alias("n"))
     shared = first.where(F.col("kind") == COUNT).groupBy(F.col("of").alias("set")).agg(F.sum("n").alias("shared"))
     one = rows.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
-    open_sets = written(one.join(shared, "set").where(_needed(F.col("shared"), F.col("n"))).select("set", "doc_id"), "open")
+    open_sets = written(one.join(shared, "set").where(_needed(F.col("shared"), F.col("n"))).select(
+        "set", "doc_id", (F.col("shared") / F.col("n")).alias("share")), "open")
 
     def full(batches) -> Iterable:
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                out: list[list] = [[] for _ in range(6)]
-                for own, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                out: list[list] = [[] for _ in range(7)]
+                for own, share, text in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
                     tokens = shingle_set(text)
                     if set_id(tokens) != own:  # another text under the same id
                         continue
                     rehashed = [int(_mix(tokens.view(np.uint64) ^ odd).min().view(np.int64)) for odd in _ODD[1:3]]
-                    for column, cell in zip(out, (number, own, len(tokens), tokens, *rehashed), strict=True):
+                    for column, cell in zip(out, (number, own, len(tokens), tokens, *rehashed, share), strict=True):
                         column.append(cell)
                     number += 1
                 yield out
 
-    texts = named.join(_maybe_broadcast(open_sets, open_sets.count()), "doc_id").select("set", "text")
-    sets = written(map_batches(texts, full, "number long, set long, n int, tokens array<long>, bucket0 long, bucket1 long"),
-                   "sets")
+    texts = named.join(_maybe_broadcast(open_sets, open_sets.count()), "doc_id").select("set", "share", "text")
+    sets = written(map_batches(texts, full, "number long, set long, n int, tokens array<long>, bucket0 long, bucket1 long, "
+                               "share double"), "sets")
     links = written(_leader_links(sets), "links")
     grouped = written(components(links).select(F.col("a").alias("set"), "root"), "groups")
-    links = written(_open_groups(sets, grouped), "opened").union(
+    links = _open_groups(sets, grouped).union(
         grouped.select(F.col("set").alias("a"), F.col("root").alias("b")))
     grouped = components(links).select(F.col("a").alias("set"), "root")
 
