@@ -9,11 +9,13 @@ g. Only groups whose bound qualifies are opened and compared set by set.
 
 Steps:
 
-1. One pass over the texts gives id, set (by hash) and the quarter of the set's
-   tokens that have the lowest hashes, the sample. Each set is first its own
-   group; copies are one set. If similar sets exist, at most a fifth of q's
-   tokens are missing outside, so ``sample - fifth`` tokens of the sample must
-   occur in another set. Sets below this bound are done: they have no link.
+1. One pass over the texts gives id, set (by hash) and, as the sample, a quarter
+   of the set's tokens and two more: those with the lowest hashes. Each set is
+   first its own group; copies are one set. If a similar set exists, at most a
+   fifth of q's tokens are missing in it, so ``quarter + 1 - fifth`` tokens of
+   the sample must occur in its sample. Sets below this bound are done: they
+   have no link. The second token more makes up for the similar set's sample,
+   which may be cut off earlier if that set has other tokens.
 2. The rest are read again in full. Sets that share the smallest of their
    rehashed tokens are walked, those with most tokens found elsewhere first, and
    compared with the leaders of their bucket; links to leaders join them into groups. Large buckets are split by a
@@ -90,7 +92,8 @@ def set_id(tokens: np.ndarray) -> int:
 
 
 def sample_size(n):
-    return n // 4 + 1
+    """One more than ``_needed`` counts on: a partner's sample may end one shared token earlier."""
+    return n // 4 + 2
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:

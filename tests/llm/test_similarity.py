@@ -120,3 +120,30 @@ def test_odd_rows(spark):
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in found if r.doc_id is not None} == {(d, *v) for d, v in expected.items()}
     assert sorted((r.n_shingles, r.component_id) for r in found if r.doc_id is None) == [(0, None), (3, None)]
     assert similarity.similar_documents(no_documents(spark)).count() == 0
+
+
+def found_elsewhere(n, m, shared):
+    """Fewest tokens of the first set's sample in the second's, if all that they do not share have the lowest hashes."""
+    sample_n, sample_m = min(n, similarity.sample_size(n)), min(m, similarity.sample_size(m))
+    return min(sample_n - (n - shared), sample_m - (m - shared), shared)
+
+
+def test_samples_of_similar_sets_meet_at_every_pair_of_sizes():
+    for n in range(1, 400):
+        for m in range(-(-4 * n // 5), 5 * n // 4 + 1):
+            shared = -(-4 * (n + m) // 9)
+            if m and shared <= min(n, m):
+                assert found_elsewhere(n, m, shared) >= max(1, n // 4 + 1 - n // 5), (n, m)
+
+
+def test_appended_words_at_exactly_the_threshold(spark):
+    rng = random.Random(11)
+    rows = []
+    for n, m in ((4, 5), (8, 10), (9, 11), (12, 15), (24, 30), (28, 35), (44, 55)):  # shingles; 80 of 100 or just above
+        for _ in range(40):
+            text = [f"{rng.random():.12f}" for _ in range(m + 4)]
+            rows += [(len(rows), " ".join(text[:n + 4])), (len(rows) + 1, " ".join(text))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = found_of(docs)
+    assert found == by_brute_force(rows)
+    assert all(found[d][1] == d - d % 2 for d, _ in rows)
