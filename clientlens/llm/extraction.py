@@ -8,7 +8,8 @@ nested in the class its tokens' parents belong to, and the classes together are
 the host's template. The places that hold text inside a template's tokens are
 its slots; a slot is main text or not by the elements it is nested in and by
 how much of its text on all of the host's pages is links. Extraction keeps the
-text of main slots.
+text of main slots: those in a page's article, or, on a page without one, those
+of few links. Each page is decided by itself, as a host may have several layouts.
 
 The vectors are never built: the exclusive or of a hash of page and count is the
 same for tokens with the same vector, and it can be added up in parts. So a host
@@ -38,10 +39,14 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
                    "section summary table tbody td tfoot th thead title tr ul button select option label".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SKIPPED = frozenset("nav footer aside form head title menu button select option dialog fieldset search".split())
-# Words in class, id or role that name what is not the article.
-NAMES = re.compile(r"(?:^|[^a-z])(?:ads?|advert\w*|banner|promo\w*|sponsor\w*|cookies?|consent|notices?|newsletter|popup|modal|"
-                   r"side-?bar|navigation|nav|nav-?bar|menu|breadcrumbs?|footer|site-?header|comments?|disqus|"
-                   r"reply|replies|share|sharing|social|related|recommend\w*|subscribe)(?:$|[^a-z])")
+# Class, id or role that names what is not the article; further words of such a name.
+_NAMED = (r"(?:ads?|advert\w*|banner|promo\w*|sponsor\w*|cookies?|consent|notices?|newsletter|popup|modal|side-?bar|navigation|"
+          r"nav|nav-?bar|menu|breadcrumbs?|footer|site-?header|comments?|disqus|reply|replies|share|sharing|social|related|"
+          r"recommend\w*|subscribe)")
+_NOUN = (r"(?:9|area|articles|bar|block|box|buttons?|container|content|form|icons|inner|items?|links?|list|message|outer|posts?|"
+         r"section|slot|text|unit|widget|wrapper)")
+NAMES = re.compile(rf"(?:(?:site|page)[-_]+)?{_NAMED}(?:[-_]*(?:{_NAMED}|{_NOUN}))*")
+UNNAMED = frozenset("html body main article".split())  # hold the article, whatever they are called
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<(script|style|noscript|template|svg|iframe|textarea)\b.*?(?:</\1\s*>|$)"
     r"|</?[a-zA-Z](?:\"[^\"]*\"|'[^']*'|[^>\"'])*>|<[a-zA-Z/!?][^>]*(?:>|$)|[^<]+|<", re.S | re.I)
@@ -51,6 +56,7 @@ _HIDDEN = re.compile(r"\shidden(?:[\s=>/])|display\s*:\s*none|aria-hidden\s*=\s*
 _HOST = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", re.I)
 
 MAIN, OTHER, ASIDE = 1, 0, -1
+INNER = 2  # in an article within an element named as no part of it: main text of a page that has no other
 
 
 def host_of(url: str | None) -> str:
@@ -114,14 +120,23 @@ def blocks(page: str) -> Iterator[tuple[str, str, int]]:
 
 
 def hint(path: str) -> int:
-    """What the elements and names of a path say about text in it."""
-    main = False
+    """What the elements and names of a path say about text in it.
+
+    A name counts as a whole word of class, id or role (``sidebar``, not ``has-sidebar``).
+    """
+    main = named = False
     for part in path.split("/"):
         name, _, words = part.partition(".")
-        if name in SKIPPED or name == "header" and not main or "hidden" in words.split(".") or NAMES.search(words):
+        words = words.split(".")
+        if name in SKIPPED or name == "header" and not main or "hidden" in words:
             return ASIDE
-        main = main or name in ("article", "main") or "main" in words.split(".") or "article" in words.split(".")
-    return MAIN if main else OTHER
+        own = name in ("article", "main") or "main" in words or "article" in words
+        if name not in UNNAMED and not own and any(map(NAMES.fullmatch, words)):
+            if main:
+                return ASIDE
+            named = True
+        main = main or own
+    return (INNER if main else ASIDE) if named else MAIN if main else OTHER
 
 
 def templates(pages: DataFrame) -> DataFrame:
@@ -167,17 +182,13 @@ def templates(pages: DataFrame) -> DataFrame:
     hosts = tokens.groupBy("host").agg(F.max("pages").alias("host_pages"))
     valid = written(tokens.join(hosts, "host").where(F.col("pages") >= F.greatest(F.lit(1), F.lit(SUPPORT) * F.col("host_pages"))),
                     "template-tokens")
-    # Does the host's template have an article at all? If not, dense slots elsewhere are the main text.
-    marked = valid.groupBy("host").agg(F.max((F.col("hint") == MAIN) & (F.col("chars") > 0)).alias("marked"))
     klass = F.xxhash64("pages", "vector")
     parents = valid.select("host", F.col("path").alias("above"), klass.alias("parent"))
-    return (valid.join(marked, "host").withColumn("above", F.regexp_replace("path", "/?[^/]*$", ""))
+    return (valid.withColumn("above", F.regexp_replace("path", "/?[^/]*$", ""))
             .join(parents, ["host", "above"], "left")
             .select("host", "path", klass.alias("class"), "parent", "pages",
-                    F.when(F.col("hint") != OTHER, F.col("hint"))
-                    .when(F.col("marked"), F.lit(ASIDE))
-                    .when(F.col("links") > F.lit(LINKS) * F.col("chars"), F.lit(ASIDE))
-                    .otherwise(F.lit(MAIN)).alias("role")))
+                    F.when((F.col("hint") == OTHER) & (F.col("links") > F.lit(LINKS) * F.col("chars")), F.lit(ASIDE))
+                    .otherwise(F.col("hint")).alias("role")))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -209,15 +220,13 @@ def extract(pages: DataFrame) -> DataFrame:
                         parsed.clear()
                     lines = (line.rsplit("\t", 1) for line in (template or "").split("\n") if line)
                     roles = parsed[template] = {path: int(role) for path, role in lines}
-                marked = any(role == MAIN for role in roles.values())
-                kept = []
+                kept: dict[int, list[str]] = {MAIN: [], INNER: [], OTHER: [], ASIDE: []}
                 for path, words, _ in blocks(page or ""):
-                    role = roles.get(path)
-                    if role is None:  # a rare path: no template slot
-                        role = hint(path) or (ASIDE if marked else MAIN)
-                    if words and role == MAIN:
-                        kept.append(words)
-                texts.append("\n".join(kept))
+                    if words:
+                        role = roles.get(path)
+                        kept[hint(path) if role is None else role].append(words)  # a rare path is no template slot
+                # Has the page an article? If not, its dense slots elsewhere are the main text.
+                texts.append("\n".join(kept[MAIN] or kept[INNER] or kept[OTHER]))
             yield [batch.column(0), batch.column(1), texts, [len(t) for t in texts]]
 
     return map_batches(placed, run, "page_id long, url string, text string, n_chars long")

@@ -57,3 +57,21 @@ def test_odd_pages(spark):
     assert by[0] == by[1] == by[2] == by[8] == by[9] == by[None] == ""
     assert by[7] == "open" and by[10] == ("long words " * 50000).strip()
     assert extraction.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_names_of_wrappers_and_parts_of_names_lose_no_article(spark):
+    bodies = ('<body class="has-sidebar"><article>{}</article>', '<body class="sidebar"><div class="no-sidebar"><article>{}</article></div>',
+              '<body><article class="post share">{}</article>', '<body class="comments-open"><div class="share"><main id="nav">{}</main></div>',
+              '<body><div class="comments-open">{}</div>', '<body><article>{}<div class="share-buttons"><p>Share this</p></div></article>')
+    rows = [(10 * i + j, f"http://host{i}/", f"<html>{body.format(f'<p>Words of page {j}</p>')}<aside>x</aside></body></html>")
+            for i, body in enumerate(bodies) for j in range(4)]
+    found = extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in found} == {key: f"Words of page {key % 10}" for key, _, _ in rows}
+
+
+def test_every_page_is_read_by_its_own_layout(spark):
+    layouts = "<article><p>One {}</p></article><div>Below</div>", "<div class='content'><p>Two {}</p></div>"
+    for host in ("http://mixed/", None):  # pages without a url have one host
+        rows = [(i, host, f"<html><body>{layouts[i % 2].format(i)}</body></html>") for i in range(10)]
+        found = extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+        assert {r.page_id: r.text for r in found} == {i: f"{('One', 'Two')[i % 2]} {i}" for i in range(10)}
