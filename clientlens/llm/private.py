@@ -2,17 +2,20 @@
 
 Base kinds have exact rules and always stay: email, ip, card, phone. Beside
 them, generators with high recall propose spans that may overlap (values of
-assignments, long mixed strings, long digit groups); gradient-boosted trees
+assignments, long mixed strings, long digit groups, national phones, IBANs,
+parts of digit runs too long for one card); gradient-boosted trees
 judge each by its format and its context, and a threshold calibrated on
 held-back candidates selects. The trees learn from a bounded sample: candidates
-that a base rule accepts, or that a naming word assigns, are examples; digit
-groups that no rule accepts and strings without such context are counterexamples.
+with the format of a card, an IBAN, a social security number or a national phone,
+or that a naming word assigns, are examples; other digit groups and strings
+without such context are counterexamples.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect
 from collections import Counter
 from collections.abc import Callable, Iterable
 
@@ -38,7 +41,16 @@ _TRIGGER = re.compile(r"[0-9@]")
 _EMAIL_RUN = re.compile(r"[A-Za-z0-9._%+@-]+")
 _MIXED = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 _DIGITS = re.compile(r"[0-9](?:[ .-]?[0-9]){8,}")
-_NAMED = re.compile(r"(?i)(?:token|secret|password|passwd|api[_-]?key|key|auth)\w{0,10}[\"']?\s*[:=]\s*[\"']?$")
+_ASSIGNED = re.compile(r"[A-Za-z]\w*[\"']?\s*$")
+_ASSIGN = re.compile(r"[:=]+")
+_VALUE = re.compile(r"\s{0,4}(?:\"([^\"\n]{4,4096})\"|'([^'\n]{4,4096})'|([^\s\"'<>,;(){}\[\]/][^\s\"'<>,;(){}\[\]]{3,4096}))")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
+_NATIONAL = re.compile(r"(?<![0-9+])\(?[0-9]{2,5}\)?[ ./-]?[0-9]{2,5}(?:[ .-]?[0-9]{2,5}){1,3}(?![0-9])")
+_SSN = re.compile(r"(?!000|666|9)[0-9]{3}([ -])(?!00)[0-9]{2}\1(?!0000)[0-9]{4}")
+_LOCAL = re.compile(r"(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}")
+_NAMED = re.compile(r"(?i)(?:(?:token|secret|passw|passphrase)\w{0,10}|(?:pwd|api[_-]?key|key|auth)s?(?:[_-]\w{1,10})?)[\"']?\s*[:=]+\s*[\"']?$")
+_NUMBERED = re.compile(r"(?i)(?<![a-z])(?:account|acct|iban|ssn|social security|(?:credit |debit )?card|phone|tel|telephone|mobile|fax|passport)"
+                       r"(?:[ _-]?(?:number|no|nr|id))?[\"']?[.:=# ]{0,4}[\"'(+]{0,2}$")
 _WORDS = re.compile(r"(?i)token|secret|passw|key|auth|account|iban|ssn|card|phone|tel")
 
 Span = tuple[str, int, int]
@@ -78,20 +90,66 @@ def base_spans(text: str) -> list[Span]:
     return spans
 
 
+def _card_parts(run: str) -> list[tuple[int, int]]:
+    """Parts of a run of digits and separators that is too long for one card: 16 to 19 digits between two
+    separators, and, of digits without one, every 16 from either end."""
+    places = [i for i, c in enumerate(run) if c in "0123456789"]
+    n, parts = len(places), set()
+    starts = [k for k in range(n) if not k or places[k] - places[k - 1] > 1]
+    ends = {*starts[1:], n}
+    for k in starts:
+        parts |= {(k, k + size) for size in range(16, 20) if k + size in ends}
+    for first, last in zip(starts, [*starts[1:], n], strict=True):
+        if last - first > 19:
+            parts |= {(k, k + 16) for k in range(first, last - 15, 16)} | {(k - 16, k) for k in range(last, first + 15, -16)}
+    return [(places[a], places[b - 1] + 1) for a, b in sorted(parts)]
+
+
+def _iban(value: str) -> bool:
+    spelled = value.replace(" ", "")
+    return 15 <= len(spelled) <= 34 and int("".join(str(int(c, 36)) for c in spelled[4:] + spelled[:4])) % 97 == 1
+
+
+def _format(value: str) -> int:
+    """Which format of personal numbers a whole value has: card, IBAN, social security, national phone, or none (0)."""
+    digits = "".join(c for c in value if c in "0123456789")
+    if 16 <= len(digits) <= 19 and CARD.fullmatch(value) and len(set(digits)) > 1 and _luhn(digits):
+        return 1
+    if _IBAN.fullmatch(value) and _iban(value):
+        return 2
+    return 3 if _SSN.fullmatch(value) else 4 if _LOCAL.fullmatch(value) else 0
+
+
 def candidates(text: str) -> list[Span]:
-    """Proposed spans beyond the base kinds; they may overlap each other and base spans."""
+    """Proposed spans beyond the base kinds, each once; they may overlap each other and base spans."""
+    found: dict[Span, None] = {}
+    for m in _ASSIGN.finditer(text):
+        if _ASSIGNED.search(text[max(0, m.start() - 24):m.start()]) and (value := _VALUE.match(text, m.end())):
+            found["secret", *value.span(value.lastindex)] = None
     if not _TRIGGER.search(text):
-        return []
-    found = [("secret", m.start(), m.end()) for m in _MIXED.finditer(text)
-             if any(c in "0123456789" for c in m.group()) and any(c.isalpha() for c in m.group())]
-    found += [("number", m.start(), m.end()) for m in _DIGITS.finditer(text)]
-    return found
+        return list(found)
+    for m in _MIXED.finditer(text):
+        if any(c in "0123456789" for c in m.group()) and any(c.isalpha() for c in m.group()):
+            found["secret", m.start(), m.end()] = None
+    for pattern in (_DIGITS, _NATIONAL):
+        for m in pattern.finditer(text):
+            if sum(c in "0123456789" for c in m.group()) >= 7:
+                found["number", m.start(), m.end()] = None
+    for m in CARD.finditer(text):
+        if m.end() - m.start() > 19:
+            for start, end in _card_parts(m.group()):
+                found["number", m.start() + start, m.start() + end] = None
+    for m in _IBAN.finditer(text):
+        end = next((e for e in range(m.end(), m.start() + 14, -1) if text[e - 1] != " " and _iban(text[m.start():e])), None)
+        if end:
+            found["number", m.start(), end] = None
+    return list(found)
 
 
 def features(text: str, span: Span) -> list[float]:
     """Format of the span and what stands around it."""
     kind, start, end = span
-    value, before, after = text[start:end], text[max(0, start - 24):start], text[end:end + 2]
+    value, before, after = text[start:end], text[max(0, start - 32):start], text[end:end + 2]
     n = len(value)
     counts = Counter(value)
     digits = sum(c in "0123456789" for c in value)
@@ -102,15 +160,17 @@ def features(text: str, span: Span) -> list[float]:
             sum(c.isupper() for c in value) / n, entropy, changes / n, n - digits - letters,
             float(before[-1:] in "\"'" and bool(before)), float(after[:1] in "\"'" and bool(after)),
             float(bool(re.search(r"[:=]\s*[\"']?$", before))), float(bool(_WORDS.search(before))), float(_luhn("".join(
-                c for c in value if c in "0123456789")))]
+                c for c in value if c in "0123456789"))),
+            float(_format(value)) if kind == "number" else 0.0, float(bool((_NUMBERED if kind == "number" else _NAMED).search(before)))]
 
 
-def _example(text: str, span: Span, base: list[Span]) -> int:
-    """What the rules say about a candidate."""
+def _example(text: str, span: Span) -> int:
+    """What format and naming words say about a candidate, whether or not a base rule accepts it too."""
     kind, start, end = span
+    before = text[max(0, start - 32):start]
     if kind == "number":
-        return int(any(k in ("card", "phone") and s < end and start < e for k, s, e in base))
-    return int(bool(_NAMED.search(text[max(0, start - 24):start])))
+        return int(_format(text[start:end]) > 0 or bool(_NUMBERED.search(before)) and end - start <= 42)
+    return int(bool(_NAMED.search(before)))
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE_DOCUMENTS, limit: int = SAMPLE_CANDIDATES) -> BoostedTrees:
@@ -124,9 +184,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE_DOCUMENTS, limit: int = SAMPLE_CAN
             x, y = [], []
             for text in batch.column(0).to_pylist():
                 proposed = candidates(text)
-                base = base_spans(text) if proposed else []
                 x += [features(text, span) for span in proposed]
-                y += [_example(text, span, base) for span in proposed]
+                y += [_example(text, span) for span in proposed]
             yield x, y
 
     rows = (map_batches(picked, examples, "x array<double>, y int")
@@ -147,7 +206,13 @@ def spans_of(text: str | None, model: BoostedTrees) -> list[Span]:
     if not proposed:
         return base
     p = model.probabilities(np.array([features(text, span) for span in proposed]))
-    chosen = [span for span, value in zip(proposed, p, strict=True) if value >= model.threshold]
+    taken: dict[str, list[tuple[int, int]]] = {kind: [] for kind in EXTRA}  # of each kind apart and in order
+    for value, (kind, start, end) in sorted(zip(p, proposed, strict=True), key=lambda x: (-x[0], x[1][1] - x[1][2], x[1])):
+        if value >= model.threshold:
+            at = bisect(taken[kind], (start, end))
+            if (not at or taken[kind][at - 1][1] <= start) and (at == len(taken[kind]) or taken[kind][at][0] >= end):
+                taken[kind].insert(at, (start, end))
+    chosen = [(kind, *place) for kind, places in taken.items() for place in places]
     return base + sorted(chosen, key=lambda span: (EXTRA.index(span[0]), span[1]))
 
 

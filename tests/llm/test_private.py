@@ -73,3 +73,21 @@ def test_odd_rows(spark):
     shown = docs.select("text", private.redact_text(model).alias("hidden")).collect()
     assert all(r.text == r.hidden for r in shown)
     assert private.find(no_documents(spark), private.fit(no_documents(spark))).count() == 0
+
+
+def test_values_that_no_base_rule_takes_are_found(spark):
+    filler = [f"order {i} shipped on 2024-0{i % 9 + 1}-1{i % 10}, part no {10 ** 9 + 7919 * i}, name = item{i}" for i in range(300)]
+    known = [f"paid with 4111 1111 1111 {1111 + 0 * i} today; password = pa55word{i}; ssn: 219-09-{1000 + i}" for i in range(300)]
+    model = private.fit(spark.createDataFrame(list(enumerate(filler + known)), "doc_id long, text string"))
+    for text, kind, values in (
+            ("password = hunter2", "secret", ["hunter2"]), ('set api_key: "correct horse"', "secret", ["correct horse"]),
+            ("passwd=letmein now", "secret", ["letmein"]), ("his ssn: 219-09-9999.", "number", ["219-09-9999"]),
+            ("send to GB82 WEST 1234 5698 7654 32 please", "number", ["GB82 WEST 1234 5698 7654 32"]),
+            ("call (555) 123-4567 now", "number", ["(555) 123-4567"]),
+            ("4111 1111 1111 1111 5500 0000 0000 0004", "number", ["4111 1111 1111 1111", "5500 0000 0000 0004"]),
+            ("41111111111111115500000000000004", "number", ["4111111111111111", "5500000000000004"])):
+        spans = private.spans_of(text, model)
+        assert [text[s:e] for k, s, e in spans if k == kind] == values, text
+        assert not [k for k, _, _ in spans if k in private.KINDS]
+    for text in ("part no 1000791900", "name = item12", "shipped on 2024-01-11"):
+        assert private.spans_of(text, model) == [], text
