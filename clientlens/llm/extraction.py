@@ -1,7 +1,8 @@
 """Main text of web pages by equivalence-class template deduction.
 
-Pages of one host share a template. A page is read as structural tokens: the
-block elements with their path of names and classes. A token's occurrence
+Pages of one host share a template. A page is read as tokens: the block
+elements with their path of names and classes, and the words in their path, told
+apart by the word before. A token's occurrence
 vector says how often each page of the host has it; tokens with equal vectors
 form an equivalence class. A class that enough pages support is valid; it is
 nested in the class its tokens' parents belong to, and the classes together are
@@ -10,6 +11,9 @@ its slots; a slot is main text or not by the elements it is nested in and by
 how much of its text on all of the host's pages is links. Extraction keeps the
 text of main slots: those in a page's article, or, on a page without one, those
 of few links. Each page is decided by itself, as a host may have several layouts.
+Text whose words are mostly in one class that most of the host's pages share is the
+template's own and left out of the slots, unless it is most of a page's main text:
+such a page is a copy of others.
 
 The vectors are never built: the exclusive or of a hash of page and count is the
 same for tokens with the same vector, and it can be added up in parts. So a host
@@ -21,6 +25,7 @@ from __future__ import annotations
 
 import html as markup
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import xxhash
@@ -31,6 +36,11 @@ from clientlens.llm.common import map_batches, written
 
 SUPPORT = 0.01  # of a host's pages that a template's token is on at least
 LINKS = 0.35  # share of a slot's text that may be links
+MOST = 0.5  # of a host's pages have a word that is template text; share of a block's words in one class that make it template text
+LEAST_PAGES = 10  # fewer pages do not show what their host repeats
+LEAST_CLASS = 3  # words of a valid class
+COPY = 0.5  # share of a page's main text that may be template; a page that repeats more is a copy of others
+HELD = 300_000  # tokens that a task adds up before it sends them
 SMALL = 200_000  # rows of the template table that may be broadcast
 
 # Kinds of HTML elements.
@@ -139,26 +149,33 @@ def hint(path: str) -> int:
     return (INNER if main else ASIDE) if named else MAIN if main else OTHER
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """(host, path, class, parent, pages, role) of every host's template.
+def word_tokens(path: str, text: str) -> list[int]:
+    """The words of a block as tokens: each with its path and the word before it, which tells its roles apart."""
+    words = text.split()
+    return [xxhash.xxh3_64_intdigest(f"{path}\n{a} {b}") - 2 ** 63 for a, b in zip(["", *words], words, strict=False)]
 
-    ``class`` numbers the equivalence class of a path's token within its host by
-    its vector's fingerprint, ``parent`` is the class it is nested in. Paths on
-    fewer than SUPPORT of the host's pages are in no valid class.
+
+def _tokens(pages: DataFrame) -> DataFrame:
+    """(host, path, token, pages, vector, chars, links, hint): structural tokens by path, words by token, of all pages.
+
+    ``pages`` is how many pages have a token, ``vector`` the fingerprint of how often each has it. Words of one page
+    are left out.
     """
     def run(batches) -> Iterable:
-        sums: dict[tuple[str, str], list[int]] = {}
+        sums: dict[tuple[str, str | int], list[int]] = {}
 
         def sent() -> list:
-            rows = [(h, p, *v, hint(p)) for (h, p), v in sums.items()]
+            rows = [(h, None, p, *v, 0, 0, None) if isinstance(p, int) else (h, p, 0, *v, hint(p)) for (h, p), v in sums.items()]
             sums.clear()
             return list(map(list, zip(*rows, strict=True)))
 
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for key, url, page in zip(ids, batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                host, own = host_of(url), {}
+                host, own, repeated, marks = host_of(url), {}, Counter(), {}
                 for path, words, links in blocks(page or ""):
+                    if words:
+                        repeated.update(word_tokens(path, words))
                     entry = own.setdefault(path, [0, 0, 0])
                     entry[0] += not words
                     entry[1] += len(words)
@@ -169,16 +186,49 @@ def templates(pages: DataFrame) -> DataFrame:
                     place[1] ^= int.from_bytes(xxhash.xxh3_64_digest(f"{key}:{url}:{n}"), "little", signed=True)
                     place[2] += chars
                     place[3] += links
-                if len(sums) > 200_000:
+                for token, n in repeated.items():
+                    mark = marks.get(n)
+                    if mark is None:
+                        mark = marks[n] = int.from_bytes(xxhash.xxh3_64_digest(f"{key}:{url}:{n}"), "little", signed=True)
+                    place = sums.get((host, token))
+                    if place is None:
+                        sums[host, token] = [1, mark]
+                    else:
+                        place[0] += 1
+                        place[1] ^= mark
+                if len(sums) > HELD:
                     yield sent()
         if sums:
             yield sent()
 
     parts = map_batches(pages.select("page_id", "url", "html"), run,
-                        "host string, path string, pages long, vector long, chars long, links long, hint int")
-    tokens = parts.groupBy("host", "path").agg(
+                        "host string, path string, token long, pages long, vector long, chars long, links long, hint int")
+    return parts.groupBy("host", "path", "token").agg(
         F.sum("pages").alias("pages"), F.bit_xor("vector").alias("vector"), F.sum("chars").alias("chars"),
-        F.sum("links").alias("links"), F.first("hint").alias("hint"))
+        F.sum("links").alias("links"), F.first("hint").alias("hint")).where(
+            F.col("path").isNotNull() | (F.col("pages") > 1))
+
+
+def repeated_words(found: DataFrame) -> DataFrame:
+    """(host, token, class) of the words of valid classes that most pages of their host share, from ``_tokens``."""
+    hosts = found.where("path IS NOT NULL").groupBy("host").agg(F.max("pages").alias("host_pages"))
+    shared = found.where("path IS NULL").join(hosts.where(F.col("host_pages") >= LEAST_PAGES), "host").where(
+        F.col("pages") >= F.lit(MOST) * F.col("host_pages"))
+    valid = shared.groupBy("host", "pages", "vector").count().where(F.col("count") >= LEAST_CLASS).drop("count")
+    return shared.join(valid, ["host", "pages", "vector"]).select(
+        "host", "token", F.xxhash64("pages", "vector").alias("class"))
+
+
+def templates(pages: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """(host, path, class, parent, pages, role) of every host's template.
+
+    ``class`` numbers the equivalence class of a path's token within its host by
+    its vector's fingerprint, ``parent`` is the class it is nested in. Paths on
+    fewer than SUPPORT of the host's pages are in no valid class. ``found``: their
+    tokens, if known.
+    """
+    found = _tokens(pages) if found is None else found
+    tokens = found.where("path IS NOT NULL").drop("token")
     hosts = tokens.groupBy("host").agg(F.max("pages").alias("host_pages"))
     valid = written(tokens.join(hosts, "host").where(F.col("pages") >= F.greatest(F.lit(1), F.lit(SUPPORT) * F.col("host_pages"))),
                     "template-tokens")
@@ -191,6 +241,20 @@ def templates(pages: DataFrame) -> DataFrame:
                     .otherwise(F.col("hint")).alias("role")))
 
 
+def without_template(chosen: list[tuple[str, str]], repeated: dict[int, str]) -> list[tuple[str, str]]:
+    """The blocks (path, text) but for those whose words are mostly of one class of template text; all if little else is left."""
+    if not repeated:
+        return chosen
+    own = []
+    for block in chosen:
+        tokens = word_tokens(*block)
+        classes = Counter(repeated[t] for t in tokens if t in repeated)
+        if max(classes.values(), default=0) <= MOST * len(tokens):
+            own.append(block)
+    left, whole = (sum(len(words) for _, words in part) for part in (own, chosen))
+    return own if left >= (1 - COPY) * whole else chosen
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars (code points) of every page.
 
@@ -200,33 +264,40 @@ def extract(pages: DataFrame) -> DataFrame:
     url belongs to the host ''. Repeated rows give repeated rows, an empty table
     gives none. Columns other than page_id, url and html are not read.
     """
-    found = written(templates(pages).select("host", "path", "role"), "templates")
+    tokens = written(_tokens(pages), "page-tokens")
+    found = written(templates(pages, tokens).select("host", "path", "role"), "templates")
+    repeated = written(repeated_words(tokens), "repeated-words")
     by_host = found.groupBy("host").agg(F.array_join(F.sort_array(F.collect_list(
         F.concat_ws("\t", "path", F.col("role").cast("string")))), "\n").alias("template"))
+    by_host = by_host.join(repeated.groupBy("host").agg(F.array_join(F.sort_array(F.collect_list(
+        F.concat_ws(":", "token", "class"))), " ").alias("words")),
+                           "host", "left")
     host = F.lower(F.coalesce(F.nullif(F.regexp_extract(
         "url", r"^(?i)[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")), F.lit("")))
-    side = F.broadcast(by_host) if found.count() <= SMALL else by_host
+    side = F.broadcast(by_host) if found.count() + repeated.count() <= SMALL else by_host
     placed = (pages.select("page_id", "url", "html").withColumn("host", host).join(side, "host", "left")
-              .select("page_id", "url", "html", "template"))
+              .select("page_id", "url", "html", "template", "words"))
 
     def run(batches) -> Iterable:
-        parsed: dict[str, dict[str, int]] = {}
+        parsed: dict[tuple, tuple[dict[str, int], dict[int, str]]] = {}
         for batch in batches:
             texts = []
-            for page, template in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                roles = parsed.get(template)
-                if roles is None:
+            for page, template, common in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+                if (template, common) not in parsed:
                     if len(parsed) > 1000:
                         parsed.clear()
                     lines = (line.rsplit("\t", 1) for line in (template or "").split("\n") if line)
-                    roles = parsed[template] = {path: int(role) for path, role in lines}
-                kept: dict[int, list[str]] = {MAIN: [], INNER: [], OTHER: [], ASIDE: []}
+                    parsed[template, common] = ({path: int(role) for path, role in lines},
+                                                {int(t): c for t, _, c in (x.partition(":") for x in (common or "").split())})
+                roles, repeated_here = parsed[template, common]
+                kept: dict[int, list[tuple[str, str]]] = {MAIN: [], INNER: [], OTHER: [], ASIDE: []}
                 for path, words, _ in blocks(page or ""):
                     if words:
                         role = roles.get(path)
-                        kept[hint(path) if role is None else role].append(words)  # a rare path is no template slot
+                        kept[hint(path) if role is None else role].append((path, words))  # a rare path is no template slot
                 # Has the page an article? If not, its dense slots elsewhere are the main text.
-                texts.append("\n".join(kept[MAIN] or kept[INNER] or kept[OTHER]))
+                chosen = kept[MAIN] or kept[INNER] or kept[OTHER]
+                texts.append("\n".join(words for _, words in without_template(chosen, repeated_here)))
             yield [batch.column(0), batch.column(1), texts, [len(t) for t in texts]]
 
     return map_batches(placed, run, "page_id long, url string, text string, n_chars long")

@@ -75,3 +75,19 @@ def test_every_page_is_read_by_its_own_layout(spark):
         rows = [(i, host, f"<html><body>{layouts[i % 2].format(i)}</body></html>") for i in range(10)]
         found = extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
         assert {r.page_id: r.text for r in found} == {i: f"{('One', 'Two')[i % 2]} {i}" for i in range(10)}
+
+
+def test_text_that_most_pages_repeat_is_template(spark):
+    def own(i, j):
+        return " ".join(f"word{i * j % 7} the {i}x{k * j} of" for k in range(20))
+
+    notice = "We may earn a fee if you buy by the links on this page, at no cost to you."
+    layouts = {"a": "<article><p>{0}</p><div><p>Written by {1} on day {1} for the readers of this paper</p></div><p>" + notice + "</p><p>{2}</p></article>",
+               "b": "<div class='x1'><p>" + notice + "</p></div><div class='x2'><p>{0}</p><p>{2}</p></div>"}
+    rows = [(100 * (h == "b") + i, f"http://{h}/{i}", "<html><body>" + layout.format(own(i, 1), i, own(i, 3)) + "</body></html>")
+            for h, layout in layouts.items() for i in range(12)]
+    rows += [(200 + i, "http://copies/", "<article><p>The same text on all of the pages</p></article>") for i in range(9)]
+    found = extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    for r in found:
+        i = r.page_id % 100
+        assert r.text == ("The same text on all of the pages" if r.page_id >= 200 else f"{own(i, 1)}\n{own(i, 3)}")
