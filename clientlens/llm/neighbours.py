@@ -61,19 +61,19 @@ def _best(index_ids: np.ndarray, index: np.ndarray, query_ids: np.ndarray, queri
         place = asked @ directions / width + shift
         centre = buckets + 0.5
         gap = (centre ** 2).sum(1)[None, :] - 2 * place @ centre.T  # squared distance but for the query's own part
-        visited = max(k, int(np.ceil(probes * len(buckets))))
+        visited = max(k + 1, int(np.ceil(probes * len(buckets))))
         seen = np.ones(gap.shape, bool)
         if visited < len(buckets):
             limit = np.partition(gap, visited - 1, axis=1)[:, visited - 1:visited]
             seen = gap <= limit
         candidate |= seen[:, bucket.ravel()]
-    product = queries @ unique.T
-    product[~candidate] = -np.inf
     out: list[list] = [[], [], []]
-    reach = min(2 * k + 8, len(unique))
-    near = np.argpartition(-product, reach - 1, axis=1)[:, :reach]
-    for row, (own, columns) in enumerate(zip(query_ids, near, strict=True)):
-        columns = columns[np.isfinite(product[row, columns])]
+    for row, own in enumerate(query_ids):
+        columns = np.flatnonzero(candidate[row])
+        if len(columns) > k + 1:  # one may be the query itself; all that may equal the last one kept are ranked by id
+            product = unique[columns] @ queries[row]
+            last = np.partition(product, len(product) - k - 1)[len(product) - k - 1]
+            columns = columns[product >= last - 1e-12 * d * norm * np.linalg.norm(queries[row])]
         exact = (unique[columns] * queries[row]).sum(axis=1)  # the same order of adding up for every vector
         found = [(-s, int(i), s) for s, c in zip(exact.tolist(), columns, strict=True) for i in grouped[c][:k + 1] if i != own]
         found.sort()

@@ -59,3 +59,21 @@ def test_odd_vectors(spark):
         (0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 20, 0.0), (20, 1, 1, 2.0), (20, 2, 2, 2.0), (20, 3, 0, 0.0)]
     none = vectors.limit(0)
     assert neighbours.nearest(none, none).count() == 0
+
+
+def test_equal_products_rank_by_id_and_few_vectors_give_k_rows():
+    import numpy as np
+
+    from clientlens.llm import neighbours
+
+    rng = np.random.default_rng(2)
+    tied = np.hstack([np.ones((200, 1)), rng.standard_normal((200, 3))])
+    ids = rng.permutation(200)
+    norm = float(np.linalg.norm(tied, axis=1).max())
+    found = neighbours._best(ids, tied, np.array([900]), np.array([[1.0, 0, 0, 0]]), norm, 20, 1.0, 2, 24)
+    assert found[1] == list(range(20))
+    for d in (1, 2, 3):
+        few = rng.permutation(np.arange(1, 26))[:, None] * np.ones((1, d)) * 100.0 + rng.uniform(0, 1, (25, d))
+        norm = float(np.linalg.norm(few, axis=1).max())
+        found = neighbours._best(np.arange(25), few, np.arange(25), few, norm, 20, 0.4, 2, 24)
+        assert np.bincount(found[0], minlength=25).tolist() == [20] * 25
