@@ -36,8 +36,37 @@ from clientlens.llm.common import map_batches
 CONTEXT = 2048
 TIERS = (2048, 1024, 512, 256)
 END_ID = 1
-# Words whose ids a task remembers before it starts anew.
-CACHED_WORDS = 500_000
+# Bytes that a task's remembered words may take (each with what Python needs for it) before it starts anew.
+CACHED_BYTES = 48 << 20
+_ENTRY_BYTES = 220
+
+# Fixed value: the word pattern of the byte-level BPE file.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _byte_spelling() -> dict[str, int]:
+    """The file spells bytes as characters: printable ones as themselves, the others from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
+
+
+def _fast_words(path: str):
+    """An encoder of single words by the same ranks, or None if the file's ids are not in the order of its merges."""
+    import json
+
+    import tiktoken
+
+    with open(path, encoding="utf-8") as file:
+        model = json.load(file)["model"]
+    vocabulary, bytes_of = model["vocab"], _byte_spelling()
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    made = [vocabulary["".join(m)] for m in merges]
+    if made != sorted(made):
+        return None
+    pieces = {c: i for c, i in vocabulary.items() if len(c) == 1} | dict(zip(("".join(m) for m in merges), made, strict=True))
+    ranks = {bytes(bytes_of[c] for c in piece): i for piece, i in pieces.items()}
+    return tiktoken.Encoding("words", pat_str=WORD_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
 class WordTokens:
@@ -61,10 +90,17 @@ class WordTokens:
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.other = re.compile("[^\n\x20-\x7e¡-ɏ‐-‧]")
         self.ids: dict[str, bytes] = {}
-        # The file spells bytes as characters; letters of one word need no word pattern.
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        hidden = [b for b in range(256) if b not in shown]
-        self.spelling = {b: chr(256 + k) for k, b in enumerate(hidden)}
+        self.cached = 0
+        self.fast = _fast_words(path)
+
+    def _remember(self, words: list[str]) -> None:
+        if self.fast is not None:
+            found = map(self.fast, words)
+        else:
+            found = (e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False))
+        for word, ids in zip(words, found, strict=True):
+            self.ids[word] = data = array("I", ids).tobytes()
+            self.cached += _ENTRY_BYTES + len(word) + len(data)
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of every text."""
@@ -78,21 +114,10 @@ class WordTokens:
             else:
                 # A line's first part has no space before it, the others have one.
                 plain.append(text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0"))
-        if len(self.ids) > CACHED_WORDS:
+        if self.cached > CACHED_BYTES:
             self.ids.clear()
-        missing = list(set().union(*(p for p in plain if p)).difference(self.ids))
-        merges = self.library.model.tokenize
-        mixed = []
-        for word in missing:
-            if word.isalpha() or word[0] == " " and word[1:].isalpha():
-                spelled = word.encode().decode("latin-1").translate(self.spelling)
-                self.ids[word] = array("I", [t.id for t in merges(spelled)]).tobytes()
-            else:
-                mixed.append(word)
-        for at in range(0, len(mixed), 4096):
-            part = mixed[at:at + 4096]
-            found = self.library.encode_batch_fast(part, add_special_tokens=False)
-            self.ids.update((word, array("I", e.ids).tobytes()) for word, e in zip(part, found, strict=True))
+            self.cached = 0
+        self._remember(list(set().union(*(p for p in plain if p)).difference(self.ids)))
         get = self.ids.__getitem__
         return [array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes() if parts is None
                 else b"".join(map(get, parts)) for text, parts in zip(texts, plain, strict=True)]

@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clientlens.llm import extraction, language, neighbours, packing, pieces, private, quality, rules, scoring, similarity
+from clientlens.llm import (extraction, idfiles, language, negatives, neighbours, packing, pieces, private, quality, rules, scoring,
+                            similarity, spelling)
 from clientlens.llm.common import crc_remainder, documents, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,3 +128,77 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_similarity")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.similar_documents(documents(spark, sf_dir))
+
+
+def _crc_sql(text: str) -> str:
+    """crc32 of a text's UTF-8 as SQL: a byte's table entry is the exclusive or of the entries of its bits."""
+    bits = []
+    for i in range(8):
+        entry = 1 << i
+        for _ in range(8):
+            entry = entry >> 1 ^ 0xEDB88320 * (entry & 1)
+        bits.append(f"{entry}*((xor(c, b)>>{i})&1)")
+    step = bits[0]
+    for bit in bits[1:]:
+        step = f"xor({step}, {bit})"
+    spelled = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: ('0x' || h)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {spelled}), lambda c, b: xor(c>>8, {step})), 4294967295::BIGINT)"
+
+
+_SPELLING_SQL = f"""
+WITH RECURSIVE runs AS (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[a-z\u00C0-\u00FF]+')) AS run FROM documents),
+counted AS (SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= 7 GROUP BY ALL),
+hashed AS (SELECT run, n, {_crc_sql("doc_id || ':' || run")} AS h FROM counted),
+words AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM (
+    SELECT CASE WHEN h % 31 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n
+    FROM hashed) WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+cut AS MATERIALIZED (SELECT word, i, left(word, i::INT) || substr(word, i::INT + 2) AS less
+    FROM (SELECT word, unnest(range(length(word))) AS i FROM words)),
+near AS (SELECT DISTINCT * FROM (
+    SELECT a.word, b.word AS other FROM cut a JOIN cut b ON a.i = b.i AND a.less = b.less AND a.word <> b.word
+    UNION ALL SELECT cut.word, words.word FROM cut JOIN words ON less = words.word
+    UNION ALL SELECT words.word, cut.word FROM cut JOIN words ON less = words.word)),
+best AS (SELECT near.word, count(*) AS n_near, max(o.n) AS form_n, arg_min(o.word, (-o.n, o.word)) AS form
+    FROM near JOIN words o ON other = o.word GROUP BY near.word),
+judged AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 10 * n THEN form END AS form,
+    CASE WHEN form_n >= 10 * n THEN form_n END AS form_n FROM words LEFT JOIN best USING (word)),
+walk AS (SELECT word, word AS at FROM judged
+    UNION ALL SELECT walk.word, judged.form FROM walk JOIN judged ON walk.at = judged.word WHERE judged.form IS NOT NULL)
+SELECT judged.*, walk.at AS root FROM judged JOIN walk USING (word) JOIN judged last ON walk.at = last.word WHERE last.form IS NULL
+"""
+
+
+@query("op11_spelling", _SPELLING_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(documents(spark, sf_dir))
+
+
+@query("op12_idfiles")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = idfiles.write_ids(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    return idfiles.read_ids(spark, path, ids="crc32")
+
+
+_NEGATIVES_SQL = """
+WITH cells AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+    FROM cells a JOIN cells b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+positives AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank,
+    vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN scored n ON p.anchor_id = n.anchor_id AND NOT same
+    AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
+
+@query("op13_negatives", _NEGATIVES_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(vectors.withColumn("label", label), F.col("vec_id") % 50 == 0)
