@@ -2,13 +2,16 @@
 
 Both rules fold over a key's rows in time order. A key may hold a large part of
 the table, so its rows are never brought to one task. They are cut into time
-slots, and
+slots by load, and
 
-1. a partial aggregate gives the first and last time of each (key, slot);
+1. a partial aggregate counts the rows of each (key, slot) and gives their first
+   and last time; slots of more than ``rows_per_slot`` rows are cut into shorter
+   ones and counted again, down to one microsecond;
 2. a slot far enough from the one before starts afresh, whatever came before;
 3. for the others, the slot before is reduced to a small function from its entry
    state to its exit state (pieces ``slope * x + value``);
-4. the functions of a key are chained, which gives each slot's entry state;
+4. the functions of a key are composed in runs of FANOUT slots, the runs are
+   chained, and the slots of each run are chained from the run's entry state;
 5. every (key, slot) is folded from its entry state, all in parallel.
 
 Times are whole microseconds and tokens whole units, so the parallel result is
@@ -29,6 +32,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from clientlens.common import small_side
+from clientlens.session import scratch_path
+
 # Bucket size, tokens per second, and seconds an entry serves.
 MAX_TOKENS = 100
 REFILL_RATE = 10.0
@@ -36,9 +42,15 @@ TTL_SECONDS = 3600
 
 MICROS = 1_000_000
 DAY = 86_400
+
+# Rows of a key that one slot may hold, the fewest and most parts a crowded slot is cut into, and slots of a run.
+ROWS_PER_SLOT = 100_000
+LEAST_PARTS, MOST_PARTS = 64, 1024
+FANOUT = 512
 NEVER = -(1 << 62)
 
-# Names of the columns of a piecewise function.
+# A piecewise function: from each ``lo`` on, slope * x + value. The first piece also holds below its ``lo``.
+Function = tuple[list[int], list[int], list[int]]
 _PIECES = ("lo", "slope", "value")
 
 
@@ -69,6 +81,13 @@ class Bucket:
             return self.capacity
         return min(self.capacity, tokens + max(micros, 0) * self.per_micro)
 
+    def carried(self, micros: int) -> Function:
+        """``refill`` as a function of the tokens."""
+        gain = max(micros, 0) * self.per_micro
+        if micros >= self.full_after or gain >= self.capacity:
+            return [0], [0], [self.capacity]
+        return [0, self.capacity - gain], [1, 0], [gain, self.capacity]
+
     def run(self, times: np.ndarray, tokens: int) -> tuple[np.ndarray, np.ndarray, int]:
         """Admissions and tokens left for ordered times; ``tokens`` holds at the first."""
         admitted, left = np.zeros(len(times), dtype=bool), np.zeros(len(times), dtype=np.int64)
@@ -129,6 +148,10 @@ class Lifetime:
 
     ttl: int
 
+    def carried(self, micros: int) -> Function:
+        """An entry's opening time does not change with time."""
+        return [NEVER], [1], [0]
+
     def run(self, times: np.ndarray, opened: int) -> tuple[np.ndarray, np.ndarray]:
         """Hit flags and the opening time of the entry behind each ordered row."""
         ordered = times.tolist()
@@ -168,6 +191,29 @@ def _apply(lo, slope, value, x: int) -> int:
     return slope[i] * x + value[i]
 
 
+def _compose(first: Function, second: Function) -> Function:
+    """``second`` after ``first``; slopes are 0 or 1."""
+    out: list[tuple[int, int, int]] = []
+
+    def put(lo: int, slope: int, value: int) -> None:
+        if not out or out[-1][1:] != (slope, value):
+            out.append((lo, slope, value))
+
+    ends = [*first[0][1:], None]
+    for lo, slope, value, end in zip(*first, ends, strict=True):
+        if not slope:
+            put(lo, 0, _apply(*second, value))
+            continue
+        at = max(bisect_right(second[0], lo + value) - 1, 0)
+        put(lo, second[1][at], second[1][at] * value + second[2][at])
+        for at in range(at + 1, len(second[0])):
+            if end is not None and second[0][at] - value >= end:
+                break
+            put(second[0][at] - value, second[1][at], second[1][at] * value + second[2][at])
+    lows, slopes, values = zip(*out)
+    return list(lows), list(slopes), list(values)
+
+
 def _groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[pa.RecordBatch, list[int], bool]]:
     """Sorted batches with the bounds of their groups of equal ``names``.
 
@@ -196,33 +242,70 @@ def _sorted_by(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
     return df.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order)
 
 
-def _fold_by_slot(events: DataFrame, keys: list[str], ts: str, order: str, slot_seconds: int, linked_within: int,
-                  fresh: int, pieces: Callable, carry: Callable[[int, int], int], fold: Callable,
-                  output: T.StructType, dtypes: tuple) -> DataFrame:
+def _slots_by_load(rows: DataFrame, keys: list[str], slot_micros: int, rows_per_slot: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with ``_slot`` (where their slot starts, in microseconds), and (keys, _slot, _first, _last) of every slot.
+
+    A round counts the rows of the slots that the round before cut. Lists of
+    crowded slots have at most one row per ``rows_per_slot`` events.
+    """
+    spark, slot = rows.sparkSession, [*keys, "_slot"]
+
+    def cut(df: DataFrame, crowded: DataFrame, how: str) -> DataFrame:
+        joined = df.join(crowded, slot, how)
+        shorter = F.greatest(F.lit(1), F.ceil(F.col("_width") / F.col("_parts"))).cast("long")
+        joined = joined.withColumn("_width", F.when(F.col("_parts").isNull(), F.col("_width")).otherwise(shorter)).drop("_parts")
+        return joined.withColumn("_slot", F.expr("_slot + ((_us - _slot) div _width) * _width"))
+
+    placed = rows.withColumn("_width", F.lit(slot_micros).cast("long"))
+    placed = placed.withColumn("_slot", F.col("_us") - F.pmod("_us", F.col("_width")))
+    counting, spans = placed, None
+    while True:
+        path = scratch_path(spark, "slots")
+        counting.groupBy(*slot, "_width").agg(F.count(F.lit(1)).alias("_n"), F.min("_us").alias("_first"),
+                                              F.max("_us").alias("_last")).write.parquet(path)
+        cells = spark.read.parquet(path)
+        over = (F.col("_n") > rows_per_slot) & (F.col("_width") > 1)
+        settled = cells.where(~over).select(*slot, "_first", "_last")
+        spans = settled if spans is None else spans.unionByName(settled)
+        crowded = cells.where(over).select(*slot, F.greatest(F.lit(LEAST_PARTS), F.least(
+            F.lit(MOST_PARTS), F.ceil(4 * F.col("_n") / rows_per_slot))).alias("_parts"))
+        found = crowded.count()
+        if not found:
+            return placed.drop("_width"), spans
+        crowded = small_side(crowded, found)
+        placed, counting = cut(placed, crowded, "left"), cut(counting, crowded, "inner")
+
+
+def _fold_by_slot(events: DataFrame, keys: list[str], ts: str, order: str, slot_seconds: int, rows_per_slot: int,
+                  linked_within: int, fresh: int, pieces: Callable, carry: Callable[[int, int], int],
+                  carried: Callable[[int], Function], fold: Callable, output: T.StructType, dtypes: tuple) -> DataFrame:
     """Steps 1 to 5 of the module text.
 
     ``linked_within``: a slot starting at least this many microseconds after the
     one before starts from ``fresh``. ``carry(exit, gap)`` gives the next entry
-    state; ``fold(times, entry)`` gives new columns and the exit state. Every
-    Python step reads sorted Arrow batches and keeps the state of one group.
+    state, ``carried(gap)`` does as a function; ``fold(times, entry)`` gives new
+    columns and the exit state. Every Python step reads sorted Arrow batches and
+    keeps the state of one group.
     """
     columns, out_names = events.columns, output.names
     empty = tuple(np.empty(0, dtype=t) for t in dtypes)
-    slot_micros = slot_seconds * MICROS
     rows = events.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
-    rows = rows.withColumn("_slot", F.floor(F.col("_us") / F.lit(slot_micros)).cast("long"))
-    chunk = [*keys, "_slot"]
+    rows, spans = _slots_by_load(rows, keys, slot_seconds * MICROS, rows_per_slot)
+    chunk, run = [*keys, "_slot"], [*keys, "_run"]
 
     by_slot = Window.partitionBy(*keys).orderBy("_slot")
-    spans = rows.groupBy(*chunk).agg(F.min("_us").alias("_first"), F.max("_us").alias("_last"))
     gap = F.col("_first") - F.lag("_last").over(by_slot)
     spans = spans.withColumn("_gap", gap).withColumn("_linked", F.coalesce(F.col("_gap") < linked_within, F.lit(False)))
     spans = spans.withColumn("_needed", F.coalesce(F.lead("_linked").over(by_slot), F.lit(False)))
+    spans = spans.withColumn("_run", F.floor(F.row_number().over(by_slot) / FANOUT).cast("long"))
     chained = spans.where(F.col("_linked") | F.col("_needed"))
 
     key_fields = [events.schema[k] for k in keys] + [T.StructField("_slot", T.LongType())]
     piece_schema = T.StructType(key_fields + [T.StructField(n, T.ArrayType(T.LongType())) for n in _PIECES])
     entry_schema = T.StructType(key_fields + [T.StructField("_entry", T.LongType())])
+    run_fields = key_fields[:-1] + [T.StructField("_run", T.LongType())]
+    run_schema = T.StructType(run_fields + piece_schema.fields[-len(_PIECES):])
+    run_entry_schema = T.StructType(run_fields + [T.StructField("_start", T.LongType())])
 
     def reduce_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key: tuple | None = None
@@ -258,23 +341,65 @@ def _fold_by_slot(events: DataFrame, keys: list[str], ts: str, order: str, slot_
     functions = (_sorted_by(rows.select(*chunk, "_us").join(needed, chunk, "left_semi"), chunk, "_us")
                  .mapInArrow(reduce_slots, piece_schema))
 
-    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compose_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One function for the slots of a run."""
+        key: tuple | None = None
+        whole: Function | None = None
+        types: list[pa.DataType] = []
+
+        def closed() -> pa.RecordBatch:
+            arrays = [pa.array([v], t) for v, t in zip((*key, *whole), [*types, *[pa.list_(pa.int64())] * len(_PIECES)])]
+            return pa.RecordBatch.from_arrays(arrays, names=[*run, *_PIECES])
+
+        for batch, bounds, carries in _groups(batches, run):
+            types = [batch.schema.field(c).type for c in run]
+            keys_here = list(zip(*[batch.column(c).take(pa.array(bounds[:-1])).to_pylist() for c in run]))
+            slots_here = list(zip(*[batch.column(n).to_pylist() for n in ("_linked", "_gap", *_PIECES)]))
+            for n, (start, end) in enumerate(zip(bounds, bounds[1:])):
+                if n or not carries:
+                    if key is not None:
+                        yield closed()
+                    key, whole = keys_here[n], None
+                for linked, gap_us, *function in slots_here[start:end]:
+                    entry = carried(gap_us) if linked else ([NEVER], [0], [fresh])
+                    after = _compose(entry, function if function[0] is not None else ([NEVER], [0], [fresh]))
+                    whole = after if whole is None else _compose(whole, after)
+        if key is not None:
+            yield closed()
+
+    def chain_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The state each run starts from: what the run before leaves."""
         state = fresh
         for batch, bounds, carries in _groups(batches, keys):
             fresh_rows = set(bounds[1:-1] if carries else bounds[:-1])
             entries = []
-            rows_here = zip(*[batch.column(n).to_pylist() for n in ("_linked", "_gap", *_PIECES)])
-            for n, (linked, gap_us, *function) in enumerate(rows_here):
-                if n in fresh_rows:
-                    state = fresh
+            for n, function in enumerate(zip(*[batch.column(n).to_pylist() for n in _PIECES])):
+                state = fresh if n in fresh_rows else state
+                entries.append(state)
+                state = _apply(*function, state)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in run], pa.array(entries, pa.int64())],
+                                             names=[*run, "_start"])
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The state each slot starts from, run by run."""
+        state = fresh
+        for batch, bounds, carries in _groups(batches, run):
+            first_rows = set(bounds[1:-1] if carries else bounds[:-1])
+            entries = []
+            rows_here = zip(*[batch.column(n).to_pylist() for n in ("_start", "_linked", "_gap", *_PIECES)])
+            for n, (opening, linked, gap_us, *function) in enumerate(rows_here):
+                if n in first_rows:
+                    state = opening
                 start = carry(state, gap_us) if linked else fresh
                 entries.append(start)
                 state = fresh if function[0] is None else _apply(*function, start)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in chunk], pa.array(entries, pa.int64())],
                                              names=[*chunk, "_entry"])
 
-    entries = (_sorted_by(chained.select(*chunk, "_linked", "_gap").join(functions, chunk, "left"), keys, "_slot")
-               .mapInArrow(chain, entry_schema))
+    links = chained.select(*chunk, "_run", "_linked", "_gap").join(functions, chunk, "left")
+    composed = _sorted_by(links, run, "_slot").mapInArrow(compose_runs, run_schema)
+    starts = _sorted_by(composed, keys, "_run").mapInArrow(chain_runs, run_entry_schema)
+    entries = _sorted_by(links.join(starts, run), run, "_slot").mapInArrow(chain, entry_schema)
 
     def folded_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, last, opening = fresh, 0, False
@@ -313,7 +438,7 @@ def _fold_by_slot(events: DataFrame, keys: list[str], ts: str, order: str, slot_
 
 def rate_limit(events: DataFrame, key: str, ts: str = "timestamp", order: str = "event_id",
                max_tokens: float = MAX_TOKENS, refill_rate: float = REFILL_RATE, cost: float = 1,
-               slot_seconds: int = DAY) -> DataFrame:
+               slot_seconds: int = DAY, rows_per_slot: int = ROWS_PER_SLOT) -> DataFrame:
     """Adds ``admitted`` and ``tokens_left`` by a token bucket per key.
 
     The bucket starts full and refills continuously; a refused request costs
@@ -329,12 +454,13 @@ def rate_limit(events: DataFrame, key: str, ts: str = "timestamp", order: str =
 
     output = T.StructType([T.StructField("admitted", T.BooleanType()), T.StructField("tokens_left", T.DoubleType())])
     rows = events.where(F.col(key).isNotNull() & F.col(ts).isNotNull())
-    return _fold_by_slot(rows, [key], ts, order, slot_seconds, bucket.full_after, bucket.capacity,
-                         bucket.pieces, bucket.refill, fold, output, (bool, float))
+    return _fold_by_slot(rows, [key], ts, order, slot_seconds, rows_per_slot, bucket.full_after, bucket.capacity,
+                         bucket.pieces, bucket.refill, bucket.carried, fold, output, (bool, float))
 
 
 def ttl_repeats(events: DataFrame, keys: str | list[str], ts: str = "timestamp", order: str = "event_id",
-                ttl: int = TTL_SECONDS, slot_seconds: int = DAY) -> DataFrame:
+                ttl: int = TTL_SECONDS, slot_seconds: int = DAY,
+                rows_per_slot: int = ROWS_PER_SLOT) -> DataFrame:
     """Adds ``hit`` (served by a live entry) and ``opened_us``, the entry's opening time.
 
     The first request opens an entry; it serves repeats while its age is at most
@@ -351,12 +477,13 @@ def ttl_repeats(events: DataFrame, keys: str | list[str], ts: str = "timestamp",
     rows = events.where(F.col(ts).isNotNull())
     for k in keys:
         rows = rows.where(F.col(k).isNotNull())
-    return _fold_by_slot(rows, keys, ts, order, slot_seconds, life.ttl + 1, NEVER,
-                         life.pieces, lambda opened, gap: opened, fold, output, (bool, np.int64))
+    return _fold_by_slot(rows, keys, ts, order, slot_seconds, rows_per_slot, life.ttl + 1, NEVER,
+                         life.pieces, lambda opened, gap: opened, life.carried, fold, output, (bool, np.int64))
 
 
 def ttl_dedup(events: DataFrame, keys: str | list[str], ts: str = "timestamp", order: str = "event_id",
-              ttl: int = TTL_SECONDS, slot_seconds: int = DAY) -> DataFrame:
+              ttl: int = TTL_SECONDS, slot_seconds: int = DAY,
+                rows_per_slot: int = ROWS_PER_SLOT) -> DataFrame:
     """The requests that opened an entry."""
-    marked = ttl_repeats(events, keys, ts, order, ttl, slot_seconds)
+    marked = ttl_repeats(events, keys, ts, order, ttl, slot_seconds, rows_per_slot)
     return marked.where(~F.col("hit")).drop("hit", "opened_us")

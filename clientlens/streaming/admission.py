@@ -1,13 +1,23 @@
 """Token bucket and time-to-live rules on streams, with state per key.
 
-Rows are put in time order within a micro-batch; a row older than the state of
-its key counts as arriving at the state's time. When each key's rows arrive in
-order across micro-batches the result equals the batch operators'. The size of
-a micro-batch (``max_files`` of the source) bounds what one key brings at once.
+``answers="arrival"`` answers at once: the rows of a key are folded as they come,
+in pieces of one Arrow batch, each in time order. A row older than the state of
+its key counts as arriving at the state's time, so the result equals the batch
+operators' when each key's rows arrive in order.
+
+``answers="time"`` answers when the watermark has passed: rows wait in the state in
+cells of ``cell_seconds``, one timer for each, and a cell is folded in time order
+once no more rows can come for it. The result equals the batch operators'
+whatever the order of arrival, and memory holds the rows of one key and cell.
+
+Rows later than ``lateness`` behind the newest are dropped by the watermark. A
+state is cleared by a timer as soon as every row that may still come would find
+the same without it: a bucket when it is full again, an entry when it has expired.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -20,38 +30,93 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from clientlens.operators.admission import MAX_TOKENS, MICROS, NEVER, REFILL_RATE, TTL_SECONDS, Bucket, Lifetime
 
+LATENESS = "1 hour"
+CELL_SECONDS = 60
 
-class _Fold(StatefulProcessor):
-    """Orders a key's rows of one micro-batch and folds them from the stored state."""
 
-    state_schema = "a long, b long"
+class _Fold(StatefulProcessor):
+    """Folds a key's rows from the stored state (a, b, due): ``b`` is the time of the last row, ``due`` when to forget."""
 
-    def __init__(self, order: str, columns: list[str]):
+    def __init__(self, order: str, columns: list[str], cell: int | None):
         self.order = order
         self.columns = columns
+        self.cell = cell
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", self.state_schema)
+        self.handle = handle
+        self.state = handle.getValueState("state", "a long, b long, due long")
+        if self.cell:
+            self.pieces = handle.getMapState("pieces", "cell long", "n long")
+            self.waiting = handle.getMapState("waiting", "cell long, piece long", "rows binary")
 
     def fold(self, times: np.ndarray, state: tuple[int, int] | None):
+        """New columns and the state after the ordered times."""
         raise NotImplementedError
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows))
-        pdf.columns = [*self.columns, "_us"]
+    def forget_after(self, state: tuple[int, int]) -> int:
+        """The microsecond up to which a later row depends on the state."""
+        raise NotImplementedError
+
+    def _folded(self, pdf: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
         pdf = pdf.sort_values(["_us", self.order])
-        state = self.state.get() if self.state.exists() else None
         new, after = self.fold(pdf["_us"].to_numpy(dtype=np.int64), state)
-        self.state.update(after)
-        yield pdf[self.columns].assign(**new)
+        return pdf[self.columns].assign(**new), after
+
+    def _keep(self, before: tuple | None, after: tuple) -> None:
+        due = self.forget_after(after) // 1000 + 1
+        if before is None or before[2] != due:
+            if before is not None:
+                self.handle.deleteTimer(before[2])
+            self.handle.registerTimer(due)
+        self.state.update((*after, due))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        before = None if self.cell or not self.state.exists() else tuple(self.state.get())
+        after = before
+        for pdf in rows:
+            pdf.columns = [*self.columns, "_us", "_time"]
+            pdf = pdf.drop(columns="_time")
+            if self.cell:
+                self._put_aside(pdf)
+            elif len(pdf):
+                folded, after = self._folded(pdf, after and after[:2])
+                yield folded
+        if after is not before:
+            self._keep(before, after)
+
+    def _put_aside(self, pdf: pd.DataFrame) -> None:
+        for cell, part in pdf.groupby(pdf["_us"] // self.cell):
+            cell = int(cell)
+            n = self.pieces.getValue((cell,))[0] if self.pieces.containsKey((cell,)) else 0
+            if not n:
+                self.handle.registerTimer((cell + 1) * self.cell // 1000)
+            self.waiting.updateValue((cell, n), (pickle.dumps(part),))
+            self.pieces.updateValue((cell,), (n + 1,))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        if self.cell:
+            # A key's cells go in order, whichever of their timers comes first.
+            for cell in sorted(c for (c,) in self.pieces.keys() if (c + 1) * self.cell // 1000 <= passed):
+                places = [(cell, n) for n in range(self.pieces.getValue((cell,))[0])]
+                pdf = pd.concat([pickle.loads(self.waiting.getValue(p)[0]) for p in places])
+                for place in places:
+                    self.waiting.removeKey(place)
+                self.pieces.removeKey((cell,))
+                before = tuple(self.state.get()) if self.state.exists() else None
+                folded, after = self._folded(pdf, before and before[:2])
+                self._keep(before, after)
+                yield folded
+        if self.state.exists() and self.state.get()[2] <= expiredTimerInfo.getExpiryTimeInMs():
+            self.state.clear()
 
     def close(self) -> None:
         pass
 
 
 class _BucketFold(_Fold):
-    def __init__(self, order, columns, bucket: Bucket, per_token: float):
-        super().__init__(order, columns)
+    def __init__(self, order, columns, cell, bucket: Bucket, per_token: float):
+        super().__init__(order, columns, cell)
         self.bucket = bucket
         self.per_token = per_token
 
@@ -63,10 +128,13 @@ class _BucketFold(_Fold):
         admitted, left, tokens = self.bucket.run(times, tokens)
         return {"admitted": admitted, "tokens_left": left / self.per_token}, (int(tokens), int(times[-1]))
 
+    def forget_after(self, state):
+        return state[1] + self.bucket.full_after
+
 
 class _LifetimeFold(_Fold):
-    def __init__(self, order, columns, life: Lifetime):
-        super().__init__(order, columns)
+    def __init__(self, order, columns, cell, life: Lifetime):
+        super().__init__(order, columns, cell)
         self.life = life
 
     def fold(self, times, state):
@@ -77,29 +145,41 @@ class _LifetimeFold(_Fold):
         hit, entry = self.life.run(times, opened)
         return {"hit": hit, "opened_us": entry}, (int(entry[-1]), int(times[-1]))
 
+    def forget_after(self, state):
+        return state[0] + self.life.ttl
 
-def _keyed(events: DataFrame, keys: list[str], ts: str) -> DataFrame:
+
+def _transformed(events: DataFrame, keys: list[str], ts: str, lateness: str, processor: _Fold, output: T.StructType) -> DataFrame:
     timed = events.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp"))).where(F.col("_us").isNotNull())
     for k in keys:
         timed = timed.where(F.col(k).isNotNull())
-    return timed
+    timed = timed.withColumn("_time", F.timestamp_micros("_us")).withWatermark("_time", lateness)
+    schema = T.StructType(events.schema.fields + output.fields)
+    return timed.groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", "EventTime")
+
+
+def _cell(order: str, cell_seconds: int) -> int | None:
+    if order not in ("arrival", "time"):
+        raise ValueError("rows go in order of arrival or of time")
+    return cell_seconds * MICROS if order == "time" else None
 
 
 def stream_rate_limit(events: DataFrame, key: str, ts: str = "timestamp", order: str = "event_id",
-                      max_tokens: float = MAX_TOKENS, refill_rate: float = REFILL_RATE, cost: float = 1) -> DataFrame:
-    """Streaming form of ``rate_limit``."""
+                      max_tokens: float = MAX_TOKENS, refill_rate: float = REFILL_RATE, cost: float = 1,
+                      answers: str = "arrival", lateness: str = LATENESS, cell_seconds: int = CELL_SECONDS) -> DataFrame:
+    """Streaming form of ``rate_limit``; ``answers`` is the module text's order, "arrival" or "time"."""
     bucket = Bucket.of(max_tokens, refill_rate, cost)
-    processor = _BucketFold(order, events.columns, bucket, bucket.capacity / float(Fraction(str(max_tokens))))
-    schema = T.StructType(events.schema.fields + [T.StructField("admitted", T.BooleanType()),
-                                                  T.StructField("tokens_left", T.DoubleType())])
-    return _keyed(events, [key], ts).groupBy(key).transformWithStateInPandas(processor, schema, "Append", "None")
+    processor = _BucketFold(order, events.columns, _cell(answers, cell_seconds), bucket,
+                            bucket.capacity / float(Fraction(str(max_tokens))))
+    output = T.StructType([T.StructField("admitted", T.BooleanType()), T.StructField("tokens_left", T.DoubleType())])
+    return _transformed(events, [key], ts, lateness, processor, output)
 
 
 def stream_ttl_repeats(events: DataFrame, keys: str | list[str], ts: str = "timestamp", order: str = "event_id",
-                       ttl: int = TTL_SECONDS) -> DataFrame:
-    """Streaming form of ``ttl_repeats``."""
+                       ttl: int = TTL_SECONDS, answers: str = "arrival", lateness: str = LATENESS,
+                       cell_seconds: int = CELL_SECONDS) -> DataFrame:
+    """Streaming form of ``ttl_repeats``; ``answers`` is the module text's order, "arrival" or "time"."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    processor = _LifetimeFold(order, events.columns, Lifetime(int(ttl * MICROS)))
-    schema = T.StructType(events.schema.fields + [T.StructField("hit", T.BooleanType()),
-                                                  T.StructField("opened_us", T.LongType())])
-    return _keyed(events, keys, ts).groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", "None")
+    processor = _LifetimeFold(order, events.columns, _cell(answers, cell_seconds), Lifetime(int(ttl * MICROS)))
+    output = T.StructType([T.StructField("hit", T.BooleanType()), T.StructField("opened_us", T.LongType())])
+    return _transformed(events, keys, ts, lateness, processor, output)

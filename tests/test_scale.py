@@ -65,11 +65,13 @@ def hot_events(spark, seed, n=900, span=3600):
     return rows, df
 
 
-@pytest.mark.parametrize("size, rate, cost", [(3, 0.01, 1), (5, 10, 1), (2.5, 0.1, 0.5), (1, 1, 2)])
-def test_rate_limit_equals_brute_force(spark, size, rate, cost):
+@pytest.mark.parametrize("size, rate, cost, slot, load", [(3, 0.01, 1, 120, 100), (5, 10, 1, 86_400, 5), (2.5, 0.1, 0.5, 120, 3),
+                                                          (1, 1, 2, 86_400, 1)])
+def test_rate_limit_equals_brute_force(spark, monkeypatch, size, rate, cost, slot, load):
+    monkeypatch.setattr(admission, "FANOUT", 4)
     rows, df = hot_events(spark, 3)
-    got = {r.event_id: (r.admitted, r.tokens_left)
-           for r in admission.rate_limit(df, "user_id", max_tokens=size, refill_rate=rate, cost=cost, slot_seconds=120).collect()}
+    limited = admission.rate_limit(df, "user_id", max_tokens=size, refill_rate=rate, cost=cost, slot_seconds=slot, rows_per_slot=load)
+    got = {r.event_id: (r.admitted, r.tokens_left) for r in limited.collect()}
     assert len(got) == len(rows)
     for key in {k for _, k, _ in rows}:
         mine = sorted((t, i) for i, k, t in rows if k == key)
@@ -84,10 +86,11 @@ def test_admissions_are_bounded(spark):
         assert r["count"] <= 3 + 0.01 * 3600
 
 
-@pytest.mark.parametrize("ttl, slot", [(60, 120), (600, 60), (3600, 300)])
-def test_ttl_equals_brute_force(spark, ttl, slot):
+@pytest.mark.parametrize("ttl, slot, load", [(60, 120, 100), (600, 86_400, 4), (3600, 300, 2)])
+def test_ttl_equals_brute_force(spark, monkeypatch, ttl, slot, load):
+    monkeypatch.setattr(admission, "FANOUT", 4)
     rows, df = hot_events(spark, 6)
-    marked = admission.ttl_repeats(df, "user_id", ttl=ttl, slot_seconds=slot)
+    marked = admission.ttl_repeats(df, "user_id", ttl=ttl, slot_seconds=slot, rows_per_slot=load)
     base = int(EPOCH.replace(tzinfo=datetime.timezone.utc).timestamp()) * 10**6
     got = {r.event_id: (r.hit, r.opened_us - base) for r in marked.collect()}
     for key in {k for _, k, _ in rows}:
@@ -95,6 +98,45 @@ def test_ttl_equals_brute_force(spark, ttl, slot):
         assert [got[i] for _, i in mine] == plain_ttl([t for t, _ in mine], ttl * 10**6)
 
 
+def test_composition_equals_both_in_turn():
+    rng = random.Random(8)
+    for _ in range(300):
+        bucket = Bucket.of(rng.choice([1, 3, 2.5]), rng.choice([0.5, 10]), rng.choice([1, 0.5]))
+        steps = [bucket.pieces(np.sort(np.array([int(rng.random() * 2e6) for _ in range(rng.randint(1, 12))]))) for _ in range(2)]
+        gap = rng.choice([0, 1000, 400_000, 10**8])
+        whole = admission._compose(admission._compose(steps[0], bucket.carried(gap)), steps[1])
+        for x in [0, bucket.capacity, *[rng.randint(0, bucket.capacity) for _ in range(8)]]:
+            assert _apply(*whole, x) == _apply(*steps[1], bucket.refill(_apply(*steps[0], x), gap))
+        life = Lifetime(rng.randint(1, 100))
+        parts = [life.pieces(np.sort(np.array([rng.randint(a, a + 150) for _ in range(9)]))) for a in (1000, 1160)]
+        whole = admission._compose(admission._compose(parts[0], life.carried(5)), parts[1])
+        for x in [NEVER, *range(850, 1000, 7)]:
+            assert _apply(*whole, x) == _apply(*parts[1], _apply(*parts[0], x))
+
+
+def test_dense_minute_of_a_hot_key_is_cut_by_load(spark):
+    """A third of all rows are one key's within one minute; a tenth of those share a microsecond."""
+    n, base = 30_000, 1_704_067_200_000_000
+    hot = F.col("id") % 3 == 0
+    times = F.when(hot & (F.col("id") % 10 == 0), 7).when(hot, F.pmod(F.xxhash64("id"), F.lit(60_000_000))).otherwise(
+        F.pmod(F.xxhash64("id"), F.lit(86_400_000_000)))
+    df = spark.range(0, n, 1, 8).select(F.col("id").alias("event_id"), F.when(hot, -1).otherwise(F.col("id") % 400).alias("user_id"),
+                                        F.timestamp_micros(F.lit(base) + times).alias("timestamp"))
+    rows = df.withColumn("_us", F.unix_micros("timestamp"))
+    placed, spans = admission._slots_by_load(rows, ["user_id"], 86_400 * 10**6, 500)
+    counts = [r["count"] for r in placed.groupBy("user_id", "_slot").count().where("user_id = -1").collect()]
+    assert len(counts) >= 20 and sum(counts) == n // 3
+    assert sorted(counts)[-2] <= 500 and max(counts) == 1000  # the shared microsecond can't be cut
+    assert spans.count() == placed.select("user_id", "_slot").distinct().count()
+    limited = admission.rate_limit(df, "user_id", max_tokens=100, refill_rate=50, rows_per_slot=500)
+    got = {r.event_id: r.admitted for r in limited.collect()}
+    mine = sorted((r._us, r.event_id) for r in rows.where("user_id = -1").collect())
+    bucket = Bucket.of(100, 50, 1)
+    assert [got[i] for _, i in mine] == bucket.run(np.array([t for t, _ in mine]), bucket.capacity)[0].tolist()
+    marked = {r.event_id: r.hit for r in admission.ttl_repeats(df, "user_id", ttl=3, rows_per_slot=500).collect()}
+    assert [marked[i] for _, i in mine] == [hit for hit, _ in plain_ttl([t for t, _ in mine], 3 * 10**6)]
+
+
 def test_hot_key_over_many_batches(spark):
     """Slots larger than an Arrow batch, and side tables small enough to be broadcast at run time."""
     n = 60_000

@@ -54,6 +54,50 @@ def test_stream_ttl_equals_batch(spark, tmp_path):
     assert sorted(spark.read.parquet(out).select(expected.columns).collect(), key=key) == sorted(expected.collect(), key=key)
 
 
+def states(spark, checkpoint, name="state"):
+    return spark.read.format("statestore").option("path", checkpoint).option("stateVarName", name).load().count()
+
+
+def test_states_go_when_they_no_longer_matter(spark, tmp_path):
+    """500 keys once, then one key alone: buckets that are full again and entries that have expired leave the store."""
+    def at(seconds):
+        return EPOCH + datetime.timedelta(seconds=seconds)
+
+    steps = [[(i, f"k{i}", at(i % 50)) for i in range(500)], [(1000, "late", at(400))], [(1001, "late", at(401))]]
+    for form in (lambda s: stream_rate_limit(s, "user_id", max_tokens=10, refill_rate=0.5, lateness="1 minute"),
+                 lambda s: stream_ttl_repeats(s, "user_id", ttl=60, lateness="1 minute")):
+        folder = tmp_path / form(spark.createDataFrame(steps[0], EVENTS)).columns[-1]
+        source, out, checkpoint = (str(folder / n) for n in ("in", "out", "check"))
+        sizes = []
+        for step in steps:
+            batch = spark.createDataFrame(step, EVENTS)
+            land(batch, source)
+            drain(form(stream_table(spark, source, batch.schema)), out, checkpoint)
+            sizes.append(states(spark, checkpoint))
+        assert sizes[0] == 500 and sizes[-1] == 1
+        assert spark.read.parquet(out).count() == 502
+
+
+def test_answers_in_time_order_whatever_the_arrival(spark, tmp_path):
+    rows, _ = event_batches(spark)
+    shuffled = sorted(rows, key=lambda r: (r[0] * 7919) % 120)
+    last = (999, "end", rows[-1][2] + datetime.timedelta(hours=1))
+    rule = {"max_tokens": 4, "refill_rate": 0.05}
+    marks = {"answers": "time", "lateness": "10 minutes", "cell_seconds": 15}
+    forms = {"bucket": (lambda s: stream_rate_limit(s, "user_id", **rule, **marks), lambda df: admission.rate_limit(df, "user_id", **rule)),
+             "entry": (lambda s: stream_ttl_repeats(s, "user_id", ttl=20, **marks), lambda df: admission.ttl_repeats(df, "user_id", ttl=20))}
+    for name, (stream, batch_form) in forms.items():
+        source, out, checkpoint = (str(tmp_path / name / n) for n in ("in", "out", "check"))
+        for part in (shuffled[:50], shuffled[50:90], shuffled[90:], [last]):
+            batch = spark.createDataFrame(part, EVENTS)
+            land(batch, source)
+            drain(stream(stream_table(spark, source, batch.schema)), out, checkpoint)
+        expected = batch_form(spark.createDataFrame(rows, EVENTS))
+        got = spark.read.parquet(out).select(expected.columns).collect()
+        assert sorted(got, key=lambda r: r.event_id) == sorted(expected.collect(), key=lambda r: r.event_id)
+        assert states(spark, checkpoint, "waiting") == 1  # the last row still waits
+
+
 def test_alerts_drop_late_rows(spark, tmp_path):
     source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "check"))
     schema = "customer_id long, ts timestamp, amount double"
