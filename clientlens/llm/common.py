@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
@@ -29,9 +31,19 @@ def arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     return to_arrow_schema(_parse_datatype_string(schema))
 
 
-# Rows of a record batch: texts and token lists are long, and a batch is held by the JVM and by Python.
-BATCH_ROWS = 2000
-_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def release_memory() -> None:
+    """Hand what a task has freed back to the system: workers live on, and the next task may need other sizes."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps its own ways
+        pass
+
+
+# Rows and bytes of a record batch: texts and token lists are long, and a batch is held by the JVM and by Python.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+_BATCH_SETTING, _BYTES_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterable[Sequence[list]]],
@@ -40,9 +52,11 @@ def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], It
 
     The function sees one iterator of record batches per task and yields, as
     often as it likes, a list with one sequence per output column. Batches have
-    at most BATCH_ROWS rows; for that the session's setting is lowered once.
+    at most BATCH_ROWS rows and end with the row that brings them to BATCH_BYTES;
+    for that the session's settings are lowered once.
     """
     target = arrow_schema(df.sparkSession, schema)
+    df.sparkSession.conf.set(_BYTES_SETTING, str(BATCH_BYTES))
     if not 0 < int(df.sparkSession.conf.get(_BATCH_SETTING)) <= BATCH_ROWS:
         df.sparkSession.conf.set(_BATCH_SETTING, str(BATCH_ROWS))
 
@@ -52,6 +66,8 @@ def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], It
                 yield pa.RecordBatch.from_arrays(
                     [c if isinstance(c, pa.Array) else pa.array(c, type=f.type)
                      for c, f in zip(columns, target, strict=True)], schema=target)
+        columns = None
+        release_memory()
 
     return df.mapInArrow(run, schema)
 
