@@ -352,6 +352,30 @@ def test_audit_details_of_any_form_are_kept(spark):
     assert again[2] == {"api_key": hidden, "token": hidden, "in": {"password": hidden, "n": [1, "t"]}}
 
 
+def test_json_values_are_masked_as_parsed(spark):
+    hidden = "***MASKED***"
+    cases = {
+        '{"note": "call\\n415-555-1234"}': {"note": "call\n41********34"},
+        '{"card": "\\t4111-1111-1111-1111\\t"}': {"card": "\t41***************11\t"},
+        '{"mail": "\\njohn@bank.com"}': {"mail": "\njo*********om"},
+        '{"m": "\\u006aohn@bank.com \\"q\\" \\\\ é"}': {"m": 'jo*********om "q" \\ é'},
+        '{"token": ["abc123"], "password": {"value": "hunter2"}, "API_KEY": null, "secret": 5}':
+            {"token": hidden, "password": hidden, "API_KEY": hidden, "secret": hidden},
+        '[{"a": ["123-45-6789", 1234567890, true, null]}, "1234567890"]': [{"a": ["12*******89", 1234567890, True, None]}, "12******90"],
+        '{"x": {"y": {"z": [{"ssn": 1, "w": "12345678901"}]}}}': {"x": {"y": {"z": [{"ssn": hidden, "w": "12*******01"}]}}},
+        "[" * 100_000: None, "{}": {}, "[]": [], '{"open": ': None,
+    }
+    rows = spark.createDataFrame([(i, d, datetime.datetime(2024, 1, 2)) for i, d in enumerate(cases)],
+                                 "i long, details string, timestamp timestamp").repartition(1)
+    got = [r.details for r in masked_entries(rows).orderBy("i").collect()]
+    for shown, (given, expected) in zip(got, cases.items()):
+        if expected is not None:
+            assert json.loads(shown) == expected, given
+    plain = ["4155551234", '"415-555-1234"', "mail a.b@c.de {", None, ""]
+    rows = spark.createDataFrame([(p,) for p in plain], "t string")
+    assert [r[0] for r in rows.select(text.mask_json(F.col("t"))).collect()] == ["41******34", '"41********34"', "mail a.****de {", None, ""]
+
+
 def test_arguments_with_dotted_names(spark):
     schema = {"properties": {"a.b": {"type": "integer"}, "c": {"type": "string"}}, "required": ["a.b"]}
     calls = spark.createDataFrame([('{"a.b": 3}',), ('{"c": "x"}',), ('{"a.b": "no"}',), ("not json",)], "args_json string")

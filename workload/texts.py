@@ -674,6 +674,31 @@ def _(spark, directory):
             .agg(F.count("*").alias("records"), F.min("details").alias("details")))
 
 
+@query("ST1_stream_audit_masked", """
+    WITH e AS (SELECT event_id, user_id, value, lpad((event_id % 10000)::VARCHAR, 4, '0') AS n, 'user' || user_id || '@bank.example' AS mail FROM events)
+    SELECT event_id, left(mail, 2) || repeat('*', length(mail) - 4) || right(mail, 2) AS mail,
+           'call' || chr(10) || '41********' || right(n, 2) AS note, '41***************' || right(n, 2) || chr(9) AS card,
+           '***MASKED***' AS token, '***MASKED***' AS password, '12*******' || right(n, 2) AS listed, user_id AS kept
+    FROM e""")
+def _(spark, directory):
+    n = F.lpad((F.col("event_id") % 10_000).cast("string"), 4, "0")
+    phone, card = F.concat(F.lit("call\n415-555-"), n), F.concat(F.lit("4111-1111-1111-"), n, F.lit("\t"))
+    details = F.to_json(F.struct(
+        F.concat(F.lit("user"), "user_id", F.lit("@bank.example")).alias("mail"), phone.alias("note"),
+        F.struct(card.alias("card"), F.array(F.concat(F.lit("123-45-"), n), F.lit("plain")).alias("listed")).alias("inner"),
+        F.array(F.lit("abc123")).alias("access_token"), F.struct(F.lit("hunter2").alias("value")).alias("password"),
+        F.col("user_id").alias("kept")))
+    stream = _event_stream(spark, directory)
+    records = d.audit_columns(stream.withColumn("props", details)).withColumn("session_id", F.col("event_id").cast("string"))
+    path = scratch_path(spark, "stream-audit")
+    stream_audit(records, path, scratch_path(spark, "stream-audit-checkpoint")).awaitTermination()
+    shown = {"mail": "$.mail", "note": "$.note", "card": "$.inner.card", "token": "$.access_token", "password": "$.password",
+             "listed": "$.inner.listed[0]"}
+    return audit.read_audit(spark, path).select(
+        F.col("session_id").cast("long").alias("event_id"), *[F.get_json_object("details", at).alias(c) for c, at in shown.items()],
+        F.get_json_object("details", "$.kept").cast("long").alias("kept"))
+
+
 _WINDOWED = """
     SELECT user_id AS customer_id, strftime(s, '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS transactions,
            round(sum(value)::DECIMAL(38, 7), 2)::DOUBLE AS total_amount, count(*) FILTER (value >= 200) AS high_value_alerts,
