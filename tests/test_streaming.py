@@ -116,6 +116,34 @@ def test_alerts_drop_late_rows(spark, tmp_path):
         (1, 2, 160000.0, 1, 1), (2, 1, 5.0, 0, 0), (3, 1, 7.0, 0, 0)]
 
 
+def test_sliding_windows_are_sums_of_panes(spark, tmp_path):
+    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "check"))
+    schema = "customer_id long, ts timestamp, amount double"
+
+    def at(hours):
+        return EPOCH + datetime.timedelta(hours=hours)
+
+    rows = [(i % 2, at(i * 0.75), float(i)) for i in range(96)]
+    steps = [rows[:40], [*rows[40:], (1, at(0.5), 1e6)], [(7, at(400), 1.0)]]  # the second step has a row that is too late
+    for step in steps:
+        batch = spark.createDataFrame(step, schema)
+        land(batch, source)
+        drain(stream_alerts(stream_table(spark, source, batch.schema), "9 hours", "1 hour", "6 hours", high=50, suspicious=20), out, checkpoint)
+    plan = stream_alerts(spark.createDataFrame(rows, schema), "9 hours", "1 hour", "6 hours")._jdf.queryExecution().toString()
+    analyzed = plan.split("== Optimized")[1].split("== Physical")[0]
+    assert analyzed.index("Expand") < analyzed.rindex("Aggregate")  # above the aggregate of the panes
+    expected = {}
+    for c, t, a in rows:
+        hours = (t - EPOCH).total_seconds() / 3600
+        for start in range(-12, 100, 6):
+            if start <= hours < start + 9:
+                n, total, high, odd = expected.get((c, start), (0, 0.0, 0, 0))
+                expected[c, start] = (n + 1, total + a, high + (a >= 50), odd + (20 <= a < 50))
+    got = {(r.customer_id, (r.window_start - EPOCH).total_seconds() / 3600): (r.transactions, r.total_amount, r.high_value_alerts, r.suspicious_alerts)
+           for r in spark.read.parquet(out).where("customer_id < 7").collect()}
+    assert got == expected
+
+
 def test_stream_audit_masks_details(spark, tmp_path):
     source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "check"))
     batch = spark.createDataFrame([(EPOCH, "a", "u", '{"mail": "john@bank.com"}')], "timestamp timestamp, action string, user_id string, details string")

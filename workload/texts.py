@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from clientlens.common import round_half_up
 from clientlens.functions import keys, registry, text
 from clientlens.functions.vectors import cosine
-from clientlens.operators import admission, audit, conversations, documents, graph, search
+from clientlens.operators import admission, audit, conversations, documents, graph, search, text_index
 from clientlens.session import scratch_path
 from clientlens.sources import domain as d
 from clientlens.sources.tables import load_table, stream_table
@@ -323,6 +323,23 @@ def _(spark, directory):
     return search.text_search(_documents(spark, directory), "que ther ention", 10)
 
 
+@query("H3_index_search", f"""WITH {_text_search_sql('documents', ('ention', 'que', 'ther'))}
+    SELECT doc_id, relevance_score FROM scores ORDER BY relevance_score DESC, doc_id LIMIT 10""")
+def _(spark, directory):
+    docs, path = _documents(spark, directory), scratch_path(spark, "text-index")
+    text_index.add_documents(docs.where("doc_id % 3 > 0"), path)
+    text_index.add_documents(docs.where("doc_id % 3 = 0 OR doc_id IS NULL"), path)
+    return text_index.index_search(spark, path, "que ther ention", 10)
+
+
+@query("F4_index_scores", f"""WITH {_text_search_sql('finance_text', ('client', 'refund', 'note'))}
+    SELECT doc_id, relevance_score FROM scores""")
+def _(spark, directory):
+    path = scratch_path(spark, "text-index")
+    text_index.add_documents(d.finance_text(spark, directory), path)
+    return text_index.index_scores(spark, path, "refund note client")
+
+
 @query("O1_first_results", f"""WITH {_text_search_sql('finance_text', ('fund', 'refund'))}
     SELECT doc_id, relevance_score FROM scores ORDER BY relevance_score DESC, doc_id LIMIT 5""")
 def _(spark, directory):
