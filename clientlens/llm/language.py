@@ -27,7 +27,7 @@ SAMPLE_DOCUMENTS = 300  # expected number per language
 SAMPLE_WINDOWS = 3  # of each of them
 STEPS = 260
 BATCH = 128
-MAX_LANGUAGES = 64  # the most frequent ones are learned
+LEAST_WINDOW = 16
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -183,10 +183,11 @@ def sample_windows(docs: DataFrame, per_language: int = SAMPLE_DOCUMENTS, window
                    length: int = SEGMENT) -> list[tuple[str, bytes]]:
     """Windows of about ``per_language`` documents of each language, chosen by a hash of the id.
 
-    Bounded: at most MAX_LANGUAGES languages, about per_language x windows windows each.
+    Every language takes part. Bounded for each: about per_language x windows windows. Windows of fewer than
+    LEAST_WINDOW characters count only for languages that have no longer ones.
     """
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL")
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = known.groupBy("lang").count().orderBy("lang").collect()
     if not counts:
         return []
     share = F.create_map(*(F.lit(x) for row in counts
@@ -195,8 +196,10 @@ def sample_windows(docs: DataFrame, per_language: int = SAMPLE_DOCUMENTS, window
     picked = known.where(F.coalesce(draw < share[F.col("lang")], F.lit(False)))
     cuts = F.array(*(F.substring(F.col("text"), 1 + F.pmod(F.xxhash64("doc_id", F.lit(i)), F.greatest(
         F.length("text") - length, F.lit(1))).cast("int"), F.lit(length)) for i in range(windows)))
-    rows = picked.select("lang", F.explode(F.array_distinct(cuts)).alias("cut")).where(F.length("cut") >= 16)
-    return sorted((r["lang"], r["cut"].encode()[:length].ljust(length)) for r in rows.collect())
+    rows = picked.select("lang", F.explode(F.array_distinct(cuts)).alias("cut")).where("cut <> ''").collect()
+    served = {r["lang"] for r in rows if len(r["cut"]) >= LEAST_WINDOW}
+    return sorted((r["lang"], r["cut"].encode()[:length].ljust(length)) for r in rows
+                  if len(r["cut"]) >= LEAST_WINDOW or r["lang"] not in served)
 
 
 def fit(docs: DataFrame, **sizes: int) -> Network | None:
@@ -226,7 +229,8 @@ def identify(docs: DataFrame, network: Network | None, batch_chars: int = 400_00
     """All columns of ``docs`` with ``lang_pred`` and ``lang_score`` added, one row per row.
 
     A null text and one without a letter get ``und`` and 0. Columns of these two
-    names in the input are replaced.
+    names in the input are replaced; all others are handed through. Repeated rows
+    are labelled as often as they occur; an empty table gives no rows.
     """
     kept = docs.drop("lang_pred", "lang_score")
     at = kept.columns.index("text")

@@ -26,14 +26,16 @@ def _fold(modulus: int, held_out: int):
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
+    """Documents that the quality classifier does not reject. Null and empty texts are scored like others, repeated
+    rows alike; columns of any name are handed through; an empty table stays empty."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.fit(quality.statistics(docs.where(_fold(4, 2))), labels)
-    return docs.withColumn("_score", quality.score_text(model)).where(F.col("_score") >= quality.THRESHOLD).select(docs.columns)
+    return docs.where(quality.score_text(model) >= quality.THRESHOLD)
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the network recognises; those without a letter and mere guesses go."""
+    """Documents in a language that the network recognises; null texts, those without a letter and mere guesses go.
+    Repeated rows fare alike; columns of any name but lang_pred and lang_score, which the operator adds, are handed through."""
     network = language.fit(docs.where(_fold(3, 1)))
     if network is None:  # no row says what a language is
         return docs
@@ -56,7 +58,7 @@ def one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data replaced; n_chars follows the new text."""
+    """Documents with personal data replaced; n_chars follows the new text. Null and empty texts stay as they are."""
     hidden = docs.withColumn("text", private.redact_text(private.fit(docs)))
     if "n_chars" in docs.columns:
         hidden = hidden.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), "n_chars"))
@@ -64,7 +66,7 @@ def without_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of all documents."""
+    """Token sequences of all documents; a null or empty text is its end id alone."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
