@@ -25,7 +25,10 @@ def word_set_operations(pairs: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def compare_documents(pairs: DataFrame, documents: DataFrame, comparison_type: str = "semantic") -> DataFrame:
-    """Jaccard similarity of the word sets of each pair."""
-    compared = similarity_columns(word_set_operations(pairs, documents), comparison_type)
+    """Jaccard similarity of the word sets of each pair: the sets' sizes and that of their intersection say it all."""
+    counted = pair_words(pairs, documents).select("doc_a", "doc_b", F.size("words_a").alias("_a"), F.size("words_b").alias("_b"),
+                                                  F.size(F.array_intersect("words_a", "words_b")).alias("_both"))
+    both = F.col("_both")
+    compared = similarity_columns(counted, comparison_type, both, F.col("_a") - both, F.col("_b") - both)
     return compared.select("doc_a", "doc_b", "similarity_score", "common_terms_count", "unique_to_a", "unique_to_b",
                            "comparison_type", "summary")

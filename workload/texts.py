@@ -76,12 +76,13 @@ _ENTITY_FIELDS = ["amounts", "dates", "percentages", "emails"]
 def _entities_sql(table: str) -> str:
     return f"""WITH {_ENTITY_SQL.replace('{table}', table)}
     SELECT doc_id, {', '.join(f"array_to_string({f}, '|') AS {f}" for f in _ENTITY_FIELDS)},
-           len(amounts) + len(dates) + len(percentages) + len(emails) AS entity_count FROM found"""
+           len(amounts) + len(dates) + len(percentages) + len(emails) AS entity_count,
+           len(list_filter([amounts, dates, percentages, emails], lambda x: len(x) > 0)) / 4 AS extraction_confidence FROM found"""
 
 
 def _entities(df):
     found = text.extract_entities(df.select("doc_id", "text"), "text")
-    return flat(found, _ENTITY_FIELDS, drop=["text", "extraction_confidence"])
+    return flat(found, _ENTITY_FIELDS, drop=["text"])
 
 
 @query("S3_extract_entities", _entities_sql("documents"))
@@ -141,13 +142,17 @@ _CLASSES = """CASE WHEN contains(lower(text), 'unit trust') OR contains(lower(te
 
 def _classify_sql(table: str) -> str:
     return f"""SELECT doc_id, document_type, 'banking' AS classification_scheme,
-        document_type || '|financial_document' AS suggested_categories
-        FROM (SELECT doc_id, {_CLASSES} AS document_type FROM {table})"""
+        document_type || '|financial_document' AS suggested_categories, array_to_string(found, '|') AS keywords_detected,
+        CASE WHEN found = [] THEN 0 ELSE round((len(list_filter(found, lambda k: CASE document_type
+            WHEN 'investment_product' THEN k IN ('unit trust', 'fund') WHEN 'kyc_document' THEN k IN ('kyc', 'verification')
+            WHEN 'transaction_record' THEN k = 'transaction' ELSE k = 'risk' END)) / len(found))::DECIMAL(38, 7), 3)::DOUBLE END AS confidence
+        FROM (SELECT doc_id, {_CLASSES} AS document_type, list_filter(['unit trust', 'fund', 'kyc', 'verification', 'transaction', 'risk'],
+                lambda k: contains(lower(text), k)) AS found FROM {table})"""
 
 
 def _classify(df):
     kinds = text.classify_document(df.select("doc_id", "text"), "text")
-    return flat(kinds, ["suggested_categories"], drop=["text", "confidence"])
+    return flat(kinds, ["suggested_categories", "keywords_detected"], drop=["text"])
 
 
 @query("S5_classify_document", _classify_sql("documents"))
