@@ -30,7 +30,10 @@ Steps:
    found elsewhere that fit, are compared with q. Members of q's own group are
    not: they are joined already. Each q first meets, per token, the set with the
    largest share of tokens found elsewhere, which is the centre of a family of
-   copies; the links found so join groups before the rest is compared.
+   copies; the links found so join groups before the rest is compared. The rest
+   meets with signatures: each token flips one of 256 bits, so that two sets
+   whose signatures differ in d bits differ in d tokens at least. Documents that
+   share a common passage and nothing else are told apart by this alone.
 
 Every step is exact, so the result has every link that the definition gives.
 No step builds pairs within a group, and no list per key is held: the walks
@@ -59,6 +62,7 @@ BATCH_TOKENS = 400_000  # of the samples that a task compares before it sends th
 SMALL = 1_000_000  # rows of a table of ids that may be broadcast
 _ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
                                     0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
+SIGNATURE = tuple(f"signature{i}" for i in range(4))
 SINGLE, SHARED, COUNT, DOCUMENT = range(4)
 
 
@@ -96,6 +100,13 @@ def sample_size(n):
     return n // 4 + 2
 
 
+def signature(tokens: np.ndarray) -> list[int]:
+    """256 bits as four longs; every token flips the bit that its hash names."""
+    bit = (_mix(tokens.view(np.uint64) ^ _ODD[4]) & np.uint64(255)).astype(np.int64)
+    flipped = np.bincount(bit, minlength=256) & 1
+    return np.packbits(flipped.astype(np.uint8)).view(np.int64).tolist()
+
+
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     small, large = (a, b) if len(a) <= len(b) else (b, a)
     if 100 * len(small) < SIMILARITY * len(large):
@@ -359,10 +370,16 @@ def _fits() -> Column:
             & (F.least("shared_a", "shared_b") * (100 + SIMILARITY) >= (n_a + n_b) * SIMILARITY))
 
 
+def _near_signatures() -> Column:
+    """Whether two sets can be similar by their signatures: of similar ones, a ninth of all tokens at most is in one alone."""
+    differing = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in SIGNATURE), F.lit(0))
+    return differing * (100 + SIMILARITY) <= (F.col("n_a") + F.col("n_b")) * (100 - SIMILARITY)
+
+
 def _open_groups(sets: DataFrame, grouped: DataFrame) -> DataFrame:
     """Links of sets with members of other groups.
 
-    sets: number, set, n, tokens; grouped: set, root. Sets without a root are their own group.
+    sets: number, set, n, tokens, SIGNATURE; grouped: set, root. Sets without a root are their own group.
     """
     owned = (sets.join(_maybe_broadcast(grouped, grouped.count()), "set", "left")
              .select("number", F.coalesce("root", "set").alias("group"), "n", "tokens"))
@@ -372,8 +389,8 @@ def _open_groups(sets: DataFrame, grouped: DataFrame) -> DataFrame:
     leading = written(map_batches(shared.repartition("number").sortWithinPartitions("number"), _leading,
                                   "token long, number long, group long, n int, shared long, first boolean"), "leading")
 
-    def side(rows: DataFrame, name: str) -> DataFrame:
-        return rows.select("token", *(F.col(c).alias(f"{c}_{name}") for c in ("number", "group", "n", "shared")))
+    def side(rows: DataFrame, name: str, more: tuple = ()) -> DataFrame:
+        return rows.select("token", *(F.col(c).alias(f"{c}_{name}") for c in ("number", "group", "n", "shared", *more)))
 
     centre = leading.groupBy("token").agg(F.max(F.struct(
         (F.col("shared") / F.col("n")).alias("share"), "number", "group", "n", "shared")).alias("c")).select("token", "c.*")
@@ -385,10 +402,11 @@ def _open_groups(sets: DataFrame, grouped: DataFrame) -> DataFrame:
              .select("token", "number", F.coalesce("root", "group").alias("group"), "n", "shared", "first"))
     several = (moved.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high"))
                .where("low <> high").select("token"))
-    matrix = written(moved.join(several, "token"), "matrix")
+    matrix = written(moved.join(several, "token").join(sets.select("number", *SIGNATURE), "number"), "matrix")
     # The smaller set of a pair, or of two equal ones the first, is found by fewer of its tokens.
-    pairs = (side(matrix.where("first"), "a").join(side(matrix, "b"), "token")
-             .where(((F.col("n_a") < F.col("n_b")) | (F.col("n_a") == F.col("n_b")) & (F.col("number_a") < F.col("number_b"))) & _fits())
+    pairs = (side(matrix.where("first"), "a", SIGNATURE).join(side(matrix, "b", SIGNATURE), "token")
+             .where(((F.col("n_a") < F.col("n_b")) | (F.col("n_a") == F.col("n_b")) & (F.col("number_a") < F.col("number_b")))
+                    & _fits() & _near_signatures())
              .select("number_a", "number_b").distinct())
     return first.union(_compared(pairs, sets))
 
@@ -419,20 +437,20 @@ def similar_documents(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                out: list[list] = [[] for _ in range(7)]
+                out: list[list] = [[] for _ in range(7 + len(SIGNATURE))]
                 for own, share, text in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
                     tokens = shingle_set(text)
                     if set_id(tokens) != own:  # another text under the same id
                         continue
                     rehashed = [int(_mix(tokens.view(np.uint64) ^ odd).min().view(np.int64)) for odd in _ODD[1:3]]
-                    for column, cell in zip(out, (number, own, len(tokens), tokens, *rehashed, share), strict=True):
+                    for column, cell in zip(out, (number, own, len(tokens), tokens, *rehashed, share, *signature(tokens)), strict=True):
                         column.append(cell)
                     number += 1
                 yield out
 
     texts = named.join(_maybe_broadcast(open_sets, open_sets.count()), "doc_id").select("set", "share", "text")
     sets = written(map_batches(texts, full, "number long, set long, n int, tokens array<long>, bucket0 long, bucket1 long, "
-                               "share double"), "sets")
+                               "share double, " + ", ".join(f"{c} long" for c in SIGNATURE)), "sets")
     links = written(_leader_links(sets), "links")
     grouped = written(components(links).select(F.col("a").alias("set"), "root"), "groups")
     links = _open_groups(sets, grouped).union(

@@ -147,3 +147,20 @@ def test_appended_words_at_exactly_the_threshold(spark):
     found = found_of(docs)
     assert found == by_brute_force(rows)
     assert all(found[d][1] == d - d % 2 for d, _ in rows)
+
+
+def test_signatures_never_tell_similar_sets_apart():
+    rng = np.random.default_rng(3)
+
+    def differing(a, b):
+        pairs = zip(similarity.signature(np.sort(a)), similarity.signature(np.sort(b)), strict=True)
+        return sum(((x ^ y) & (2 ** 64 - 1)).bit_count() for x, y in pairs)
+
+    for n in (1, 2, 5, 9, 10, 45, 80, 400, 5000):
+        for missing, added in ((0, 0), (0, n // 4), (n // 9, n // 9), (n // 5, 0)):
+            tokens = rng.integers(-2 ** 62, 2 ** 62, n + added)
+            a, b = tokens[:n], tokens[missing:]
+            assert similarity.similar(np.sort(a), np.sort(b))
+            assert differing(a, b) <= missing + added <= (len(a) + len(b)) / 9
+    other = rng.integers(-2 ** 62, 2 ** 62, 5000)
+    assert differing(rng.integers(-2 ** 62, 2 ** 62, 5000), other) > 80  # long sets do not fill their signatures
