@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from clientlens.common import round_half_up
 from clientlens.functions import keys, registry, text
 from clientlens.functions.vectors import cosine
-from clientlens.operators import admission, audit, conversations, documents, graph, search, text_index
+from clientlens.operators import admission, audit, conversations, documents, graph, search, similar_documents, text_index
 from clientlens.session import scratch_path
 from clientlens.sources import domain as d
 from clientlens.sources.tables import load_table, stream_table
@@ -125,6 +125,31 @@ def _(spark, directory):
     return documents.compare_documents(d.doc_pairs(spark, directory), _documents(spark, directory))
 
 
+_WORD_CLASSES = """
+    ws AS (SELECT doc_id, list_sort(words) AS words FROM doc_words),
+    m AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY words) END AS class_id,
+                 len(words) AS n_words FROM ws),
+    w AS (SELECT doc_id AS class_id, len(words) AS n, unnest(words) AS word FROM ws
+          WHERE doc_id IN (SELECT class_id FROM m)),
+    j AS (SELECT a.class_id AS doc_a, b.class_id AS doc_b, any_value(a.n) AS n_a, any_value(b.n) AS n_b, count(*) AS n
+          FROM w a JOIN w b ON a.word = b.word AND a.class_id < b.class_id GROUP BY a.class_id, b.class_id),
+    p AS (SELECT *, n / (n_a + n_b - n)::DOUBLE AS s FROM j WHERE 100 * n >= 80 * (n_a + n_b - n))"""
+
+
+@query("S4_similar_classes", f"""WITH {_WORD_CLASSES}
+    SELECT doc_a, doc_b, round(s::DECIMAL(38, 7), 3)::DOUBLE AS similarity_score, n AS common_terms_count,
+           n_a - n AS unique_to_a, n_b - n AS unique_to_b, 'semantic' AS comparison_type,
+           'Documents are ' || round((s * 100)::DECIMAL(38, 7), 1)::DECIMAL(38, 1)::VARCHAR || '% similar' AS summary FROM p""")
+def _(spark, directory):
+    return similar_documents.similar_classes(similar_documents.document_classes(_documents(spark, directory))[1])
+
+
+@query("S4_similar_documents", f"""WITH {_WORD_CLASSES}
+    SELECT doc_id, class_id, n_words, (SELECT count(*) FROM p WHERE class_id IN (doc_a, doc_b)) AS links FROM m""")
+def _(spark, directory):
+    return similar_documents.similar_documents(_documents(spark, directory))
+
+
 @query("U1_word_set_operations", f"""WITH {_COMPARED}
     SELECT doc_a, doc_b, array_to_string(common, ' ') AS common, array_to_string(only_a, ' ') AS only_a,
            array_to_string(only_b, ' ') AS only_b, len(common) + len(only_a) + len(only_b) AS union_size FROM c""")
