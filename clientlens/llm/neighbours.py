@@ -31,13 +31,17 @@ INDEX_BLOCK, QUERY_BLOCK = 4096, 512
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """Rows with an id and a finite vector that is not zero, as doubles, of the most frequent length."""
+    """Rows with an id and a finite vector that is not zero, as doubles."""
     v = F.col("embedding").cast("array<double>")
-    good = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).select("vec_id", v.alias("v")).where(
+    return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).select("vec_id", v.alias("v")).where(
         F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
         & F.exists("v", lambda x: x != 0))
-    length = good.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return good.where(F.size("v") == (length["d"] if length else 0))
+
+
+def usual_length(vectors: DataFrame) -> int:
+    """The most frequent length of ``usable`` vectors, the smallest of several; 0 if there are none."""
+    length = vectors.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    return length["d"] if length else 0
 
 
 def _best(index_ids: np.ndarray, index: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, norm: float,
@@ -90,11 +94,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, probes: float =
 
     Both tables have vec_id and embedding. A query never finds its own id. Null
     ids and vectors, zero vectors, and those with a null, NaN or infinite
-    component take no part, nor do vectors of another length than most. Equal
+    component take no part, nor do vectors and queries of another length than
+    most of ``vectors`` have. Equal
     scores rank by id. Copies all count; a repeated id is found once. With no
     usable vectors there are no rows. Other columns are not read.
     """
     index, asked = usable(vectors), usable(queries)
+    length = usual_length(index)
+    index, asked = (side.where(F.size("v") == length) for side in (index, asked))
     size, norm = index.agg(F.count(F.lit(1)), F.max(F.sqrt(F.aggregate(
         "v", F.lit(0.0), lambda total, x: total + x * x)))).first()
     blocks = max(1, -(-size // INDEX_BLOCK))

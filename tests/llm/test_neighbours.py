@@ -61,6 +61,15 @@ def test_odd_vectors(spark):
     assert neighbours.nearest(none, none).count() == 0
 
 
+def test_queries_of_another_length_take_no_part(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(1, 19)] + [(20, [1.0, 2.0, 3.0]), (40, [1.0, 0.0, 0.0]), (60, [2.0, 1.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = neighbours.nearest(vectors, vectors.where("vec_id % 20 = 0"), 3).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in found) == [(60, 1, 18, 37.0), (60, 2, 17, 35.0), (60, 3, 16, 33.0)]
+    odd = vectors.where("vec_id IN (20, 40)")
+    assert neighbours.nearest(vectors, odd, 3).count() == 0
+
+
 def test_equal_products_rank_by_id_and_few_vectors_give_k_rows():
     import numpy as np
 
