@@ -151,18 +151,18 @@ def validate_json_args(df: DataFrame, json_col: str, json_schema: Mapping) -> Da
     fields = args_struct(json_schema)
     required = [n for n in json_schema.get("required", []) if n in fields.names]
     text = F.col(json_col)
-    parsed = df.withColumn("_raw", F.try_parse_json(text))
+    parsed = df.withColumn("_raw", F.try_parse_json(text)).withColumn("_values", F.from_json(text, "map<string,string>"))
     if fields.names:
         parsed = parsed.withColumn("args", F.from_json(text, fields))
     else:
         parsed = parsed.withColumn("args", F.lit(None).cast("struct<>"))
 
     def absent(n: str) -> Column:
-        return F.get_json_object(text, f"$['{n}']").isNull()
+        return F.col("_values").getItem(n).isNull()
 
     missing = F.array(*[F.when(absent(n), n) for n in required]).cast("array<string>")
     mistyped = F.array(*[F.when(~absent(n) & F.col("args").getField(n).isNull(), n) for n in fields.names]).cast("array<string>")
     return (parsed.withColumn("missing", F.array_compact(missing))
             .withColumn("mistyped", F.array_compact(mistyped))
             .withColumn("valid", F.col("_raw").isNotNull() & (F.size("missing") == 0) & (F.size("mistyped") == 0))
-            .drop("_raw"))
+            .drop("_raw", "_values"))

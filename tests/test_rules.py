@@ -431,6 +431,17 @@ def test_validate_json_args(spark):
     assert empty.valid and empty.missing == []
 
 
+def test_validate_json_args_with_odd_names(spark):
+    names = ["o'clock", 'say "x"', "a]b", "a.b", "$"]
+    schema = {"properties": {n: {"type": "integer"} for n in names}, "required": names}
+    df = spark.createDataFrame([(1, json.dumps({n: i for i, n in enumerate(names)})), (2, json.dumps({n: None for n in names})),
+                                (3, json.dumps({names[0]: {"k": 1}, **{n: 7 for n in names[1:]}})), (4, "[1]"), (5, None)], "i int, j string")
+    rows = audit.validate_json_args(df, "j", schema).orderBy("i").collect()
+    assert [r.valid for r in rows] == [True, False, False, False, False]
+    assert rows[0].args.asDict() == {n: i for i, n in enumerate(names)}
+    assert rows[1].missing == names and rows[2].missing == [] and rows[2].mistyped == [names[0]]
+
+
 def test_conversations(spark):
     rows = [(1, i, "user" if i % 2 == 0 else "assistant", f"t{i}") for i in range(20)] + [(2, 0, "user", "only")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
