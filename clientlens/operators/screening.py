@@ -19,23 +19,57 @@ def normalise_name(name: Column) -> Column:
     return F.trim(F.regexp_replace(F.upper(name), r"[^\p{L}\p{N}]+", " "))
 
 
-def deletion_keys(name: Column, max_distance: int) -> Column:
-    """Hashes of the name with up to ``max_distance`` characters removed.
+def deletion_keys(name: Column, max_distance: int, longer: Column, is_name: bool) -> Column:
+    """Hashes of the name with characters removed: of two names within the edit distance, all pairs but those of :func:`place_keys` share one.
 
-    Two names within edit distance d share at least one such key, so joining on
-    the keys finds every candidate, and only near-equal names meet.
+    Of d edits, s replace, i insert and r remove: one name loses s + r characters, the other s + i, and what is left is
+    the same. If both lose d, all edits replace. If one of them loses d and the other less, the first is the longer one:
+    its keys of d removals go by their own number, and are made only where ``longer`` holds, as no shorter name could
+    meet them otherwise.
     """
     def without_one(text: Column) -> Column:
         return F.transform(F.sequence(F.lit(1), F.length(text)),
                            lambda i: F.concat(F.substring(text, 1, i - 1), F.substring(text, i + 1, F.length(text))))
 
+    def shorter(level: Column) -> Column:
+        return F.array_distinct(F.flatten(F.transform(F.filter(level, lambda t: F.length(t) > 0), without_one)))
+
+    def hashes(level: Column, kind: int) -> Column:
+        return F.transform(level, lambda k: F.xxhash64(F.lit(kind), k))
+
     level = F.array(name)
-    keys = level
-    for _ in range(max_distance):
-        level = F.array_distinct(F.flatten(F.transform(
-            F.filter(level, lambda t: F.length(t) > 0), without_one)))
-        keys = F.concat(keys, level)
-    return F.transform(F.array_distinct(keys), lambda k: F.xxhash64(k))
+    few = level
+    for _ in range(max_distance - 1):
+        level = shorter(level)
+        few = F.concat(few, level)
+    mine, other = (1, 2) if is_name else (2, 1)
+    most = F.when(longer, hashes(shorter(level), mine)).otherwise(F.array().cast("array<bigint>"))
+    few = F.array_distinct(few)
+    return F.array_distinct(F.concat(hashes(few, 0), hashes(few, other), most))
+
+
+def place_keys(name: Column, max_distance: int) -> Column:
+    """Hashes of the name without every choice of ``max_distance`` places, and the places.
+
+    Two names that differ in exactly these places, and nowhere else, share one such key, no others.
+    """
+    return F.transform(_cuts(name, max_distance), lambda c: F.xxhash64(c["text"], c["places"]))
+
+
+def _cuts(name: Column, removed: int) -> Column:
+    """(text, places, at) of every choice of ``removed`` places: the name without them, the places, and the first of them."""
+    start = F.array(F.struct(name.alias("text"), F.lit("").alias("places"), (F.length(name) + 1).alias("at")))
+
+    def earlier(cut: Column) -> Column:
+        # Places are removed from the back, so that those before keep their numbers.
+        places = F.filter(F.sequence(F.lit(0), cut["at"] - 1), lambda p: p > 0)
+        return F.transform(places, lambda p: F.struct(
+            F.concat(F.substring(cut["text"], F.lit(1), p - 1), F.substring(cut["text"], p + 1, F.length(cut["text"]))).alias("text"),
+            F.concat(cut["places"], F.lit(" "), p.cast("string")).alias("places"), p.alias("at")))
+
+    for _ in range(removed):
+        start = F.flatten(F.transform(start, earlier))
+    return start
 
 
 def matching_names(names: DataFrame, listed: DataFrame, max_distance: int) -> DataFrame:
@@ -44,11 +78,37 @@ def matching_names(names: DataFrame, listed: DataFrame, max_distance: int) -> Da
         raise ValueError(f"max_distance must be 0 to {MAX_DISTANCE}")
     if max_distance == 0:
         return names.join(listed, F.col("name") == F.col("listed")).select("name", "listed", F.lit(0).alias("distance"))
-    left = names.select("name", F.explode(deletion_keys(F.col("name"), max_distance)).alias("_key"))
-    right = listed.select("listed", F.explode(deletion_keys(F.col("listed"), max_distance)).alias("_key"))
-    return (left.join(right, "_key").select("name", "listed").distinct()
-            .withColumn("distance", F.levenshtein("name", "listed"))
-            .where(F.col("distance") <= max_distance))
+
+    # Each name has hundreds of keys, which the estimated sizes do not know: no side may be broadcast. Names are few bytes
+    # and much work: they are spread by number, not by size.
+    tasks = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def spread(df: DataFrame, column: str) -> DataFrame:
+        return df.where(F.col(column).isNotNull()).select(column).repartition(tasks)
+
+    def keyed(df: DataFrame, column: str, others: DataFrame, other: str) -> DataFrame:
+        # Lengths are a few numbers, which tell whether a slightly shorter name exists on the other side.
+        lengths = others.agg(F.collect_set(F.length(other)).alias("lengths")).scalar()
+        size = F.length(column)
+        longer = F.exists("_lengths", lambda n: (n < size) & (n >= size - max_distance))
+        return spread(df, column).withColumn("_lengths", lengths).select(
+            column, F.explode(deletion_keys(F.col(column), max_distance, longer, column == "name")).alias("_key"))
+
+    def placed(df: DataFrame, column: str) -> DataFrame:
+        return spread(df, column).select(column, F.explode(place_keys(F.col(column), max_distance)).alias("_key"))
+
+    differing = F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.length("name"), F.lit(1))),
+                                lambda i: F.substring("name", i, 1) != F.substring("listed", i, 1)))
+    # Pairs that replace max_distance characters meet once, so only the few others must be made distinct.
+    replaced = (placed(names, "name").join(placed(listed, "listed").hint("merge"), "_key")
+                .where(F.levenshtein("name", "listed", max_distance - 1) < 0)
+                .select("name", "listed", F.lit(max_distance).alias("distance")))
+    others = (keyed(names, "name", listed, "listed").join(keyed(listed, "listed", names, "name").hint("merge"), "_key")
+              .select("name", "listed").distinct()
+              .withColumn("distance", F.levenshtein("name", "listed", max_distance))
+              .where((F.col("distance") >= 0) & ~((F.col("distance") == max_distance)
+                                                  & (F.length("name") == F.length("listed")) & (differing == max_distance))))
+    return replaced.union(others)
 
 
 def _scored_names(customers: DataFrame, watchlist: DataFrame, max_distance: int) -> DataFrame:

@@ -226,6 +226,18 @@ def test_matching_names_equals_brute_force(spark, distance):
     assert {tuple(r) for r in found.collect()} == expected
 
 
+def test_keys_of_names_are_not_broadcast(spark):
+    rng = random.Random(7)
+    names = sorted({f"CUSTOMER {rng.randrange(400):06d}{rng.choice(['', '', '7'])}" for _ in range(120)} | {"", "A", "AB"})
+    listed = sorted({f"CUSTOMER {rng.randrange(400):06d}" for _ in range(40)} | {"B", "AC"})
+    found = screening.matching_names(spark.createDataFrame([(n,) for n in names], "name string"),
+                                     spark.createDataFrame([(n,) for n in listed], "listed string"), 2)
+    rows = [tuple(r) for r in found.collect()]
+    expected = {(a, b, levenshtein(a, b)) for a in names for b in listed if levenshtein(a, b) <= 2}
+    assert len(rows) == len(set(rows)) and set(rows) == expected
+    assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_screening_of_a_shared_name(spark):
     people = spark.range(200).select(F.col("id").alias("customer_id"), F.lit("Jon  Smith").alias("name"), F.lit("SG").alias("jurisdiction"))
     entries = spark.createDataFrame([(1, "JOHN SMITH", "UN", "SG"), (2, "john-smith", "UN", "SG"), (3, "Jane Roe", "EU", None)],
