@@ -11,6 +11,7 @@ from clientlens.common import round_half_up, top_n_per
 from clientlens.functions.keys import text_hash
 from clientlens.functions.text import words
 from clientlens.operators.products import DEFAULT_RESULTS, ranked_results
+from clientlens.session import scratch_path
 
 # Search and store thresholds.
 SCORE_THRESHOLD = 0.7
@@ -196,17 +197,25 @@ def search_documents(docs: DataFrame, scores: DataFrame, document_type: str | No
     return ranked_results(docs.join(scores, "doc_id"), "relevance_score", "doc_id", num_results)
 
 
+def _kept(df: DataFrame, label: str) -> DataFrame:
+    """Rows that several steps read, written to the shared folder once."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def semantic_match(queries: DataFrame, store: DataFrame, threshold: float = MATCH_THRESHOLD) -> DataFrame:
     """Stored response per query: same text first, else the first entry close enough.
 
     ``queries``: query_id, text, embedding (null when unknown). ``store``:
     insert_seq, text, embedding, response. "First" is by insertion, not nearness.
-    A text stored again keeps its place and takes the later response.
+    A text stored again keeps its place and takes the later response. Texts are
+    read once and go on as their hashes.
     """
-    entries = (store.withColumn("_hash", text_hash(F.col("text"))).groupBy("_hash").agg(
+    entries = _kept(store.withColumn("_hash", text_hash(F.col("text"))).groupBy("_hash").agg(
         F.min("insert_seq").alias("insert_seq"), F.max_by("response", "insert_seq").alias("response"),
-        F.max_by("embedding", "insert_seq").alias("embedding")))
-    asked = queries.withColumn("_hash", text_hash(F.col("text")))
+        F.max_by("embedding", "insert_seq").alias("embedding")), "entries")
+    asked = _kept(queries.select("query_id", text_hash(F.col("text")).alias("_hash"), "embedding"), "asked")
     exact = (asked.select("query_id", "_hash").join(entries.select("_hash", "insert_seq", "response"), "_hash")
              .select("query_id", "insert_seq", "response", F.lit("exact").alias("match_type"), F.lit(1.0).alias("score")))
     rest = asked.join(entries.select("_hash"), "_hash", "left_anti").where(F.col("embedding").isNotNull())
@@ -218,5 +227,5 @@ def semantic_match(queries: DataFrame, store: DataFrame, threshold: float = MATC
     near = (first.join(entries.select("insert_seq", "response"), "insert_seq")
             .select("query_id", "insert_seq", "response", F.lit("semantic").alias("match_type"), "score"))
     matched = exact.unionByName(near)
-    return (queries.select("query_id").join(matched, "query_id", "left")
+    return (asked.select("query_id").join(matched, "query_id", "left")
             .withColumn("match_type", F.coalesce("match_type", F.lit("none"))))

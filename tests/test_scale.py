@@ -293,6 +293,24 @@ def test_semantic_match_takes_the_first_entry(spark, monkeypatch, blocks):
 
 # --- graph --------------------------------------------------------------------------------------
 
+def test_semantic_match_reads_each_text_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def text_of(number):
+        read.add(1)
+        return f"question {number}"
+
+    asked = spark.range(40).select(F.col("id").alias("query_id"), text_of(F.col("id")).alias("text"),
+                                   F.array(F.lit(1.0), F.col("id") / 40).alias("embedding"))
+    store = spark.createDataFrame([(1, "question 3", [1.0, 0.0], "three"), (2, "other", [0.0, 1.0], "other")],
+                                  "insert_seq long, text string, embedding array<double>, response string")
+    rows = {r.query_id: r for r in search.semantic_match(asked, store, 0.9).collect()}
+    assert rows[3].match_type == "exact" and rows[3].response == "three"
+    assert [rows[i].match_type for i in (0, 1, 39)] == ["semantic", "semantic", "none"]
+    assert read.value == 40
+
+
 def test_paths_and_neighbourhood_equal_brute_force(spark):
     rng = random.Random(8)
     links = sorted({(f"n{rng.randint(0, 25)}", rng.choice("xy"), f"n{rng.randint(0, 25)}") for _ in range(70)})

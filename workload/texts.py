@@ -392,7 +392,9 @@ def _store(spark, directory):
     """One stored answer per label: its centroid under the text of the label's first document."""
     e = load_table(spark, directory, "embeddings")
     docs = _documents(spark, directory).select("doc_id", "text")
-    first = (e.join(docs, e["vec_id"] == docs["doc_id"]).groupBy("label").agg(F.min_by("text", "doc_id").alias("text")))
+    # Only the first documents' texts take part, not all texts: one id a label is broadcast.
+    least = e.join(docs.select("doc_id"), e["vec_id"] == F.col("doc_id")).groupBy("label").agg(F.min("doc_id").alias("doc_id"))
+    first = docs.join(F.broadcast(least), "doc_id").groupBy("label").agg(F.min_by("text", "doc_id").alias("text"))
     centroids = d.label_centroids(spark, directory)
     return centroids.join(first, centroids["query_id"] == first["label"]).select(
         F.col("query_id").cast("long").alias("insert_seq"), "text", "embedding",
