@@ -55,8 +55,9 @@ def add_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
     """Add documents to the index at ``path``, which need not exist; their keys must be new.
 
     Null texts and those without a word count as documents and are never found.
-    Postings are dealt by ranges of (bucket, term, weight), so a word that most
-    documents share is spread over many tasks.
+    Postings are dealt by bucket, and AQE cuts buckets of more than its advisory
+    size, so a word that most documents share is spread over many tasks. Ranges
+    would do the same, but sampling them counts the terms of all texts twice.
     """
     spark, batch = docs.sparkSession, uuid.uuid4().hex
 
@@ -65,11 +66,11 @@ def add_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
 
     counted = docs.select(F.col(key).alias("doc"), _term_counts(F.col(text)).alias("terms"))
     norm = F.sqrt(F.aggregate("terms", F.lit(0.0), lambda total, t: total + F.pow(_weight(t["tf"]), F.lit(2.0))))
-    rows = counted.withColumn("norm", norm).select("doc", "norm", F.explode("terms").alias("t"))
+    # A plain explode would also filter on the number of terms, and so count every text once more.
+    rows = counted.withColumn("norm", norm).select("doc", "norm", F.explode_outer("terms").alias("t")).where(F.col("t").isNotNull())
     rows = rows.select("doc", F.col("t.term").alias("term"), (_weight(F.col("t.tf")) / F.col("norm")).alias("weight"),
                        F.pmod(F.crc32(F.col("t.term").cast("binary")), F.lit(BUCKETS)).cast("int").alias("bucket"))
-    order = ["bucket", "term", F.desc("weight")]
-    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("bucket").parquet(at("postings"))
+    rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", F.desc("weight")).write.partitionBy("bucket").parquet(at("postings"))
     stored = spark.read.schema("doc string, term string, weight double, bucket int").parquet(at("postings")).drop("doc")
     stored.groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df")).repartition("bucket") \
         .sortWithinPartitions("term").write.partitionBy("bucket").parquet(at("terms"))

@@ -75,3 +75,17 @@ def test_empty_query_and_table(spark, tmp_path):
     assert [tuple(r) for r in text_index.index_search(spark, path, "word").collect()] == [(1, 1.0)]
     with pytest.raises(ValueError):
         text_index.index_search(spark, path, "  ")
+
+
+def test_texts_are_counted_once(spark, tmp_path):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def text_of(number):
+        read.add(1)
+        return f"word and w{number % 7}"
+
+    docs = spark.range(50).select(F.col("id").alias("doc_id"), text_of(F.col("id")).alias("text"))
+    text_index.add_documents(docs, str(tmp_path / "index"))
+    assert read.value == 50
+    assert text_index.index_scores(spark, str(tmp_path / "index"), "w3 word").count() == 50
