@@ -167,3 +167,27 @@ def test_registered_function(spark):
     assert [sql_type(t).simpleString() for t in (str, int, float, bool, list, dict, bytes)] == [
         "string", "bigint", "double", "boolean", "array<string>", "map<string,string>", "string"]
     assert spark.range(1).select(F.lit(1)).count() == 1
+
+
+def test_many_keys_are_few_groups(spark, tmp_path, monkeypatch):
+    """Keys share buckets: one group of Spark for each, one state for each key, in both orders of answers."""
+    from clientlens.streaming import admission as stream_admission
+
+    monkeypatch.setattr(stream_admission, "BUCKETS", 3)
+    rows = [(i, f'u"{i * 7 % 60}', "a, b" if i % 3 else "a", EPOCH + datetime.timedelta(microseconds=i * 250_000 + i % 7)) for i in range(400)]
+    events = spark.createDataFrame(rows, "event_id long, user_id string, action string, timestamp timestamp")
+    last = spark.createDataFrame([(999, "end", "a", EPOCH + datetime.timedelta(hours=3))], events.schema)
+    expected = admission.ttl_repeats(events, ["user_id", "action"], ttl=20)
+    for answers in ("arrival", "time"):
+        source, out, checkpoint = (str(tmp_path / answers / n) for n in ("in", "out", "check"))
+        sizes = []
+        for batch in (events.limit(250), events.exceptAll(events.limit(250)), last):
+            land(batch, source)
+            drain(stream_ttl_repeats(stream_table(spark, source, events.schema), ["user_id", "action"], ttl=20, answers=answers), out, checkpoint)
+            store = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "state").load()
+            sizes.append((store.count(), store.select("key").distinct().count()))
+        got = spark.read.parquet(out).where("event_id <> 999").select(expected.columns)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect()))
+        if answers == "arrival":
+            assert sizes[1][0] > 50 and sizes[1][1] <= 3
+            assert sizes[2] == (1, 1)
