@@ -1,5 +1,6 @@
 import html
 import re
+from collections import Counter
 
 from clientlens.llm import extraction
 
@@ -91,3 +92,50 @@ def test_text_that_most_pages_repeat_is_template(spark):
     for r in found:
         i = r.page_id % 100
         assert r.text == ("The same text on all of the pages" if r.page_id >= 200 else f"{own(i, 1)}\n{own(i, 3)}")
+
+
+def _parts(spark, parts):
+    """Pages (host, text of html) of several partitions, in this order."""
+    rows = [(1000 * at + i, f"http://{host}/{i}", page) for at, part in enumerate(parts) for i, (host, page) in enumerate(part)]
+    bounds = [0]
+    for part in parts:
+        bounds.append(bounds[-1] + len(part))
+    data = spark.sparkContext.parallelize(list(zip(bounds, bounds[1:])), len(parts)).flatMap(lambda b: rows[b[0]:b[1]])
+    return spark.createDataFrame(data, "page_id long, url string, html string"), rows
+
+
+def _shared(rows):
+    """Tokens on half of the pages of their host, and on how many, by a plain count."""
+    words, paths = Counter(), Counter()
+    for _, url, page in rows:
+        host, found = extraction.host_of(url), list(extraction.blocks(page))
+        paths.update({(host, path) for path, _, _ in found})
+        words.update({(host, int(t)) for t in extraction.word_tokens([(p, x) for p, x, _ in found if x])[0]})
+    most = Counter()
+    for (host, _), n in paths.items():
+        most[host] = max(most[host], n)
+    return {(*key, n) for key, n in words.items() if most[key[0]] >= extraction.LEAST_PAGES and n >= extraction.MOST * most[key[0]]}
+
+
+def test_words_that_some_or_all_parts_leave_out_are_counted_whole(spark):
+    # "seldom" is on 18 of 24 pages in three parts and on one in the fourth: 55 of 96. "own" words are on one page each.
+    often = [[("a", f"<html><p>every page has this {'seldom' if i < (18 if at < 3 else 1) else 'not'} own{at}x{i}</p></html>")
+              for i in range(24)] for at in range(4)]
+    # Each part has its own layout of 40 pages; the paragraph is on 4 pages of each part only, which is half of 40 in all.
+    mixed = [[("b", f"<h{at}>title</h{at}>" + "<p>we use cookies here</p>" * (i < 4)) for i in range(40)] for at in range(1, 7)]
+    few = [[("c", f"<p>short {i % 2}</p>") for i in range(n)] for n in (1, 9, 1)]
+    pages, rows = _parts(spark, often + mixed + few)
+    tokens = extraction._tokens(pages).cache()
+    got = {(r.host, r.token, r.pages) for r in extraction.shared_words(pages, tokens).collect()}
+    assert got == _shared(rows) and {n for host, _, n in got if host == "a"} >= {96, 55} and {n for host, _, n in got if host == "b"} >= {24}
+    # The vectors are whole too: words of the same pages have the same.
+    together = {(r.host, r.pages, r.vector) for r in extraction.shared_words(pages, tokens).where("host = 'b' AND pages = 24").collect()}
+    assert len(together) == 1
+
+
+def test_words_on_few_pages_are_not_sent(spark):
+    """They took most of the shuffle: a word on one or two pages of a host with many pages is no template text."""
+    page = "<html><p>every page has this</p><p>{}</p></html>"
+    pages, _ = _parts(spark, [[("a", page.format(" ".join(f"w{(i + k) // 2}x{k}" for k in range(50)))) for i in range(60)]])
+    words = extraction._tokens(pages).where("path IS NULL AND token IS NOT NULL")
+    assert words.count() == 4
