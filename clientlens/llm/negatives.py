@@ -42,6 +42,8 @@ SCALE = 256
 BLOCK_ROWS, BLOCK_ANCHORS = 4096, 512
 # Dimensions that are added up between two tests of the bounds.
 STEP = 8
+# Rows that are compared with a block's anchors at once: their partial scores stay in the processor's cache.
+TILE_ROWS = 256
 # Thresholds of the rounds: shares of the greatest possible score, and of a window's upper end.
 POSITIVE_SHARES = (0.6, 0.4, 0.25, 0.0)
 NEGATIVE_SHARES = (0.85, 0.7)
@@ -78,30 +80,50 @@ def pairs_above(anchors: np.ndarray, rows: np.ndarray, thresholds: np.ndarray) -
     order = np.argsort((rows * rows).sum(axis=0), kind="stable")
     anchors, rows = np.ascontiguousarray(anchors[:, order]), np.ascontiguousarray(rows[:, order])
     anchor_norms, row_norms = _prefix_norms(anchors), _prefix_norms(rows)
-    width, least = rows.shape[1], thresholds[:, None]
     first = left_out(row_norms, anchor_norms, thresholds.min())
-    scores = np.zeros((len(anchors), len(rows)))
-    live = np.flatnonzero(first < width) if thresholds.min() > 0 else np.arange(len(rows))
-    for high in range(width, 0, -STEP):
-        low = max(high - STEP, 0)
-        indexed = live[first[live] < high]
-        if len(indexed):
-            entries = np.where(np.arange(low, high) >= first[indexed, None], rows[indexed, low:high], 0)
-            scores[:, indexed] += anchors[:, low:high] @ entries.T
+    live = np.flatnonzero(first < rows.shape[1]) if thresholds.min() > 0 else np.arange(len(rows))
+    # The index begins at a step's edge, and rows go by where theirs begins: those a step adds to come first.
+    first = first // STEP * STEP
+    live = live[np.argsort(first[live], kind="stable")]
+    found = [_pairs_of(anchors, anchor_norms, rows[part], row_norms[part], first[part], thresholds, part)
+             for part in (live[at:at + TILE_ROWS] for at in range(0, len(live), TILE_ROWS))]
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    anchor, row, score = (np.concatenate(c) for c in zip(*found, strict=True))
+    return anchor, row, score
+
+
+def _pairs_of(anchors: np.ndarray, anchor_norms: np.ndarray, rows: np.ndarray, row_norms: np.ndarray, first: np.ndarray,
+              thresholds: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for a few rows, in rising order of ``first``, whose dimensions and norms are in the index's order."""
+    scores = np.zeros((len(rows), len(anchors)))
+    for low in range((rows.shape[1] - 1) // STEP * STEP, -1, -STEP):
+        n = int(np.searchsorted(first, low, side="right"))  # the index of the others has no dimensions from here down
+        if not n:
+            break
+        scores[:n] += rows[:n, low:low + STEP] @ anchors[:, low:low + STEP].T
         # What the dimensions below, in the index or not, can still add.
-        rest = np.maximum(first[live], low)
-        bound = anchor_norms[:, rest] * (row_norms[live, rest] * _MARGIN)
-        live = live[(scores[:, live] + bound >= least).any(axis=0)]
-    bound = anchor_norms[:, first[live]] * (row_norms[live, first[live]] * _MARGIN)
-    anchor, at = np.nonzero(scores[:, live] + bound >= least)
-    row = live[at]
-    score = scores[anchor, row]
-    for start in range(0, len(row), 1 << 16):
-        part = slice(start, start + (1 << 16))
-        outside = np.where(np.arange(width) < first[row[part], None], rows[row[part]], 0)
-        score[part] += np.einsum("ij,ij->i", anchors[anchor[part]], outside)
+        most = np.multiply.outer(row_norms[:n, low] * _MARGIN, anchor_norms[:, low])
+        most += scores[:n]
+        kept = (most >= thresholds).any(axis=1)
+        if not kept.all():
+            kept = np.append(kept, np.ones(len(first) - n, bool))
+            rows, row_norms, first, numbers, scores = rows[kept], row_norms[kept], first[kept], numbers[kept], scores[kept]
+    outer = np.flatnonzero(first)
+    bound = scores
+    if len(outer):
+        bound = scores.copy()
+        bound[outer] += anchor_norms.T[first[outer]] * (row_norms[outer, first[outer]] * _MARGIN)[:, None]
+    row, anchor = np.nonzero(bound >= thresholds)
+    score = scores[row, anchor]
+    if len(outer):
+        open_pairs = np.flatnonzero(first[row])
+        for start in range(0, len(open_pairs), 1 << 16):
+            part = open_pairs[start:start + (1 << 16)]
+            outside = np.where(np.arange(rows.shape[1]) < first[row[part], None], rows[row[part]], 0)
+            score[part] += np.einsum("ij,ij->i", anchors[anchor[part]], outside)
     kept = score >= thresholds[anchor]
-    return anchor[kept], row[kept], score[kept]
+    return anchor[kept], numbers[row[kept]], score[kept]
 
 
 def _exact_pairs(anchors: pa.ChunkedArray, rows: pa.ChunkedArray, thresholds: np.ndarray):

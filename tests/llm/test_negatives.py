@@ -1,5 +1,6 @@
 """Hard negatives against brute force, and the bounds of the threshold join."""
 
+import tracemalloc
 from math import floor
 
 import numpy as np
@@ -81,3 +82,19 @@ def test_threshold_join_loses_nothing_and_leaves_dimensions_out(share):
     order = np.argsort((rows * rows).sum(axis=0))
     left_out = negatives.left_out(negatives._prefix_norms(rows[:, order]), negatives._prefix_norms(anchors[:, order]), thresholds.min())
     assert (left_out.mean() > 3) if share > 0 else (left_out == 0).all()
+
+
+def test_partial_scores_are_held_for_a_few_rows_at_a_time():
+    """Scores of all rows with all anchors at once left the processor's cache in every step."""
+    rng = np.random.default_rng(8)
+    scale = rng.choice([0, 1, 40], 21)
+    anchors = np.floor(rng.normal(size=(64, 21)) * scale * 10)
+    rows = np.floor(rng.normal(size=(20_000, 21)) * scale * 10 * rng.random((20_000, 1)) ** 3)
+    scores = anchors @ rows.T
+    for thresholds in (np.quantile(scores, 0.999, axis=1), np.full(64, scores.max()), np.where(np.arange(64) % 2, -np.inf, scores.max() * 2)):
+        tracemalloc.start()
+        anchor, row, score = negatives.pairs_above(anchors, rows, thresholds)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert sorted(zip(anchor, row, score)) == [(i, j, scores[i, j]) for i, j in zip(*np.nonzero(scores >= thresholds[:, None]))]
+        assert len(row) > 50_000 or peak < 3 * scores.nbytes
