@@ -18,7 +18,10 @@ such a page is a copy of others.
 The vectors are never built: the exclusive or of a hash of page and count is the
 same for tokens with the same vector, and it can be added up in parts. So a host
 with a third of all pages is no different from others; each task sends one row
-per host and token.
+per host and token. Most words are on few pages and no template's, so a task
+does not send the words on few of a host's pages it has read. What a task may
+have left out is known as a number of pages, and words that could reach the
+half of a host's pages with these are counted once more over the host's pages.
 """
 
 from __future__ import annotations
@@ -43,6 +46,7 @@ LEAST_PAGES = 10  # fewer pages do not show what their host repeats
 LEAST_CLASS = 3  # words of a valid class
 COPY = 0.5  # share of a page's main text that may be template; a page that repeats more is a copy of others
 HELD, HELD_PATHS = 2_000_000, 200_000  # words of pages, and paths, that a task adds up before it sends them
+SENT_ROWS = 50_000  # that a task sends at once, and those of one host more
 HELD_TAGS = 10_000  # that a task keeps
 ALL_SENT, FEW = 4, 8  # of n pages of a host that are added up together, words on (n - ALL_SENT) / FEW at most are not sent
 SMALL = 200_000  # rows of the template table that may be broadcast
@@ -238,18 +242,27 @@ class _WordSums:
                 self.add(host, page, wanted(host, tokens[start:end]))
             start = end
 
-    def sent(self, dropped: Callable[[str], int]) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
-        """(host, tokens, pages, vectors) of the tokens on more than ``dropped(host)`` of its pages here."""
+    def sent(self, dropped: Callable[[str], int]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray, np.ndarray]]:
+        """Columns host, token, pages and vector of the tokens on more than ``dropped(host)`` of their host's pages here."""
+        hosts: list[str] = []
+        rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for host, parts in self.pages.items():
             tokens = np.concatenate([t for t, _ in parts])
+            if not len(tokens):
+                continue
             order = np.argsort(tokens)
             tokens = tokens[order]
-            starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, np.int64)
+            starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
             pages = np.diff(starts, append=len(tokens))
             kept = pages > dropped(host)
-            if kept.any():
-                marks = np.concatenate([m for _, m in parts])[order]
-                yield host, tokens[starts[kept]], pages[kept], np.bitwise_xor.reduceat(marks, starts)[kept].view(np.int64)
+            marks = np.concatenate([m for _, m in parts])[order]
+            rows.append((tokens[starts[kept]], pages[kept], np.bitwise_xor.reduceat(marks, starts)[kept].view(np.int64)))
+            hosts += [host] * len(rows[-1][0])
+            if len(hosts) > SENT_ROWS:
+                yield hosts, *map(np.concatenate, zip(*rows, strict=True))
+                hosts, rows = [], []
+        if hosts:
+            yield hosts, *map(np.concatenate, zip(*rows, strict=True))
         self.pages.clear()
         self.held = 0
 
@@ -281,10 +294,10 @@ def _tokens(pages: DataFrame) -> DataFrame:
             if few:
                 yield [list(few), *(pa.nulls(len(few), t) for t in (pa.string(), pa.int64())), *([0] * len(few) for _ in range(4)),
                        pa.nulls(len(few), pa.int32()), list(few.values())]
-            for host, tokens, n_pages, vectors in found.sent(few.__getitem__):
-                n = len(tokens)
-                yield [[host] * n, pa.nulls(n, pa.string()), tokens, n_pages, vectors, *(np.zeros(n, np.int64) for _ in range(2)),
-                       pa.nulls(n, pa.int32()), np.full(n, few[host])]
+            for hosts, tokens, n_pages, vectors in found.sent(few.__getitem__):
+                n = len(hosts)
+                yield [hosts, pa.nulls(n, pa.string()), tokens, n_pages, vectors, *(np.zeros(n, np.int64) for _ in range(2)),
+                       pa.nulls(n, pa.int32()), list(map(few.__getitem__, hosts))]
             sums.clear()
 
         for batch in batches:
@@ -333,8 +346,7 @@ def _counted(pages: DataFrame, asked: DataFrame) -> DataFrame:
         found, tags = _WordSums(), _Tags()
 
         def sent() -> Iterator[list]:
-            for host, tokens, n_pages, vectors in found.sent(lambda host: 0):
-                yield [[host] * len(tokens), tokens, n_pages, vectors]
+            yield from map(list, found.sent(lambda host: 0))
 
         for batch in batches:
             texts: list[tuple[str, str]] = []
