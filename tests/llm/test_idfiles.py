@@ -137,3 +137,24 @@ def test_seconds_of_a_segment():
     coded = process_time()
     zlib.compress(ids.astype("<u2").tobytes())
     assert coded - start < 4 * (process_time() - coded)
+
+
+def test_strips_learn_while_they_are_coded():
+    """What the segment as a whole does not tell: a strip learns which order is right, and what follows what, from its own ids."""
+    rng = np.random.default_rng(5)
+    # Every block repeats 60 pairs of its own, which are too few to be learned of the segment.
+    blocks = [rng.integers(0, 50_000, (60, 2))[rng.integers(0, 60, mixing.BLOCK_IDS // 2)].ravel() for _ in range(60)]
+    _, model, numbers = mixing.alphabet_of(np.concatenate(blocks))
+    model.next2[:] = 0
+    model.next1 &= ~15
+    parts = np.split(numbers, len(blocks))
+    coded = mixing.encode_blocks(parts, model)
+    assert all((a == b).all() for a, b in zip(parts, mixing.decode_blocks(coded, [len(b) for b in blocks], model), strict=True))
+    alone = mixing.encode_blocks([rng.permutation(numbers)[:mixing.BLOCK_IDS] for _ in range(60)], model)
+    assert sum(map(len, coded)) < 0.75 * sum(map(len, alone))
+    # Half of the strips follow the model, half never do: shares of one model suit neither.
+    cycle = np.tile(np.arange(50), 400)[:4 * mixing.BLOCK_IDS]
+    noise = rng.integers(0, 50, 4 * mixing.BLOCK_IDS)
+    _, model, numbers = mixing.alphabet_of(np.concatenate([cycle, noise]))
+    size = sum(map(len, mixing.encode_blocks(np.split(numbers, 8), model)))
+    assert size < 1.1 * (len(noise) * np.log2(50) / 8) + 0.2 * len(cycle) / 8
